@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .archive import ORACLE_OP5, op5_arc_to_warc
 from .mixing import ORACLE_OP4, op4_poisson_mixing
 from .packing import op1_best_fit_packing
+from .secrets import op8_secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_poisson_mixing)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_poisson_mixing, op5_arc_to_warc, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_poisson_mixing": ORACLE_OP4}
+    return {"op4_poisson_mixing": ORACLE_OP4, "op5_arc_to_warc": ORACLE_OP5}
