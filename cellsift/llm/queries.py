@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .archive import ORACLE_OP5, op5_arc_to_warc
 from .mixing import ORACLE_OP4, op4_poisson_mixing
 from .packing import op1_best_fit_packing
+from .quality import op2_quality_rules
 from .secrets import op8_secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_poisson_mixing, op5_arc_to_warc, op8_secret_scan)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_poisson_mixing, op5_arc_to_warc, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
