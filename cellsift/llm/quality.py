@@ -24,6 +24,8 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
 RULES = ("symbols", "repeats", "same_lines", "capitals", "marks", "short_words")
 BINS = 64
+#: What losing a share of the good documents costs against catching as large a share of the bad ones.
+COST = 20
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -126,8 +128,8 @@ def learn(measured_docs: DataFrame, labels: DataFrame, alpha: float = 0.1, delta
     """Cutoffs from all labelled documents.
 
     Good and bad documents are counted by stratum, rule and bin on the executors; the counts (strata x rules
-    x bins) come to the driver. Of the cutoffs that pass, a rule takes the one with the largest difference
-    of the rejected shares of bad and good documents, the mildest of equal ones. Strata without enough
+    x bins) come to the driver. Of the cutoffs that pass, a rule takes the one with the largest share of bad
+    documents rejected less COST times that of good ones, the mildest of equal ones. Strata without enough
     labels get no cutoffs: they reject nothing. A document labelled twice counts as good only if all its
     labels are 1; null labels count for nothing.
     """
@@ -147,7 +149,7 @@ def learn(measured_docs: DataFrame, labels: DataFrame, alpha: float = 0.1, delta
                 bad, lost = int(above[0, rule, cut]), int(above[1, rule, cut])
                 if binomial_cdf(lost, n_good, limit) > level:
                     break
-                if (gain := bad / max(n_bad, 1) - lost / n_good) > best:
+                if (gain := bad / max(n_bad, 1) - COST * lost / n_good) > best:
                     best, found[s][rule] = gain, cut
     return Cutoffs({s: c for s, c in found.items() if min(c) < BINS})
 
