@@ -55,8 +55,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """mapInArrow with a function made once for each task; it gives columns by name for a batch."""
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, most: int = 16 << 20) -> DataFrame:
+    """mapInArrow with a function made once for each task; it gives columns by name for a batch of about `most` bytes."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -65,7 +65,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for part in halves(batch):
+            for part in halves(batch, most):
                 got = step(part)
                 yield pa.RecordBatch.from_arrays(
                     [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in shape], schema=shape

@@ -15,7 +15,7 @@ from .base import map_rows, remainder, table, texts
 DOCS_PER_LANGUAGE, PASSAGE = 64, 2048
 #: Texts are compressed in parts of so many bytes, each with the dictionary at hand: a long text would be its own dictionary.
 PART = 4096
-LEVEL = 3
+LEVEL = 6
 #: The second best size must be so much larger than the best.
 MARGIN = 0.01
 LETTER = re.compile(r"[^\W\d_]")
