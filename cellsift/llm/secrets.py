@@ -322,7 +322,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[{kind}]", rules: list[Rule] | None = None) -> DataFrame:
     """The documents with every span replaced by its kind's mask; overlapping spans go under the first one's mask.
 
-    Null texts stay null, all other columns stay as they are, one row for each input row.
+    Null texts stay null; n_chars, where there is such a column, counts the new text's code points; all other
+    columns stay as they are. One row for each input row.
     """
     rules = rules or [*BASE, *ADDED]
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
@@ -335,7 +336,8 @@ def redact(docs: DataFrame, mask: str = "[{kind}]", rules: list[Rule] | None = N
                 raw = [x.encode() for x in texts(batch)]
                 clean = [masked(t, s, rules, mask) for t, s in zip(raw, scanner.scan(raw), strict=True)]
                 kept = [None if t is None else c.decode() for t, c in zip(batch.column("text").to_pylist(), clean, strict=True)]
-                cols = [pa.array(kept, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names]
+                new = {"text": pa.array(kept, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in kept], pa.int64())}
+                cols = [new[n].cast(batch.schema.field(n).type) if n in new else batch.column(n) for n in batch.schema.names]
                 yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
