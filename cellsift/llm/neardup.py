@@ -25,6 +25,8 @@ BANDS, ROWS = 32, 5
 THRESHOLD = 0.8
 #: Members of a bucket that one task compares with others at a time.
 BLOCK = 256
+#: Sets whose darts are in memory together, a few thousand for each set however small it is.
+SETS = 512
 _FINE = 2.0**-6
 _TALL = 256.0
 
@@ -59,9 +61,13 @@ def dart_signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray,
 
     Darts are thrown into the plane of weight and rank of each element by a Poisson process whose cells'
     contents follow from hashes, the same in all sets. A dart counts for a set if it lies below the set's
-    weight of the element. Each dart belongs to one of k coordinates; the earliest in rank is kept. Sets
+    weight of the element. owner is sorted. Each dart belongs to one of k coordinates; the earliest in rank is kept. Sets
     throw about k ln k + 2k darts, level by level, and go on while a coordinate is empty.
     """
+    if n > SETS:
+        cuts = [*range(0, n, SETS), n]
+        at = np.searchsorted(owner, cuts)
+        return np.concatenate([dart_signatures(owner[x:y] - a, element[x:y], weight[x:y], b - a, k) for a, b, x, y in zip(cuts, cuts[1:], at, at[1:], strict=False)])
     none = np.uint64(2**64 - 1)
     best = np.full(n * k, none)
     total = np.bincount(owner, weights=weight, minlength=n)
