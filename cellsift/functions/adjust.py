@@ -26,7 +26,7 @@ def p_adjust(df: DataFrame, method: str = "BH", p: str = "p", out: str = "p_adj"
     if method == "none":
         return df.withColumn(out, value)
     if method == "bonferroni":
-        return df.withColumn(out, F.least(F.lit(1.0), value * n))
+        return df.withColumn(out, F.when(value.isNotNull(), F.least(F.lit(1.0), value * n)))
     if method == "hommel":
         schema = df.drop(out).withColumn(out, value).schema
 
