@@ -128,8 +128,8 @@ def sampled(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int) ->
 
     got = map_rows(rows, make, "trusted boolean, drawn boolean, x binary").collect()
     got.sort(key=lambda r: bytes(r.x))  # the same model whatever the order
-    x = np.array([np.frombuffer(r.x, np.float32) for r in got], np.float64).reshape(len(got), -1)
-    return x[[r.trusted for r in got]], x[[r.drawn for r in got]]
+    trusted, drawn = ([np.frombuffer(r.x, np.float32).astype(float) for r in got if r[flag]] for flag in ("trusted", "drawn"))
+    return np.array(trusted), np.array(drawn)
 
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0) -> Model | None:

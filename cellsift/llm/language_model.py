@@ -274,13 +274,42 @@ def log_stirling(discount: float) -> np.ndarray:
     return out
 
 
-def seat(customers: np.ndarray, opening: np.ndarray, discount: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def uniform(key: np.ndarray, number: int) -> np.ndarray:
+    """The number-th random number in (0, 1) of each key, the same wherever it is drawn."""
+    return ((mixed(key + np.uint64(number * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def binomial(size: np.ndarray, chance: np.ndarray, key: np.ndarray, number: int) -> np.ndarray:
+    """Binomial counts: by inversion where less than 30 are expected, else rounded from the normal law."""
+    mean = size * chance
+    u = uniform(key, 2 * number)
+    out = (u < chance).astype(float)
+    few = np.flatnonzero((size > 1) & (mean <= 30))
+    if len(few):
+        n, p, left = size[few], np.minimum(chance[few], 1 - 1e-12), u[few]
+        mass = np.exp(n * np.log1p(-p))
+        got, k = np.zeros(len(few)), 0
+        left = left - mass
+        while (left > 0).any() and k < 200:
+            k += 1
+            got += left > 0
+            mass = mass * np.maximum(n - k + 1, 0) / k * p / (1 - p)
+            left = left - mass
+        out[few] = np.minimum(got, n)
+    many = np.flatnonzero((size > 1) & (mean > 30))
+    if len(many):
+        normal = np.sqrt(-2 * np.log(u[many])) * np.cos(2 * np.pi * uniform(key[many], 2 * number + 1))
+        out[many] = np.clip(np.rint(mean[many] + normal * np.sqrt(mean[many] * (1 - chance[many]))), 0, size[many])
+    return out
+
+
+def seat(customers: np.ndarray, opening: np.ndarray, discount: float, stirling: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Tables of each dish, its customers seated anew given all other dishes.
 
     opening: the weight of a new table against c - discount * t of the t tables there are. Up to EXACT customers
     the number of tables is drawn from its conditional, S(c, t) * opening ** t. Larger parties come in
     one by one up to EXACT, then in groups of 2 percent of those who sit, over which the chance of a new
-    table hardly changes.
+    table hardly changes. key: each dish's source of random numbers.
     """
     tables = np.ones(len(customers))
     few = np.flatnonzero((customers > 1) & (customers <= EXACT))
@@ -288,19 +317,20 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, stirling:
     order = np.argsort(size, kind="stable")
     few, size = few[order], size[order]
     cuts = np.searchsorted(size, np.arange(2, EXACT + 2))
-    with np.errstate(divide="ignore"):
-        for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), 2):
-            for x in range(a, b, 100_000):
-                rows = few[x : min(b, x + 100_000)]
-                weight = stirling[c, 1 : c + 1] + np.log(opening[rows])[:, None] * np.arange(1, c + 1)
-                tables[rows] = 1 + np.argmax(weight - np.log(-np.log(rng.random(weight.shape))), axis=1)
+    for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), 2):
+        for x in range(a, b, 100_000):
+            rows = few[x : min(b, x + 100_000)]
+            weight = stirling[c, 1 : c + 1] + np.log(opening[rows])[:, None] * np.arange(1, c + 1)
+            share = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            tables[rows] = 1 + (share < (uniform(key[rows], 0) * share[:, -1])[:, None]).sum(axis=1)
     rows = np.flatnonzero(customers > EXACT)
-    sitting = np.ones(len(rows))
+    sitting, number = np.ones(len(rows)), 0
     while len(rows):
+        number += 1
         size = np.minimum(np.maximum(1, np.floor(sitting * 0.02)), customers[rows] - sitting)
         middle = sitting + (size - 1) / 2
         chance = opening[rows] / (middle - discount * tables[rows] + opening[rows])
-        tables[rows] += rng.binomial(size.astype(np.int64), np.clip(chance, 0, 1))
+        tables[rows] += binomial(size, np.clip(chance, 0, 1), key[rows], number)
         sitting += size
         go = sitting < customers[rows]
         rows, sitting = rows[go], sitting[go]
@@ -311,10 +341,12 @@ def sampled(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, cuts: np.ndarray,
     """Gibbs sweeps over some words' dishes, given the totals.
 
     Tables by dish and the root's tables by word of the last sweep; averaged over the samples, each dish's
-    own share of its word's probability in the context, and each word's probability at the root.
+    own share of its word's probability in the context, and each word's probability at the root. Random
+    numbers follow from word, context and sweep, so sampling again gives the same seating.
     """
-    rng = np.random.default_rng([7, int(np.bitwise_xor.reduce(mixed(word.view(np.uint64)))) if len(word) else 0])
     of = np.repeat(np.arange(len(word)), np.diff(cuts))
+    words = mixed(word.view(np.uint64))
+    dishes = mixed(words[of] + ctx.astype(np.uint64) + np.uint64(1))
     context = (STRENGTH + totals.discount * totals.tables)[ctx]
     down, root_down = STRENGTH + totals.customers[ctx], ROOT_STRENGTH + totals.tables.sum()
     new = totals.root_backoff()
@@ -325,9 +357,9 @@ def sampled(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, cuts: np.ndarray,
         guests = np.bincount(of, weights=tables, minlength=len(word))
         others = guests[of] - tables + 1  # one table there is in any case
         parent = np.maximum(others - totals.root_discount * np.minimum(root[of], others), 0) / root_down + new
-        tables = seat(n, context * parent, totals.discount, stirling, rng)
+        tables = seat(n, context * parent, totals.discount, stirling, mixed(dishes + np.uint64(sweep)))
         guests = np.bincount(of, weights=tables, minlength=len(word))
-        root = seat(guests, np.full(len(word), new * root_down), totals.root_discount, root_stirling, rng) * (guests > 0)
+        root = seat(guests, np.full(len(word), new * root_down), totals.root_discount, root_stirling, mixed(words + np.uint64(sweep))) * (guests > 0)
         if sweep >= BURN_IN:
             own += (n - totals.discount * tables) / down / SAMPLES
             at_root += (np.maximum(guests - totals.root_discount * root, 0) / root_down + new) / SAMPLES
