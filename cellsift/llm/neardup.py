@@ -23,8 +23,8 @@ from .shingles import mixed, shingled
 
 BANDS, ROWS = 32, 5
 THRESHOLD = 0.8
-#: Members of a bucket that one task compares with others at a time.
-BLOCK = 256
+#: Members of a bucket that are held at a time, and others that are compared with them.
+BLOCK, ASKING = 256, 1024
 #: Sets whose darts are in memory together, a few thousand for each set however small it is.
 SETS = 512
 _FINE = 2.0**-6
@@ -173,13 +173,17 @@ def compared(rooted: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links between members of a bucket that lie in different components, all of them looked at.
 
     A bucket's members in the component of its least member need not be compared with each other; all others
-    are compared with every member. Members are dealt to blocks of about BLOCK; those others go to each block
-    of the bucket. A task holds one block, never a bucket, and gives one link for a member and component.
+    are compared with every member. Members are dealt to blocks of about BLOCK, those others to blocks of about
+    ASKING, and each block of the ones meets each of the others. A task holds two blocks, never a bucket,
+    and gives one link for a member and component.
     """
-    sizes = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("rep", "root")).alias("main")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("main.root").alias("main"))
-    rows = rooted.join(sizes, "band").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    held = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("band", "block", "rep", "root", "words", F.lit(False).alias("asks"))
-    asking = rows.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "block", "rep", "root", "words", F.lit(True).alias("asks"))
+    sizes = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("rep", "root")).alias("main")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / ASKING).cast("int").alias("turns"), F.col("main.root").alias("main"))
+    rows = rooted.join(sizes.hint("merge"), "band").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
+    turn = F.pmod(F.xxhash64("rep", F.lit("turn")), F.col("turns")).cast("int").alias("turn")
+    what = ["band", "block", "turn", "rep", "root", "words"]
+    held = rows.select("*", own, F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn")).select(*what, F.lit(False).alias("asks"))
+    asking = rows.where("root <> main").select("*", turn, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select(*what, F.lit(True).alias("asks"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         own, ask = pdf[~pdf["asks"]], pdf[pdf["asks"]]
@@ -204,7 +208,7 @@ def compared(rooted: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                     found += [(rep, reps[ok[i]]) for i in first]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return held.union(asking).groupBy("band", "block").applyInPandas(compare, "a long, b long")
+    return held.union(asking).groupBy("band", "block", "turn").applyInPandas(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -221,21 +225,21 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = written(sketch.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "texts")
     bands = first.select("rep", F.explode("bands").alias("band"))
     leaders = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
-    cand = written(bands.join(leaders, "band").select("band", "rep", "leader"), "candidates")
+    cand = written(bands.join(leaders.hint("merge"), "band").select("band", "rep", "leader"), "candidates")
     pairs = cand.where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     involved = cand.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(shingle_sets(docs.join(involved, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
     links = written(linked(pairs, sets, threshold), "links")
     rooted = with_roots(cand, links)
     mixed_up = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    rooted = written(rooted.join(mixed_up, "band", "left_semi"), "mixed")
+    rooted = written(rooted.join(mixed_up.hint("merge"), "band", "left_semi"), "mixed")
     # Another leader of each bucket that has several components, then all that are left.
     other = rooted.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "root")).alias("o")).select("band", F.col("o.rep").alias("a"), F.col("o.root").alias("aroot"))
-    again = rooted.join(other, "band").where("root <> aroot").select("a", F.col("rep").alias("b")).distinct()
+    again = rooted.join(other.hint("merge"), "band").where("root <> aroot").select("a", F.col("rep").alias("b")).distinct()
     links = written(links.union(linked(again, sets, threshold)), "links")
     rooted = with_roots(rooted.drop("root"), links)
     mixed_up = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    rooted = written(rooted.join(mixed_up, "band", "left_semi"), "mixed")
+    rooted = written(rooted.join(mixed_up.hint("merge"), "band", "left_semi"), "mixed")
     links = written(links.union(compared(rooted, sets, threshold)), "links")
     copies = sketch.join(first.select("text_key", "rep"), "text_key").select("doc_id", "rep")
     # one document may have several texts

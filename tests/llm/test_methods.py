@@ -247,6 +247,7 @@ def families(rng, n=40):
 
 def test_classes_are_those_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "ASKING", 3)
     rng = random.Random(9)
     texts = families(rng)
     sets = [shingle_set(t) for t in texts]
