@@ -328,10 +328,27 @@ def posteriors(test: DataFrame, p: Params) -> DataFrame:
     return test.mapInArrow(run, "droplet_idx long, z array<double>, llk array<double>")
 
 
-def run_em(x: Experiment, start: Params | None = None, alpha_prior: float = 0, pi_prior: float = 0, max_iter: int = 1000, eps: float = 1e-4, psc: float = 1e-10) -> Experiment:
-    """Fits the mixture to the expressed genes of all droplets; debris droplets stay in their initial clusters."""
+def params_from_posteriors(counts: DataFrame, z: DataFrame, genes: np.ndarray, k: int, kind: str = "mltn", alpha_prior: float = 0, pi_prior: float = 0, psc: float = 1e-10) -> Params:
+    """Parameters from given responsibilities (droplet_idx, z array<double>)."""
+    rows = droplet_rows(counts, z, genes).join(z, "droplet_idx").select("pos", "x", "z")
+
+    def make_z(batch, *_):
+        return np.array(batch.column("z").to_pylist(), float).reshape(batch.num_rows, k), None
+
+    return maximised(summed(rows, make_z, len(genes), k, kind), kind, genes, alpha_prior, pi_prior, psc)
+
+
+def run_em(x: Experiment, start: Params | DataFrame | None = None, alpha_prior: float = 0, pi_prior: float = 0, max_iter: int = 1000, eps: float = 1e-4, psc: float = 1e-10) -> Experiment:
+    """Fits the mixture to the expressed genes of all droplets; debris droplets stay in their initial clusters.
+
+    start: parameters to begin with, or responsibilities (droplet_idx, z) of all droplets; those of init otherwise.
+    """
     if not x.has_sets:
         raise ValueError("call set_debris_test_set first")
+    if isinstance(start, DataFrame):
+        genes = np.array(sorted(r.gene_idx for r in x.expressed().collect()))
+        kind = x.params.kind if x.params is not None else "mltn"
+        start = params_from_posteriors(x.expressed_counts(), start, genes, len(start.first()["z"]), kind, alpha_prior, pi_prior, psc)
     start = start or x.params
     if start is None:
         raise ValueError("call init first")

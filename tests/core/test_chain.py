@@ -55,6 +55,14 @@ def test_fit(done):
     assert np.isclose(rows.groupby("Cluster")["score_debris"].mean().min(), 0)
 
 
+def test_warm_starts(done):
+    again = mixture.run_em(done, done.params, 0.1, 0.1, max_iter=2)
+    assert again.params.converged and np.allclose(again.params.alpha, done.params.alpha, atol=1e-4)
+    fixed = done.droplets.where("set = 'debris'").select("droplet_idx", F.array(*[F.lit(float(i == 0)) for i in range(4)]).alias("z"))
+    by_z = mixture.run_em(done, done.z.select("droplet_idx", "z").union(fixed), 0.1, 0.1, max_iter=2)
+    assert np.allclose(by_z.params.pi, done.params.pi, atol=1e-3)
+
+
 def test_results_can_be_read(done):
     assert qc.droplet_data(done, kind="clean").count() == 200 and qc.droplet_data(done, kind="debris").count() == 100
     assert qc.raw_counts(done, "clean").select("droplet_idx").distinct().count() == 200
