@@ -258,6 +258,9 @@ class Totals:
         """Of words with such shares; over all words and the unknown one it sums up to 1 in each context."""
         return own + (1 - self.shares)[context] * at_root / (self.root_share + self.root_backoff())
 
+    def stirling(self) -> tuple[np.ndarray, np.ndarray]:
+        return log_stirling(self.discount), log_stirling(self.root_discount)
+
     def root_backoff(self) -> float:
         """The root's share for new words, each of the kinds and the unknown word alike."""
         return (ROOT_STRENGTH + self.root_discount * self.root_tables) / (ROOT_STRENGTH + self.tables.sum()) / (self.kinds + 1)
@@ -308,7 +311,7 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, stirling:
 
     opening: the weight of a new table against c - discount * t of the t tables there are. Up to EXACT customers
     the number of tables is drawn from its conditional, S(c, t) * opening ** t. Larger parties come in
-    one by one up to EXACT, then in groups of 2 percent of those who sit, over which the chance of a new
+    one by one up to EXACT, then in groups of 5 percent of those who sit, over which the chance of a new
     table hardly changes. key: each dish's source of random numbers.
     """
     tables = np.ones(len(customers))
@@ -327,7 +330,7 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, stirling:
     sitting, number = np.ones(len(rows)), 0
     while len(rows):
         number += 1
-        size = np.minimum(np.maximum(1, np.floor(sitting * 0.02)), customers[rows] - sitting)
+        size = np.minimum(np.maximum(1, np.floor(sitting * 0.05)), customers[rows] - sitting)
         middle = sitting + (size - 1) / 2
         chance = opening[rows] / (middle - discount * tables[rows] + opening[rows])
         tables[rows] += binomial(size, np.clip(chance, 0, 1), key[rows], number)
@@ -337,33 +340,54 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, stirling:
     return tables
 
 
-def sampled(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, cuts: np.ndarray, totals: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sampled(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, cuts: np.ndarray, totals: Totals, stirling: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Gibbs sweeps over some words' dishes, given the totals.
 
     Tables by dish and the root's tables by word of the last sweep; averaged over the samples, each dish's
     own share of its word's probability in the context, and each word's probability at the root. Random
-    numbers follow from word, context and sweep, so sampling again gives the same seating.
+    numbers follow from word, context and sweep, so sampling again gives the same seating. Dishes of one
+    customer have one table in any case and take no part in the sweeps. stirling: of both discounts.
     """
     of = np.repeat(np.arange(len(word)), np.diff(cuts))
     words = mixed(word.view(np.uint64))
-    dishes = mixed(words[of] + ctx.astype(np.uint64) + np.uint64(1))
-    context = (STRENGTH + totals.discount * totals.tables)[ctx]
-    down, root_down = STRENGTH + totals.customers[ctx], ROOT_STRENGTH + totals.tables.sum()
-    new = totals.root_backoff()
-    stirling, root_stirling = log_stirling(totals.discount), log_stirling(totals.root_discount)
-    tables, root = np.ones(len(n)), np.minimum(np.diff(cuts), 1).astype(float)
-    own, at_root = np.zeros(len(n)), np.zeros(len(word))
+    free = np.flatnonzero(n > 1)
+    free = free[np.argsort(n[free], kind="stable")]
+    whose, size = of[free], n[free]
+    alone = np.bincount(of, minlength=len(word)) - np.bincount(whose, minlength=len(word))
+    dishes = mixed(words[whose] + ctx[free].astype(np.uint64) + np.uint64(1))
+    context = (STRENGTH + totals.discount * totals.tables)[ctx[free]]
+    root_down, new = ROOT_STRENGTH + totals.tables.sum(), totals.root_backoff()
+    tables, root = np.ones(len(free)), np.minimum(np.diff(cuts), 1).astype(float)
+    mean, at_root = np.zeros(len(free)), np.zeros(len(word))
+    guests = alone + np.bincount(whose, weights=tables, minlength=len(word))
     for sweep in range(BURN_IN + SAMPLES):
-        guests = np.bincount(of, weights=tables, minlength=len(word))
-        others = guests[of] - tables + 1  # one table there is in any case
-        parent = np.maximum(others - totals.root_discount * np.minimum(root[of], others), 0) / root_down + new
-        tables = seat(n, context * parent, totals.discount, stirling, mixed(dishes + np.uint64(sweep)))
-        guests = np.bincount(of, weights=tables, minlength=len(word))
-        root = seat(guests, np.full(len(word), new * root_down), totals.root_discount, root_stirling, mixed(words + np.uint64(sweep))) * (guests > 0)
+        others = guests[whose] - tables + 1  # one table there is in any case
+        parent = np.maximum(others - totals.root_discount * np.minimum(root[whose], others), 0) / root_down + new
+        tables = seat(size, context * parent, totals.discount, stirling[0], mixed(dishes + np.uint64(sweep)))
+        guests = alone + np.bincount(whose, weights=tables, minlength=len(word))
+        many = np.flatnonzero(guests > 1)
+        root = np.minimum(guests, 1.0)
+        root[many] = seat(guests[many], np.full(len(many), new * root_down), totals.root_discount, stirling[1], mixed(words[many] + np.uint64(sweep)))
         if sweep >= BURN_IN:
-            own += (n - totals.discount * tables) / down / SAMPLES
+            mean += tables / SAMPLES
             at_root += (np.maximum(guests - totals.root_discount * root, 0) / root_down + new) / SAMPLES
-    return tables, root, own, at_root
+    last, average = np.ones(len(n)), np.ones(len(n))
+    last[free], average[free] = tables, mean
+    return last, root, (n - totals.discount * average) / (STRENGTH + totals.customers[ctx]), at_root
+
+
+def together(batches: Iterator[pa.RecordBatch], rows: int = 40_000, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about so many rows or bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def gathered(words: DataFrame, totals: Totals | None) -> Totals:
@@ -373,13 +397,14 @@ def gathered(words: DataFrame, totals: Totals | None) -> Totals:
         customers, tables = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
         rest = np.zeros(7)  # kinds, root tables, dishes of one and two customers, the same at the root, its sum
         shares = np.zeros(CONTEXTS)
-        for batch in batches:
+        stirling = totals and totals.stirling()
+        for batch in together(batches):
             word = batch.column("word").to_numpy()
             ctx, cuts = flat(batch.column("ctx"), np.uint16)
             n, _ = flat(batch.column("n"), np.float64)
             guests = np.diff(cuts)
             if totals:
-                t, root, own, at_root = sampled(word, ctx, n, cuts, totals)
+                t, root, own, at_root = sampled(word, ctx, n, cuts, totals, stirling)
                 shares += np.bincount(ctx, weights=own, minlength=CONTEXTS)
             else:
                 t, root, at_root = np.ones(len(n)), np.minimum(guests, 1), guests * 0.0
@@ -409,11 +434,12 @@ def answers(words: DataFrame, totals: Totals) -> DataFrame:
     shared = words.sparkSession.sparkContext.broadcast(totals)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        stirling = shared.value.stirling()
+        for batch in together(batches):
             word = batch.column("word").to_numpy()
             ctx, cuts = flat(batch.column("ctx"), np.uint16)
             n, _ = flat(batch.column("n"), np.float64)
-            _, _, own, at_root = sampled(word, ctx, n, cuts, shared.value)
+            _, _, own, at_root = sampled(word, ctx, n, cuts, shared.value, stirling)
             row = np.repeat(np.arange(len(word)), np.diff(cuts))
             count = np.bincount(row, weights=n, minlength=len(word))
             key = row * WIDE + ctx

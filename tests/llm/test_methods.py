@@ -154,7 +154,7 @@ def test_probabilities_sum_to_one(spark, texts):
     ctx = np.concatenate([np.frombuffer(c, np.uint16) for c in merged["ctx"]])
     n = np.concatenate([np.frombuffer(c, np.float64) for c in merged["n"]])
     cuts = np.concatenate([[0], np.cumsum([len(c) // 2 for c in merged["ctx"]])])
-    _, _, own, at_root = language_model.sampled(merged["word"].to_numpy(), ctx, n, cuts, before)
+    _, _, own, at_root = language_model.sampled(merged["word"].to_numpy(), ctx, n, cuts, before, before.stirling())
     from dataclasses import replace
 
     total = replace(before, shares=after.shares, root_share=after.root_share)
