@@ -53,7 +53,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     of the input with the names of ours are replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.drop("copy", "rate", "shuffle_key", "_parts", "_cdf")
+    docs = docs.drop("copy", "rate", "shuffle_key", "_parts", "_cdf", "_count")
     by_source = rates(docs, weights, temperature, volume).select(F.col("source").alias("_source"), "rate", F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
     few = by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     if few:
@@ -66,14 +66,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
 
     def draw(acc: Column, part: Column) -> Column:
         u = uniform(key, F.concat_ws("/", F.lit(str(seed)), part.cast("string")))
-        return acc + F.size(F.filter(F.col("_cdf"), lambda c: c <= u))
+        # u as a variable of its own, so that it is hashed once and not for each term
+        return acc + F.transform(F.array(u), lambda v: F.size(F.filter(F.col("_cdf"), lambda c: c <= v)))[0]
 
     count = F.aggregate(F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0), draw)
-    count = F.when(F.col("rate") > 0, count).otherwise(0)
-    copies = dealt.withColumn("copy", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)))).drop("_cdf", "_parts")
+    counted = dealt.where("rate > 0").withColumn("_count", count).where("_count > 0").drop("_cdf", "_parts")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_count")
     order = F.md5(F.concat_ws(":", key, F.lit(f"order{seed}"), F.col("copy").cast("string")).cast("binary"))
     order = F.conv(F.substring(order, 1, 15), 16, 10).cast("long")
-    return copies.withColumn("shuffle_key", order).repartitionByRange(salted_parts(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
+    # The 60-bit keys are even, so a key's range follows from the key; nothing has to be sampled.
+    parts = salted_parts(spark)
+    place = F.shiftright(F.shiftright("shuffle_key", 20) * F.lit(parts).cast("long"), 40).cast("int")
+    return copies.withColumn("shuffle_key", order).repartitionById(parts, place).sortWithinPartitions("shuffle_key")
 
 
 def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
