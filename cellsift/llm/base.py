@@ -2,57 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop_path, new_path, scratch, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local session gets a folder under the temporary one; a cluster without the
-    setting is an error, since a machine's own folder would lose rows there.
-    """
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    import tempfile
-
-    return f"{tempfile.gettempdir()}/cellsift-scratch"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the scratch folder, removed when the application ends."""
-    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.deleteOnExit(hadoop)
-    return path
-
+__all__ = ["drop_path", "halves", "map_rows", "new_path", "remainder", "salted_parts", "scratch", "table", "texts", "written"]
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once and kept as Parquet in the scratch folder: it survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, most: int = 16 << 20) -> DataFrame:
@@ -70,10 +32,23 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
                 yield pa.RecordBatch.from_arrays(
                     [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in shape], schema=shape
                 )
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Gives a task's freed memory back to the system; its worker waits for other tasks, and several may wait."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def halves(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Splits a batch until a part has about 16 MB or one row, so that long texts don't add up."""
     if batch.num_rows <= 1 or batch.nbytes <= most:
@@ -95,11 +70,5 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def crc_mod(ids: list, modulus: int) -> list[int | None]:
-    import zlib
-
-    return [None if x is None else zlib.crc32(str(x).encode()) % modulus for x in ids]
-
-
 def salted_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
