@@ -59,7 +59,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 30, seed: int = 3) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 100, seed: int = 3) -> Model:
     """Minimises prior * R+(P) + max(0, R-(U) - prior * R-(P)) with logistic loss in minibatches.
 
     Where the negative part of a batch goes below zero, the step goes up its gradient instead, as in
@@ -71,7 +71,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (model.w1, model.w2)]
     step, size = 0, 512
     rounds = max(1, max(len(positive), len(unlabelled)) // size)
-    for _ in range(max(epochs, -(-600 // rounds))):
+    epochs = max(epochs, -(-600 // rounds))
+    for _ in range(epochs):
         for _ in range(rounds):
             p, u = positive[rng.integers(0, len(positive), size)], unlabelled[rng.integers(0, len(unlabelled), size)]
             x = np.concatenate([p, u])
@@ -90,7 +91,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
             for w, g, m in zip((model.w1, model.w2), grads, moments, strict=True):
                 m[0] = 0.9 * m[0] + 0.1 * g
                 m[1] = 0.999 * m[1] + 0.001 * g * g
-                w -= 5e-3 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
+                w -= 5e-3 * (1 - step / (rounds * epochs + 1)) * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
     return model
 
 
@@ -98,14 +99,16 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives in the unlabelled scores, by the best bin.
 
     Above a cutoff lie at least prior * (share of positives above it) of the unlabelled; the ratio of the two
-    shares, where its upper confidence bound is least, is the estimate.
+    shares, where its upper confidence bound is least, is the estimate, less two standard errors: too large a
+    prior hides negatives, too small a one is what the non-negative risk is made for.
     """
     cuts = np.quantile(positive, np.linspace(0.005, 0.9, 180))
     p = np.array([(positive >= c).mean() for c in cuts])
     u = np.array([(unlabelled >= c).mean() for c in cuts])
     slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
     best = np.argmin((u + slack) / p)
-    return float(np.clip(u[best] / p[best], 0.02, 0.98))
+    error = 2 * np.sqrt(u[best] * (1 - u[best]) / len(unlabelled))
+    return float(np.clip(u[best] / p[best] - error, 0.02, 0.98))
 
 
 def sampled(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int) -> tuple[np.ndarray, np.ndarray]:
