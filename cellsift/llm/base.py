@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, most: int = 16 << 20) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, most: int = 4 << 20) -> DataFrame:
     """mapInArrow with a function made once for each task; it gives columns by name for a batch of about `most` bytes."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -49,8 +49,8 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
-def halves(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Splits a batch until a part has about 16 MB or one row, so that long texts don't add up."""
+def halves(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Splits a batch until a part has about 4 MB or one row, so that long texts don't add up."""
     if batch.num_rows <= 1 or batch.nbytes <= most:
         if batch.num_rows:
             yield batch

@@ -125,7 +125,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
         return step
 
-    return map_rows(docs, make, "doc_id long, text_key binary, bands array<long>", 4 << 20)
+    return map_rows(docs, make, "doc_id long, text_key binary, bands array<long>", 2 << 20)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
         return step
 
-    return map_rows(docs, make, "doc_id long, words binary", 4 << 20)
+    return map_rows(docs, make, "doc_id long, words binary", 2 << 20)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import halves, map_rows, table, texts
+from .base import halves, map_rows, table, texts, trim
 
 
 @dataclass(frozen=True)
@@ -211,11 +211,11 @@ class Scanner:
                     states[j, i] = s
                     j += 1
             before = int(states[-1, i])
-        found = self.all.hits[states >> 8]
-        j, i = np.nonzero(found)
+        states >>= 8
+        j, i = np.nonzero((self.all.hits != 0)[states])
         at = i * steps + j
         order = np.argsort(at)
-        return at[order] + 1, found[j, i][order]
+        return at[order] + 1, self.all.hits[states[j, i]][order]
 
     def matches(self, rule: int, text: bytes, ends: list[int]) -> list[tuple[int, int]]:
         """Leftmost longest matches that don't overlap, from all positions where some match ends."""
@@ -339,6 +339,7 @@ def redact(docs: DataFrame, mask: str = "[{kind}]", rules: list[Rule] | None = N
                 new = {"text": pa.array(kept, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in kept], pa.int64())}
                 cols = [new[n].cast(batch.schema.field(n).type) if n in new else batch.column(n) for n in batch.schema.names]
                 yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
