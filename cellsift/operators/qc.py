@@ -9,12 +9,12 @@ from ..model import Experiment
 from ..storage import written
 
 
-def gene_aggregates(counts: DataFrame, genes: DataFrame, n_droplets: int) -> DataFrame:
-    """genes with mean (over all droplets, zeros too), total_counts and n_cells (droplets with more than 0)."""
+def gene_aggregates(counts: DataFrame, genes: DataFrame, n_droplets: DataFrame) -> DataFrame:
+    """genes with mean (over all droplets, zeros too), total_counts and n_cells (droplets with more than 0); n_droplets: one row, _n."""
     sums = counts.groupBy("gene_idx").agg(F.sum("count").alias("total_counts"), F.count_if(F.col("count") > 0).alias("n_cells"))
     total = F.coalesce("total_counts", F.lit(0.0))
-    joined = genes.select("gene_idx", "gene").join(sums, "gene_idx", "left")
-    return joined.select("gene_idx", "gene", F.try_divide(total, F.lit(float(n_droplets))).alias("mean"), total.alias("total_counts"), F.coalesce("n_cells", F.lit(0)).cast("long").alias("n_cells"))
+    joined = genes.select("gene_idx", "gene").join(sums, "gene_idx", "left").join(F.broadcast(n_droplets))
+    return joined.select("gene_idx", "gene", F.try_divide(total, F.col("_n").cast("double")).alias("mean"), total.alias("total_counts"), F.coalesce("n_cells", F.lit(0)).cast("long").alias("n_cells"))
 
 
 def droplet_aggregates(counts: DataFrame, droplets: DataFrame) -> DataFrame:
@@ -35,9 +35,9 @@ def create_experiment(counts: DataFrame, genes: DataFrame | None = None, droplet
         genes = counts.select("gene_idx").distinct().withColumn("gene", F.concat(F.lit("Gene"), F.col("gene_idx") + 1))
     if droplets is None:
         droplets = counts.select("droplet_idx").distinct().withColumn("droplet", F.concat(F.lit("Drop"), F.col("droplet_idx") + 1))
-    n = droplets.count() if n_droplets is None else n_droplets
+    n = droplets.agg((F.count("*") if n_droplets is None else F.lit(n_droplets)).alias("_n"))
     kept = droplet_aggregates(counts, droplets.select("droplet_idx", "droplet")).where("total_counts > 0")
-    return Experiment(counts.where("count <> 0"), written(gene_aggregates(counts, genes, n), "genes"), written(kept, "droplets"), name)
+    return Experiment(counts.where("count <> 0"), gene_aggregates(counts, genes, n), kept, name)
 
 
 def set_debris_test_set(x: Experiment, min_counts: float = 100, min_genes: int = 0, top_n: int | None = None, debris_ids: DataFrame | list[str] | None = None) -> Experiment:
@@ -50,7 +50,7 @@ def set_debris_test_set(x: Experiment, min_counts: float = 100, min_genes: int =
         raise ValueError("top_n must be at least 0")
     if min_counts < 0 or min_genes < 0:
         raise ValueError("min_counts and min_genes must be at least 0")
-    droplets = x.droplets.drop("set")
+    droplets = written(x.droplets.drop("set"), "droplets")
     keep = (F.col("total_counts") >= float(min_counts)) & (F.col("n_genes") >= min_genes)
     if top_n:
         nth = droplets.where(keep).orderBy(F.desc("total_counts"), "droplet_idx").limit(top_n).agg(F.count("*").alias("n"), F.min("total_counts").alias("least")).first()
@@ -61,6 +61,7 @@ def set_debris_test_set(x: Experiment, min_counts: float = 100, min_genes: int =
         ids = debris_ids if isinstance(debris_ids, DataFrame) else x.droplets.sparkSession.createDataFrame([(d,) for d in debris_ids], "droplet string")
         named = ids.select("droplet").distinct().withColumn("_named", F.lit(True))
         marked = marked.join(named, "droplet", "left").withColumn("set", F.when(F.col("_named"), "debris").otherwise(F.col("set"))).drop("_named").select(*droplets.columns, "set")
+        marked = written(marked, "droplets")
     if marked.where("set = 'test'").limit(2).count() < 2:
         raise ValueError("the test set has fewer than two droplets: lower min_counts or min_genes")
     return x.with_(droplets=marked)
@@ -70,9 +71,10 @@ def filter_genes(x: Experiment, cpm_thresh: float = 0) -> Experiment:
     """Marks genes with more than cpm_thresh counts per million of all counts as expressed."""
     if not x.has_sets:
         raise ValueError("call set_debris_test_set first")
-    total = x.genes.agg(F.sum("total_counts").alias("_all"))
+    genes = written(x.genes.drop("exprsd"), "genes")
+    total = genes.agg(F.sum("total_counts").alias("_all"))
     # one row
-    marked = x.genes.drop("exprsd").join(F.broadcast(total)).withColumn("exprsd", F.lit(1e6) * F.col("total_counts") / F.col("_all") > cpm_thresh).drop("_all")
+    marked = genes.join(F.broadcast(total)).withColumn("exprsd", F.lit(1e6) * F.col("total_counts") / F.col("_all") > cpm_thresh).drop("_all")
     if marked.where("exprsd").isEmpty():
         raise ValueError("no gene passes the threshold")
     return x.with_(genes=marked)

@@ -17,7 +17,7 @@ from ..functions.columns import lgamma, log_sum_exp, shares, softmax, softmax_ma
 from ..model import Experiment
 from ..operators import clustering, expression, mixture, normalize, plots, qc, scoring, variable
 from ..sources import tables, tenx
-from ..storage import new_path
+from ..storage import new_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -49,10 +49,18 @@ def query(sql: str | None = None, head: str = ORDERS):
     return put
 
 
-def orders(spark: SparkSession, sf: str) -> Experiment:
+def once(spark: SparkSession, sf: str) -> Experiment:
+    """For queries that read the counts once."""
     return tables.experiment(spark, sf, "orders")
 
 
+def orders(spark: SparkSession, sf: str) -> Experiment:
+    """With the counts written, for queries that go over them again."""
+    counts, genes, droplets = tables.orders_by_brand(spark, sf)
+    counts, genes = written(counts, "counts"), written(genes, "names")
+    return qc.create_experiment(counts, genes, counts.select("droplet_idx").distinct().withColumn("droplet", F.concat(F.lit("O"), "droplet_idx")), "orders")
+
+
 def split(spark: SparkSession, sf: str) -> Experiment:
     return qc.filter_genes(qc.set_debris_test_set(orders(spark, sf)))
 
@@ -79,12 +87,12 @@ def labelled(spark: SparkSession, sf: str) -> Experiment:
 
 @query(" SELECT gene, round(mean, 6) AS mean, total_counts, CAST(n_cells AS BIGINT) AS n_cells FROM gd")
 def fill_counts_gene(spark, sf):
-    return orders(spark, sf).genes.select("gene", r("mean").alias("mean"), "total_counts", "n_cells")
+    return once(spark, sf).genes.select("gene", r("mean").alias("mean"), "total_counts", "n_cells")
 
 
 @query(" SELECT 'O' || droplet_idx AS droplet, total_counts, CAST(n_genes AS BIGINT) AS n_genes FROM d")
 def fill_counts_droplet(spark, sf):
-    return orders(spark, sf).droplets.select("droplet", "total_counts", "n_genes")
+    return once(spark, sf).droplets.select("droplet", "total_counts", "n_genes")
 
 
 @query(
@@ -132,7 +140,7 @@ def filter_genes_cpm(spark, sf):
 
 @query(" SELECT droplet_idx, round(100 * sum(CASE WHEN gene LIKE 'Brand#1%' THEN count ELSE 0 END) / sum(count), 6) AS pct FROM c JOIN g ON c.gene_idx = g.gene_idx GROUP BY 1")
 def gene_pct(spark, sf):
-    x = orders(spark, sf)
+    x = once(spark, sf)
     return qc.gene_percent(x, qc.genes_like(x, "^brand#1"), "pct").droplets.select("droplet_idx", r("pct").alias("pct"))
 
 
@@ -165,12 +173,12 @@ def raw_counts_clean(spark, sf):
 
 @query(" SELECT gene, CAST(n_cells AS BIGINT) AS n_cells FROM gd WHERE n_cells >= 2200")
 def gene_data_min(spark, sf):
-    return qc.gene_data(orders(spark, sf), 2200).select("gene", "n_cells")
+    return qc.gene_data(once(spark, sf), 2200).select("gene", "n_cells")
 
 
 @query(" SELECT total_counts, CAST(min(n) AS BIGINT) AS rank FROM (SELECT total_counts, row_number() OVER (ORDER BY total_counts DESC, droplet_idx) AS n FROM d) GROUP BY 1")
 def barcode_rank(spark, sf):
-    return plots.barcode_rank_plot(orders(spark, sf))
+    return plots.barcode_rank_plot(once(spark, sf))
 
 
 @query(TEST + " SELECT droplet_idx, 'O' || droplet_idx AS droplet, CAST(droplet_idx % 3 + 1 AS VARCHAR) AS \"Cluster\" FROM t")
@@ -183,12 +191,12 @@ def cluster_labels(spark, sf):
 
 @query(" SELECT gene_idx, c.droplet_idx, round(count / total_counts, 9) AS value FROM c JOIN d ON c.droplet_idx = d.droplet_idx")
 def proportions(spark, sf):
-    return normalize.proportions(orders(spark, sf).counts).withColumn("value", r("value", 9))
+    return normalize.proportions(once(spark, sf).counts).withColumn("value", r("value", 9))
 
 
 @query(" SELECT gene_idx, c.droplet_idx, round(ln(1 + 10000.0 * count / total_counts), 6) AS value FROM c JOIN d ON c.droplet_idx = d.droplet_idx")
 def log_norm_sf(spark, sf):
-    return normalize.norm_counts(orders(spark, sf).counts, 1e4).withColumn("value", r("value"))
+    return normalize.norm_counts(once(spark, sf).counts, 1e4).withColumn("value", r("value"))
 
 
 @query(TEST + " SELECT gene_idx, c.droplet_idx, round(ln(1 + (SELECT median(total_counts) FROM t) * count / total_counts), 6) AS value FROM c JOIN t ON c.droplet_idx = t.droplet_idx")
