@@ -32,13 +32,12 @@ _TALL = 256.0
 
 
 def weighted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text's index, shingle hash, weight) of the distinct shingles: 1 + log2 of how often the text has one."""
+    """(text's index, shingle hash, weight) of the distinct shingles: weight 1 each, as in the similarity that decides."""
     owner, hashes = shingled(texts)
     order = np.lexsort((hashes, owner))
     owner, hashes = owner[order], hashes[order]
     first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])) if len(owner) else np.zeros(0, int)
-    count = np.diff(np.concatenate([first, [len(owner)]]))
-    return owner[first], hashes[first], 1 + np.log2(np.maximum(count, 1))
+    return owner[first], hashes[first], np.ones(len(first))
 
 
 def edges_of(level: int) -> tuple[float, float]:

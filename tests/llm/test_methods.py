@@ -267,6 +267,20 @@ def test_classes_are_those_of_all_pairs(spark, monkeypatch):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_repeats_do_not_part_texts(spark):
+    """Texts with nearly the same shingles, each as often as it likes, are linked."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+        texts += [base, *[" ".join([base] * times) for times in (2, 3, 4, 8)]]
+    sets = [shingle_set(t) for t in texts]
+    assert min(jaccard(sets[i - i % 5], sets[i]) for i in range(len(texts))) > 0.95
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got == {i: i - i % 5 for i in range(len(texts))}
+
+
 def test_darts_agree_as_often_as_weights_do():
     """The share of equal coordinates estimates the weighted Jaccard similarity."""
     rng = np.random.default_rng(3)
