@@ -311,8 +311,8 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, stirling:
 
     opening: the weight of a new table against c - discount * t of the t tables there are. Up to EXACT customers
     the number of tables is drawn from its conditional, S(c, t) * opening ** t. Larger parties come in
-    one by one up to EXACT, then in groups of 5 percent of those who sit, over which the chance of a new
-    table hardly changes. key: each dish's source of random numbers.
+    one by one up to EXACT, then in groups of 5 percent of those who sit: the law of arrivals, which is not
+    the conditional. The sweeps use reseat(). key: each dish's source of random numbers.
     """
     tables = np.ones(len(customers))
     few = np.flatnonzero((customers > 1) & (customers <= EXACT))
@@ -340,6 +340,78 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, stirling:
     return tables
 
 
+def party_moments(customers: np.ndarray, opening: np.ndarray, discount: float, points: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of t under S(c, t) * opening ** t, for c beyond EXACT.
+
+    The sum over t is c! times the coefficient of z ** c in exp(opening * (1 - (1 - z) ** d) / d). With z = exp(s) its
+    contour is a parabola around the cut s > 0, through the saddle or, for few tables, near the cut's end.
+    """
+    c, rate = customers[:, None], (opening / discount)[:, None]
+    low, high = np.log(1e-3 / customers), np.full(len(customers), 4.0)
+    for _ in range(30):  # the saddle, at s = -sigma
+        at = (low + high) / 2
+        sigma = np.exp(at)
+        beyond = np.log(opening / customers) - sigma + (discount - 1) * np.log(-np.expm1(-sigma)) > 0
+        low, high = np.where(beyond, at, low), np.where(beyond, high, at)
+    sigma = np.maximum(sigma, 6 / customers)
+    bend = customers + opening * (1 - discount) * np.exp(-2 * sigma) * (-np.expm1(-sigma)) ** (discount - 2)
+    reach = np.minimum(np.minimum(8 / (2 * sigma * np.sqrt(bend)), np.sqrt(40 / (customers * sigma)) * 1.6), np.pi / (2 * sigma))
+    sigma = sigma[:, None]
+    turn = 1 + 1j * reach[:, None] * ((np.arange(points) + 0.5) / points)
+    s = -sigma * turn**2
+    y = rate * (-np.expm1(s)) ** discount
+    top = c * sigma - y[:, :1].real
+    weight = turn * np.exp(-y - c * s - top)
+    # the constant has no such coefficient; without it small y lose no digits
+    small = y[:, 0].real < 1
+    whole = np.where(small[:, None], turn * np.expm1(-np.where(small[:, None], y, 0)) * np.exp(-c * s - np.where(small[:, None], top, c * sigma)), weight)
+    a, b, e = (x.real.sum(axis=1) for x in (whole, -y * weight, y * y * weight))
+    mean = rate[:, 0] + b / a
+    return mean, mean + e / a - (b / a) ** 2
+
+
+def matched(mean: np.ndarray, variance: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Counts of such mean and variance: binomial, Poisson or negative binomial, by inversion up to a mean of 30, else normal with their skewness."""
+    out = np.zeros(len(mean))
+    variance = np.maximum(variance, 1e-3 * mean)
+    few = np.flatnonzero((mean > 0) & (mean <= 30))
+    m, v = mean[few], variance[few]
+    ratio = np.where(np.abs(v / m - 1) < 1e-6, 1 + 1e-6, v / m)
+    mass = np.exp(m * np.log(ratio) / (1 - ratio))
+    left, a, k = uniform(key[few], 0) - mass, 1 - 1 / ratio, 0
+    b = m / ratio - a
+    while (left > 0).any() and k < 400:
+        k += 1
+        out[few] += left > 0
+        mass = mass * np.maximum(a + b / k, 0)
+        left = left - np.where(mass > 0, mass, np.inf)
+    many = np.flatnonzero(mean > 30)
+    m, v = mean[many], variance[many]
+    normal = np.sqrt(-2 * np.log(uniform(key[many], 0))) * np.cos(2 * np.pi * uniform(key[many], 1))
+    out[many] = np.maximum(np.rint(m + np.sqrt(v) * normal + (2 * v / m - 1) * (normal**2 - 1) / 6), 0)
+    return out
+
+
+def reseat(customers: np.ndarray, opening: np.ndarray, discount: float, stirling: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """As seat(), every dish from its conditional S(c, t) * opening ** t, parties beyond EXACT too.
+
+    For those, tables beyond the first, or customers beyond one a table where most have a table of their own,
+    are drawn from the law that has the conditional's mean and variance; as the parties grow the two laws meet.
+    """
+    tables = np.ones(len(customers))
+    few = customers <= EXACT
+    tables[few] = seat(customers[few], opening[few], discount, stirling, key[few])
+    large = np.flatnonzero(~few)
+    for x in range(0, len(large), 4000):
+        rows = large[x : x + 4000]
+        c = customers[rows].astype(float)
+        mean, variance = party_moments(c, opening[rows], discount)
+        most = mean > 0.75 * c
+        got = matched(np.where(most, c - mean, mean - 1), variance, key[rows])
+        tables[rows] = np.clip(np.where(most, c - got, 1 + got), 1, c)
+    return tables
+
+
 def sampled(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, cuts: np.ndarray, totals: Totals, stirling: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Gibbs sweeps over some words' dishes, given the totals.
 
@@ -363,11 +435,11 @@ def sampled(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, cuts: np.ndarray,
     for sweep in range(BURN_IN + SAMPLES):
         others = guests[whose] - tables + 1  # one table there is in any case
         parent = np.maximum(others - totals.root_discount * np.minimum(root[whose], others), 0) / root_down + new
-        tables = seat(size, context * parent, totals.discount, stirling[0], mixed(dishes + np.uint64(sweep)))
+        tables = reseat(size, context * parent, totals.discount, stirling[0], mixed(dishes + np.uint64(sweep)))
         guests = alone + np.bincount(whose, weights=tables, minlength=len(word))
         many = np.flatnonzero(guests > 1)
         root = np.minimum(guests, 1.0)
-        root[many] = seat(guests[many], np.full(len(many), new * root_down), totals.root_discount, stirling[1], mixed(words[many] + np.uint64(sweep)))
+        root[many] = reseat(guests[many], np.full(len(many), new * root_down), totals.root_discount, stirling[1], mixed(words[many] + np.uint64(sweep)))
         if sweep >= BURN_IN:
             mean += tables / SAMPLES
             at_root += (np.maximum(guests - totals.root_discount * root, 0) / root_down + new) / SAMPLES

@@ -182,6 +182,38 @@ def test_seating_has_the_exact_law():
     assert 1 <= language_model.seat(np.array([1e9]), np.array([5.0]), d, table, keys[:1])[0] < 1e9
 
 
+def test_large_parties_have_the_conditional_law():
+    """65 to 5,000 customers against S(c, t) * opening ** t."""
+    keys = np.random.default_rng(5).integers(0, 2**63, 20_000).astype(np.uint64)
+    for d in (0.3, 0.75, 0.95):
+        table, row = language_model.log_stirling(d), np.zeros(1)
+        for c in range(1, 5001):
+            t = np.arange(1, c + 1)
+            if c in (65, 200, 2000, 5000):
+                for opening in (1e-3, 1.0, 20.0, 1000.0):
+                    law = np.exp((w := row + t * math.log(opening)) - w.max())
+                    law /= law.sum()
+                    got = language_model.reseat(np.full(20_000, float(c)), np.full(20_000, opening), d, table, keys)
+                    share = np.bincount(got.astype(int), minlength=c + 1)[1:] / 20_000
+                    assert abs(np.cumsum(share) - np.cumsum(law)).max() < 0.02, (d, c, opening)
+                    mean, variance = language_model.party_moments(np.array([float(c)]), np.array([opening]), d)
+                    assert math.isclose(mean[0], (want := law @ t), rel_tol=2e-4) and math.isclose(variance[0], law @ (t - want) ** 2, rel_tol=0.01)
+            stay = np.append(np.log(np.maximum(c - d * t, 1e-300)) + row, -np.inf)
+            row = np.logaddexp(np.append(-np.inf, row), stay)
+    assert np.isfinite(language_model.reseat(np.array([1e10, 1e6]), np.array([1e-9, 1e6]), 0.75, language_model.log_stirling(0.75), keys[:2])).all()
+
+
+def test_seats_are_drawn_anew_by_the_conditional():
+    """One dish of 2,000 customers among many: 1 + opening / discount tables in the limit."""
+    n = 400
+    customers, tables = np.full(language_model.CONTEXTS, 10.0), np.zeros(language_model.CONTEXTS)
+    customers[0], tables[0] = 1e6, 1e5
+    totals = language_model.Totals(1e6, 100, customers, tables, 5000.0, 0.75, 0.5)
+    args = np.arange(1, n + 1), np.zeros(n, np.uint16), np.full(n, 2000.0), np.arange(n + 1), totals, totals.stirling()
+    opening = (1 + 0.75 * tables[0]) * (0.5 / (1 + tables.sum()) + totals.root_backoff())
+    assert opening > 10 and abs(language_model.sampled(*args)[0].mean() - 1 - opening / 0.75) < 1
+
+
 def test_frequent_words_let_go_of_their_rows(spark, texts, monkeypatch):
     whole = queries()["op3_pitman_yor"](spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
     monkeypatch.setattr(language_model, "HELD_ROWS", 1)
