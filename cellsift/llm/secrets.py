@@ -33,6 +33,7 @@ class Rule:
     pattern: str
     least: int = 1
     value: int = 0  # fewest bytes behind the first : or = with its spaces and quote
+    tail: str = ""  # what belongs to the match where it follows; only the pattern is searched
 
 
 BASE = [
@@ -40,9 +41,13 @@ BASE = [
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24,}"),
 ]
-#: Public formats of tokens that services issue.
+#: A key's text up to the END line, or where there is none, its headers and lines of base64.
+_GAP = r"(?:[\x20\x09\r\n]|\\[rn])"
+_CLOSED = r"(?:-{0,4}[^-\xff])*-----END [A-Z ]*PRIVATE KEY-----"
+_OPEN = rf"(?:{_GAP}+[A-Za-z-]+:[^\n\xff]*)*(?:{_GAP}*[A-Za-z0-9+/=]{{16,}})+(?:{_GAP}+[A-Za-z0-9+/=]+)?"
+#: Private keys, and public formats of tokens that services issue.
 ADDED = [
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=f"(?:{_CLOSED}|{_OPEN})?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
@@ -184,7 +189,7 @@ class Scanner:
         self.rules = rules
         self.all = Dfa([r.pattern for r in rules], unanchored=True)
         self.flat = self.all.move.ravel() * 256  # states times 256
-        self.ahead = [Dfa([r.pattern], unanchored=False) for r in rules]
+        self.ahead = [Dfa([r.pattern + r.tail], unanchored=False) for r in rules]
         self.back = [Dfa([r.pattern], unanchored=False, backward=True) for r in rules]
 
     def ends(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

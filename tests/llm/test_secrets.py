@@ -36,6 +36,21 @@ def test_added_rules():
     assert [scanner.rules[k].kind for _, k, _ in scanner.scan([text.encode()])[0]] == ["github", "pem"]
 
 
+def test_private_keys_are_masked_whole(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + "aB3/" * 12, "q+Z9" * 16, "xY12=="]
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    extra = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", ""]
+    bodies = [gap.join([*more, *lines]) for gap in ("\n", "\r\n", "\\n") for more in ([], extra) if not (more and gap == "\\n")]
+    texts = [f"é a {head}\n{b}\n{foot} b" for b in bodies] + [f"é a {head}\n{b}" for b in bodies] + [f"é a {head}\n\n -- see b"]
+    texts.append(f"é a {head}\n{bodies[0]}\n{head}\n{bodies[0]}\n{foot} b")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = len(bodies)
+    want = ["é a [pem] b"] * n + ["é a [pem]"] * n + ["é a [pem]\n\n -- see b", "é a [pem]\n[pem] b"]
+    assert [r.text for r in S.redact(docs).orderBy("doc_id").collect()] == want
+    first = {r.doc_id: r.spans for r in S.find_secrets(docs).collect()}[0]
+    assert [(s.start, s.end) for s in first if s.kind == "pem"] == [(4, len(texts[0]) - 2)]
+
+
 def test_lanes_meet(monkeypatch):
     scanner = S.Scanner(S.BASE)
     text = ("0123456789abcdef" * 400 + "g") * 3 + "token" + " " * 3000 + "=" + "A" * 5000
