@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import drop_path, new_path, scratch, written
 
-__all__ = ["drop_path", "halves", "map_rows", "new_path", "remainder", "salted_parts", "scratch", "table", "texts", "written"]
+__all__ = ["SALTS", "drop_path", "halves", "map_rows", "new_path", "part_of", "remainder", "salted_parts", "scratch", "spread_join", "table", "texts", "written"]
+
+#: Parts that the rows of one key are dealt to.
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,3 +75,16 @@ def remainder(column: str, modulus: int):
 
 def salted_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def part_of(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, part: Column) -> DataFrame:
+    """big joined with the one row that small has for each key, or none; a key's rows in big go to SALTS tasks.
+
+    Only keys and parts that occur meet small, so it isn't multiplied by SALTS.
+    """
+    dealt = big.withColumn("_part", part)
+    return dealt.join(dealt.select(key, "_part").distinct().join(small, key), [key, "_part"]).drop("_part")

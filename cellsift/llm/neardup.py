@@ -1,8 +1,10 @@
 """Near-duplicate documents by DartMinHash signatures, banded joining and an exact check.
 
-Exact copies are joined first; of each text one representative goes on. Darts give it a signature, bands of
-the signature give candidates, and word shingles decide: two texts are linked if the Jaccard similarity of
-their five-word shingles is 0.8 or more. Classes are the connected components of the links.
+Exact copies are joined first; each distinct text goes on once, under a number of its own. Darts give it a
+signature, bands of the signature give candidates, and word shingles decide: two texts are linked if the
+Jaccard similarity of their five-word shingles is 0.8 or more. The darts' weights and the decision use the
+same similarity: of shingle sets, or weighted by how often a text has a shingle. Classes are the connected
+components of the links.
 """
 
 from __future__ import annotations
@@ -13,11 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import map_rows, table, texts, written
+from .base import SALTS, map_rows, part_of, spread_join, table, texts, written
 from .graph import components
 from .shingles import mixed, shingled
 
@@ -31,13 +32,29 @@ _FINE = 2.0**-6
 _TALL = 256.0
 
 
-def weighted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text's index, shingle hash, weight) of the distinct shingles: weight 1 each, as in the similarity that decides."""
+def weighted(texts: list[str], counted: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text's index, shingle hash, weight) of the distinct shingles; weight: 1, or if counted, how often the text has it."""
     owner, hashes = shingled(texts)
     order = np.lexsort((hashes, owner))
     owner, hashes = owner[order], hashes[order]
     first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])) if len(owner) else np.zeros(0, int)
-    return owner[first], hashes[first], np.ones(len(first))
+    count = np.diff(np.append(first, len(owner))).astype(float)
+    return owner[first], hashes[first], count if counted else np.ones(len(first))
+
+
+def members(texts: list[str], counted: bool = False) -> list[np.ndarray]:
+    """For each text the sorted 32-bit hashes of a set; the sets' similarity is that of the weighted shingles.
+
+    A shingle of whole weight w gives w elements, the first to the w-th of its kind: the Jaccard similarity of
+    such sets is the weighted one, the sum of least weights by the sum of greatest.
+    """
+    owner, hashes, weight = weighted(texts, counted)
+    w = weight.astype(np.int64)
+    number = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+    owner, hashes = np.repeat(owner, w), np.repeat(hashes, w) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    cut = np.searchsorted(owner, np.arange(len(texts) + 1))
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    return [np.unique(short[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
 
 
 def edges_of(level: int) -> tuple[float, float]:
@@ -111,42 +128,40 @@ def band_hashes(signatures: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, bands; no bands for texts without words."""
+def text_key(text: str = "text") -> Column:
+    """128 bits of a text; null as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def sketches(docs: DataFrame, counted: bool) -> DataFrame:
+    """doc_id, text_key, part, bands; no bands for texts without words."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             raw = texts(batch)
-            owner, element, weight = weighted(raw)
+            owner, element, weight = weighted(raw, counted)
             bands = band_hashes(dart_signatures(owner, element, weight, len(raw), BANDS * ROWS))
             some = np.bincount(owner, minlength=len(raw)) > 0
-            return {"doc_id": batch.column("doc_id"), "text_key": [xxhash.xxh3_128_digest(t.encode()) for t in raw], "bands": [b if s else [] for b, s in zip(bands, some, strict=True)]}
+            return {x: batch.column(x) for x in ("doc_id", "text_key", "part")} | {"bands": [b if s else [] for b, s in zip(bands, some, strict=True)]}
 
         return step
 
-    return map_rows(docs, make, "doc_id long, text_key binary, bands array<long>", 2 << 20)
+    return map_rows(docs, make, "doc_id long, text_key binary, part int, bands array<long>", 2 << 20)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, words: the distinct shingles' 32-bit hashes, sorted, as bytes."""
+def shingle_sets(docs: DataFrame, counted: bool) -> DataFrame:
+    """rep, words: members() of the text, as bytes."""
 
     def make():
-        def step(batch: pa.RecordBatch) -> dict:
-            raw = texts(batch)
-            owner, hashes = shingled(raw)
-            cut = np.searchsorted(owner, np.arange(len(raw) + 1))
-            short = (hashes >> np.uint64(32)).astype(np.uint32)
-            return {"doc_id": batch.column("doc_id"), "words": [np.unique(short[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]}
-
-        return step
+        return lambda batch: {"rep": batch.column("rep"), "words": [w.tobytes() for w in members(texts(batch), counted)]}
 
-    return map_rows(docs, make, "doc_id long, words binary", 2 << 20)
+    return map_rows(docs, make, "rep long, words binary", 2 << 20)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar."""
-    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("words").alias("wb")), "b")
-    both = one.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("wa")), "a")
+    """Those of the pairs (a, b) whose sets are similar. A text may be the a of many pairs, the b of a few."""
+    one = pairs.join(sets.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b")
+    both = one.join(sets.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,21 +178,41 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(check, "a long, b long")
 
 
-def with_roots(cand: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links).select(F.col("node").alias("rep"), "root")
-    return cand.join(roots, "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
+def candidates(first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(band, rep) of the buckets with several texts, and the pairs (a, b), a < b, that are looked at first.
+
+    A bucket is dealt to SALTS parts. Members meet the least one of their part, and those the least one of
+    the bucket, so no task holds a large bucket and no text meets more than a part of it.
+    """
+    bands = first.select("rep", F.explode("bands").alias("band")).withColumn("part", part_of("rep"))
+    own = Window.partitionBy("band", "part")
+    dealt = written(bands.select("band", "rep", F.min("rep").over(own).alias("head"), F.max("rep").over(own).alias("last")), "parts")
+    whole = Window.partitionBy("band")  # SALTS rows at most
+    heads = dealt.where("rep = head").select("band", "rep", (F.col("head") < F.col("last")).alias("several"))
+    tops = written(heads.select("*", F.min("rep").over(whole).alias("top"), F.max("rep").over(whole).alias("last")).where("several OR top < last"), "tops")
+    others = dealt.where("head < rep")
+    rows = others.select("band", "rep").union(tops.select("band", "rep"))
+    pairs = others.select(F.col("head").alias("a"), F.col("rep").alias("b")).union(tops.where("top < rep").select(F.col("top").alias("a"), F.col("rep").alias("b")))
+    return rows, pairs.distinct()
+
+
+def with_roots(cand: DataFrame, forest: DataFrame) -> DataFrame:
+    """band, rep, root of the buckets in which several roots are left."""
+    rooted = cand.join(forest.select(F.col("node").alias("rep"), "root"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed_up = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
+    return spread_join(rooted, mixed_up, "band", part_of("rep"))
 
 
 def compared(rooted: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links between members of a bucket that lie in different components, all of them looked at.
 
-    A bucket's members in the component of its least member need not be compared with each other; all others
-    are compared with every member. Members are dealt to blocks of about BLOCK, those others to blocks of about
-    ASKING, and each block of the ones meets each of the others. A task holds two blocks, never a bucket,
-    and gives one link for a member and component.
+    A bucket's members in its least component need not be compared with each other; all others are compared
+    with every member. Members are dealt to blocks of about BLOCK, those others to blocks of about ASKING, and
+    each block of the ones meets each of the others. A task holds two blocks, never a bucket, and gives one
+    link for a member and component.
     """
-    sizes = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("rep", "root")).alias("main")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / ASKING).cast("int").alias("turns"), F.col("main.root").alias("main"))
-    rows = rooted.join(sizes.hint("merge"), "band").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    sizes = rooted.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("main")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / ASKING).cast("int").alias("turns"), "main")
+    rows = spread_join(rooted, sizes, "band", part_of("rep")).join(sets, "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
     turn = F.pmod(F.xxhash64("rep", F.lit("turn")), F.col("turns")).cast("int").alias("turn")
     what = ["band", "block", "turn", "rep", "root", "words"]
@@ -210,55 +245,67 @@ def compared(rooted: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return held.union(asking).groupBy("band", "block", "turn").applyInPandas(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id for each row; class_id is the least doc_id of the class.
-
-    Equal texts are one class, null and empty ones too. Texts without words are only like equal ones; texts
-    of fewer than five words are one shingle. Rows with equal doc_id are one document. A null doc_id counts
-    as the least number and stays null. Two texts at the threshold meet in some band with a probability of
-    0.999997; within a bucket of a band no pair of different components is left out, however large it is.
+def text_classes(docs: DataFrame, threshold: float, counted: bool) -> tuple[DataFrame, DataFrame]:
+    """A row for each distinct text: text_key, n rows, least doc_id, class_id, class_key; and doc_id, text_key, part of each row."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
+    dealt = keyed.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    sketch = written(sketches(dealt, counted), "sketches")
+    distinct = sketch.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    first = written(distinct.withColumn("rep", F.monotonically_increasing_id()), "texts")  # written, so that numbers stay
+    cand, pairs = candidates(first)
+    some = F.coalesce("doc_id", F.lit(0)).alias("some")  # of the rows with a text, those of one id are enough
+    owners = first.join(cand.select("rep").distinct(), "rep", "left_semi").select("rep", "text_key", F.coalesce("least", F.lit(0)).alias("some"))
+    source = keyed.select("text_key", some, "text").join(owners, ["text_key", "some"]).dropDuplicates(["text_key", "some"])
+    sets = written(shingle_sets(source.select("rep", "text"), counted), "sets")
+    forest = components(linked(pairs, sets, threshold))
+    rooted = written(with_roots(cand, forest), "mixed")
+    if not rooted.isEmpty():  # another leader of each bucket that has several components, then all that are left
+        other = rooted.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "root")).alias("o")).select("band", F.col("o.rep").alias("a"), F.col("o.root").alias("aroot"))
+        again = spread_join(rooted, other, "band", part_of("rep")).where("root <> aroot").select("a", F.col("rep").alias("b")).distinct()
+        forest = components(linked(again, sets, threshold), forest)
+        rooted = written(with_roots(rooted.drop("root"), forest), "mixed")
+    if not rooted.isEmpty():
+        forest = components(compared(rooted, sets, threshold), forest)
+    found = first.select("rep", "text_key", "least", "n").join(forest.withColumnRenamed("node", "rep"), "rep", "left").drop("rep")
+    alone = found.where("root IS NULL").select("text_key", "n", "least", F.col("least").alias("class_id"), F.col("text_key").alias("class_key"))
+    tied = found.where("root IS NOT NULL")
+    # of a class the least id that is not null, and the text that has it
+    best = tied.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "text_key")).alias("best")).select("root", F.col("best.least").alias("class_id"), F.col("best.text_key").alias("class_key"))
+    tied = spread_join(tied, best, "root", part_of("text_key")).select("text_key", "n", "least", "class_id", "class_key")
+    return written(alone.union(tied), "classes"), sketch.select("doc_id", "text_key", "part")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
+    """doc_id, class_id, class_key: a row for each input row.
+
+    Rows are copies if their texts are equal, whatever their ids; rows with equal or null ids and different
+    texts stay apart. class_key tells classes apart: it is the 128-bit key of the text with the least doc_id.
+    class_id is the least doc_id of the class, null where all are null. Null and empty texts are equal. Texts
+    without words are only like equal ones; texts of fewer than five words are one shingle. counted: similarity
+    and darts weigh a shingle as often as the text has it; else each weighs 1. Two texts at the threshold meet
+    in some band with a probability of 0.999997; within a bucket of a band no pair of different components is
+    left out, however large it is. Texts of any length are read whole. Extra columns are ignored, an empty
+    table gives no rows.
     """
-    least = F.lit(-(2**63))
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), "text")
-    sketch = written(sketches(docs), "sketches")
-    first = written(sketch.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "texts")
-    bands = first.select("rep", F.explode("bands").alias("band"))
-    leaders = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
-    cand = written(bands.join(leaders.hint("merge"), "band").select("band", "rep", "leader"), "candidates")
-    pairs = cand.where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    involved = cand.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(involved, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
-    links = written(linked(pairs, sets, threshold), "links")
-    rooted = with_roots(cand, links)
-    mixed_up = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    rooted = written(rooted.join(mixed_up.hint("merge"), "band", "left_semi"), "mixed")
-    # Another leader of each bucket that has several components, then all that are left.
-    other = rooted.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "root")).alias("o")).select("band", F.col("o.rep").alias("a"), F.col("o.root").alias("aroot"))
-    again = rooted.join(other.hint("merge"), "band").where("root <> aroot").select("a", F.col("rep").alias("b")).distinct()
-    links = written(links.union(linked(again, sets, threshold)), "links")
-    rooted = with_roots(rooted.drop("root"), links)
-    mixed_up = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    rooted = written(rooted.join(mixed_up.hint("merge"), "band", "left_semi"), "mixed")
-    links = written(links.union(compared(rooted, sets, threshold)), "links")
-    copies = sketch.join(first.select("text_key", "rep"), "text_key").select("doc_id", "rep")
-    # one document may have several texts
-    same = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")) if repeated(sketch) else None
-    roots = components(links.union(same) if same is not None else links)
-    found = copies.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return found.select(F.nullif("doc_id", least).alias("doc_id"), F.nullif(F.coalesce("root", "rep"), least).alias("class_id"))
+    known, rows = text_classes(docs, threshold, counted)
+    single = known.where("n = 1").select(F.col("least").alias("doc_id"), "class_id", "class_key")
+    copied = known.where("n > 1").select("text_key", "class_id", "class_key")
+    return single.union(spread_join(rows, copied, "text_key", F.col("part")).select("doc_id", "class_id", "class_key"))
 
 
-def repeated(sketch: DataFrame) -> bool:
-    """Whether some doc_id has two texts."""
-    return not sketch.groupBy("doc_id").agg(F.min("text_key").alias("x"), F.max("text_key").alias("y")).where("x <> y").isEmpty()
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, counted: bool = False) -> DataFrame:
+    """One row of each class, its columns as they were, whatever their names: that of the least doc_id, nulls last.
 
-
-def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The document with the least doc_id of each class, its columns as they were; of rows with that doc_id one."""
-    names = docs.columns
-    keep = classes(docs, threshold).where("doc_id <=> class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id"]).select(names)
+    Of several texts with that id the one with the least key stays, of rows equal in id and text one. Rows
+    with null or equal ids and different texts are different documents and all stay.
+    """
+    known, _ = text_classes(docs, threshold, counted)
+    keep = known.where("text_key = class_key").select("text_key", F.coalesce("least", F.lit(0)).alias("id"), F.col("least").isNull().alias("unnamed"))
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(F.struct("*").alias("row"), text_key().alias("text_key"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("unnamed"))
+    keys = ["text_key", "id", "unnamed"]
+    return rows.join(keep, keys, "left_semi").dropDuplicates(keys).select("row.*")
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")

@@ -103,6 +103,21 @@ def test_near_duplicates(docs):
     assert neardup.classes(none(docs)).count() == 0 and neardup.one_of_each(none(docs)).count() == 0
 
 
+def test_near_duplicates_keep_every_text(spark):
+    """Null and equal ids with different texts are different documents; equal rows are one."""
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    near = words[3].replace("d30", "x")
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (3, words[2]), (3, words[3]), (3, words[3]), (7, near), (8, words[4]), (None, words[4]), (0, words[5]), (None, words[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS `root`", "2 AS text_key", "3 AS `id`", "4 AS `a.b`", "5 AS rep", "6 AS part")
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(None, words[0]), (None, words[1]), (3, words[2]), (3, words[3]), (8, words[4]), (0, words[5])], key=str)
+    ids = [(r.doc_id, r.class_id, bytes(r.class_key)) for r in neardup.classes(docs).collect()]
+    assert len(ids) == len(rows) and len({k for _, _, k in ids}) == 6
+    assert {c for d, c, _ in ids if d == 7} == {3} and {c for d, c, _ in ids if d in (0, 8)} == {0, 8}
+
+
 def test_language(docs):
     raw = language.dictionaries(docs)
     assert set(raw) == {"en", "de", "fr"}

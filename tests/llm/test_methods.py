@@ -16,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 
 from oracle import connect, differences
 
-from cellsift.llm import archive, classifier, fingerprints, language_model, mixing, neardup, packing, quality, shingles
+from cellsift.llm import archive, classifier, fingerprints, graph, language_model, mixing, neardup, packing, quality, shingles
 from cellsift.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -313,6 +313,53 @@ def test_repeats_do_not_part_texts(spark):
     assert got == {i: i - i % 5 for i in range(len(texts))}
 
 
+def counted_jaccard(a, b):
+    x, y = (Counter(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in (a, b))
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_recall_at_the_threshold(spark, counted):
+    """Pairs of similarity 0.80 to 0.85 with repeated passages, under both similarities: all of them are linked, others aren't."""
+    rng = random.Random(21)
+    texts, want = [], []
+    while len(want) < 300:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        passage, times = [f"p{rng.randrange(10**6)}" for _ in range(12)], rng.choice([1, 5, 50])
+        other = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            other[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        more = passage * times if counted or rng.random() < 0.5 else [f"q{rng.randrange(10**6)}" for _ in range(12)] * times
+        a, b = " ".join(base + passage * times), " ".join(other + more)
+        same = counted_jaccard(a, b) if counted else jaccard(shingle_set(a), shingle_set(b))
+        if 0.8 <= same <= 0.85 or 0.7 < same < 0.8 and len(want) % 3 == 0:
+            texts += [a, b]
+            want.append(same >= 0.8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs, counted=counted).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(len(want))] == want
+
+
+def test_components(spark):
+    """Paths, a hub and random links against union-find, contracted in small runs so that rounds are needed."""
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 90)] + [(200, 201 + i) for i in range(300)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(150)]
+    rng.shuffle(edges)
+    root = list(range(1500))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in edges:
+        root[max(find(x), find(y))] = min(find(x), find(y))
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    forest = graph.components(df.where("a % 3 > 0"), held=4)
+    got = {r.node: r.root for r in graph.components(df.where("a % 3 = 0"), forest, held=4).collect()}
+    assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
+
+
 def test_darts_agree_as_often_as_weights_do():
     """The share of equal coordinates estimates the weighted Jaccard similarity."""
     rng = np.random.default_rng(3)
