@@ -64,7 +64,7 @@ def stars(edges: DataFrame) -> bool:
 
 def starred(run: list[pa.RecordBatch]) -> pa.RecordBatch:
     """Stars around the least node of each component of the edges."""
-    u, v = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("u", "v"))
+    u, v = (np.concatenate([x.column(c).to_numpy() for x in run]) for c in ("u", "v"))
     nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = place[: len(u)], place[len(u) :]
     root = np.arange(len(nodes))
