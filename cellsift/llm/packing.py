@@ -31,21 +31,31 @@ _ENCODERS: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """Text -> ids of the tokenizer in the JSON file, special tokens' strings being ordinary text.
+    """Text -> ids of the tokenizer in the JSON file, as the tokenizers library gives them without adding special tokens.
 
-    The JSON's own vocabulary is run by tiktoken, whose ids for it are the same and come 4 to 5 times
-    as fast: its ids are in merge order, so the id is the rank.
+    The file's added tokens are found in a text wherever their strings stand, and part it. The JSON's own
+    vocabulary is run by tiktoken, whose ids for it are the same and come 4 to 5 times as fast: its ids are in
+    merge order, so the id is the rank. A file whose added tokens take blanks, words' ends or normalised
+    text into account, which tiktoken can't, is run by tokenizers itself.
     """
     if path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["content"] for t in model.get("added_tokens", [])}
+        added = model.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word")) or model.get("normalizer"):
+            whole = Tokenizer.from_file(path)
+            _ENCODERS[path] = lambda text: whole.encode(text, add_special_tokens=False).ids
+            return _ENCODERS[path]
+        special = {t["content"]: t["id"] for t in added}
         letters = byte_alphabet()
         ranks = {bytes(letters[c] for c in w): i for w, i in model["model"]["vocab"].items() if w not in special}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        found = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        names = set(special)
+        _ENCODERS[path] = lambda text: found.encode(text, allowed_special=names)
     return _ENCODERS[path]
 
 

@@ -71,7 +71,6 @@ def test_pieces_hold_the_tokenizer_ids(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = queries()["op1_best_fit_packing"](spark, SF).toPandas()
     assert rows.groupby("sequence_id")["length"].sum().max() <= 2048
     for doc, mine in rows.sort_values("piece").groupby("doc_id"):
@@ -82,6 +81,27 @@ def test_pieces_hold_the_tokenizer_ids(spark, texts):
             assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
 
 
+def test_added_tokens_in_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, encode = Tokenizer.from_file(path), packing.encoder(path)
+    rng = random.Random(6)
+    bits = ["<|endoftext|>", "<|endoftext", "|>", "<", " ", "  ", "\n", "a", " word", "é", "漢字", "'s", "12", "\t", "<|endoftext|><|endoftext|>"]
+    for text in ["a <|endoftext|> b", "<|endoftext|>", *("".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(500))]:
+        assert list(encode(text)) == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_query_packs_as_best_fit_decreasing(spark):
+    """Sequences of the query hold their pieces without gaps, and as many are used as brute force uses."""
+    rows = queries()["op1_best_fit_packing"](spark, SF).toPandas().sort_values(["sequence_id", "offset"])
+    for _, r in rows.groupby("sequence_id"):
+        assert r["offset"].tolist() == [0, *r["length"].cumsum()[:-1]]
+    rooms = brute_bins(rows["length"].tolist(), 2048)
+    assert sorted(2048 - rows.groupby("sequence_id")["length"].sum()) == rooms
+
+
 # ---- quality rules
 
 
