@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import drop_path, new_path, scratch, written
 
-__all__ = ["SALTS", "drop_path", "halves", "map_rows", "new_path", "part_of", "remainder", "salted_parts", "scratch", "spread_join", "table", "texts", "written"]
+__all__ = ["SALTS", "drop_path", "halves", "map_rows", "map_same", "new_path", "part_of", "remainder", "salted_parts", "scratch", "spread_join", "table", "texts", "written"]
 
 #: Parts that the rows of one key are dealt to.
 SALTS = 64
@@ -40,6 +40,20 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
     return df.mapInArrow(run, schema)
 
 
+def map_same(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow that gives columns like those it gets; names of any kind, which mapInArrow itself doesn't take."""
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in run(b.rename_columns(names) for b in batches):
+            yield got.rename_columns(plain_names)
+        trim()
+
+    plain_names = plain.columns
+    return plain.mapInArrow(renamed, plain.schema).toDF(*names)
+
+
 def trim() -> None:
     """Gives a task's freed memory back to the system; its worker waits for other tasks, and several may wait."""
     import ctypes

@@ -43,45 +43,50 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float,
     return with_rate.select("source", "rate", "parts", terms.alias("cdf"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, volume: float = 1.0, seed: int = 17) -> DataFrame:
-    """The documents' columns with copy (from 0), rate and shuffle_key: each as often as its Poisson count says, in the order of shuffle_key.
+def draws(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, volume: float = 1.0, seed: int = 17) -> DataFrame:
+    """row (the document's columns), copy (from 0), rate and shuffle_key: each as often as its Poisson count says, in one global order.
 
     Weights are shares of the mixture by code points; without them a source weighs its size to the power
     of temperature. volume is the mixture's size against the input. A document's count depends on its id,
     its source's rate and the seed only. A null source is a source of its own. Sources of size 0 (only null
-    or empty texts) have rate 0. Rows with equal ids have equal counts; a null id draws by its text. Columns
-    of the input with the names of ours are replaced. An empty table gives no rows.
+    or empty texts) have rate 0. Rows with equal ids have equal counts; a null id draws by its text. The
+    order is that of shuffle_key, then of copy, text and source, so that equal ids have a defined one too.
+    The documents may have columns of any names. An empty table gives no rows. Texts of any length move once.
     """
     spark = docs.sparkSession
-    docs = docs.drop("copy", "rate", "shuffle_key", "_parts", "_cdf", "_count")
-    by_source = rates(docs, weights, temperature, volume).select(F.col("source").alias("_source"), "rate", F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
+    by_source = rates(docs, weights, temperature, volume)
+    own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).alias("key"), F.col("source").alias("of"))
     few = by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     if few:
-        dealt = docs.join(F.broadcast(by_source), docs["source"].eqNullSafe(by_source["_source"])).drop("_source")
+        dealt = own.join(F.broadcast(by_source), own["of"].eqNullSafe(by_source["source"]))
     else:
-        salted = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        mine = docs.withColumn("_mine", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-        dealt = mine.join(salted, mine["source"].eqNullSafe(salted["_source"]) & (mine["_mine"] == salted["_salt"])).drop("_source", "_salt", "_mine")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
+        salted = by_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        mine = own.withColumn("mine", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+        dealt = mine.join(salted, mine["of"].eqNullSafe(salted["source"]) & (mine["mine"] == salted["salt"]))
 
     def draw(acc: Column, part: Column) -> Column:
-        u = uniform(key, F.concat_ws("/", F.lit(str(seed)), part.cast("string")))
+        u = uniform(F.col("key"), F.concat_ws("/", F.lit(str(seed)), part.cast("string")))
         # u as a variable of its own, so that it is hashed once and not for each term
-        return acc + F.transform(F.array(u), lambda v: F.size(F.filter(F.col("_cdf"), lambda c: c <= v)))[0]
+        return acc + F.transform(F.array(u), lambda v: F.size(F.filter(F.col("cdf"), lambda c: c <= v)))[0]
 
-    count = F.aggregate(F.sequence(F.lit(0), F.col("_parts") - 1), F.lit(0), draw)
-    counted = dealt.where("rate > 0").withColumn("_count", count).where("_count > 0").drop("_cdf", "_parts")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_count")
-    order = F.md5(F.concat_ws(":", key, F.lit(f"order{seed}"), F.col("copy").cast("string")).cast("binary"))
+    count = F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), draw)
+    counted = dealt.where("rate > 0").select("row", "key", "rate", count.alias("n")).where("n > 0")
+    copies = counted.select("row", "key", "rate", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    order = F.md5(F.concat_ws(":", "key", F.lit(f"order{seed}"), F.col("copy").cast("string")).cast("binary"))
     order = F.conv(F.substring(order, 1, 15), 16, 10).cast("long")
     # The 60-bit keys are even, so a key's range follows from the key; nothing has to be sampled.
     parts = salted_parts(spark)
     place = F.shiftright(F.shiftright("shuffle_key", 20) * F.lit(parts).cast("long"), 40).cast("int")
-    return copies.withColumn("shuffle_key", order).repartitionById(parts, place).sortWithinPartitions("shuffle_key")
+    return copies.select("row", "copy", "rate", order.alias("shuffle_key")).repartitionById(parts, place).sortWithinPartitions("shuffle_key", "copy", "row.text", "row.source")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, volume: float = 1.0, seed: int = 17) -> DataFrame:
+    """The draws() with the documents' own columns, all of them as they were, whatever their names."""
+    return draws(docs, weights, temperature, volume, seed).select("row.*")
 
 
 def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "text", "copy", "shuffle_key", F.round("rate", 9).alias("rate"))
+    return draws(table(spark, sf_dir, "documents")).select("row.doc_id", "row.source", "row.lang", "row.text", "copy", "shuffle_key", F.round("rate", 9).alias("rate"))
 
 
 ORACLE_OP4 = f"""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import halves, map_rows, table, texts, trim, written
+from .base import halves, map_rows, map_same, table, texts, written
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
@@ -181,9 +181,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> Data
                     base, bins = measured(text)
                     keep.append(not base_failed(base[0], base[4]) and not cutoffs.rejects("" if s is None else str(s), bins))
                 yield batch.filter(pa.array(keep, pa.bool_()))
-        trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_same(docs, run)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import halves, map_rows, table, texts, trim
+from .base import halves, map_rows, map_same, table, texts
 
 
 @dataclass(frozen=True)
@@ -344,9 +344,8 @@ def redact(docs: DataFrame, mask: str = "[{kind}]", rules: list[Rule] | None = N
                 new = {"text": pa.array(kept, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in kept], pa.int64())}
                 cols = [new[n].cast(batch.schema.field(n).type) if n in new else batch.column(n) for n in batch.schema.names]
                 yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
-        trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_same(docs, run)
 
 
 def masked(text: bytes, spans: list[tuple[int, int, int]], rules: list[Rule], mask: str) -> bytes:

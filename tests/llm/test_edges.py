@@ -20,13 +20,13 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use for columns of their own.
-CLASHING = ["held_out", "piece", "length", "sequence_id", "copy", "rate", "shuffle_key", "slot", "range", "stratum", "bins", "kept", "rep", "band", "class_id", "spans", "score", "trusted", "drawn", "word", "block", "local"]
+CLASHING = ["held_out", "piece", "length", "sequence_id", "copy", "rate", "shuffle_key", "slot", "range", "stratum", "bins", "kept", "rep", "band", "class_id", "spans", "score", "trusted", "drawn", "word", "block", "local", "_source", "_salt", "_mine", "row", "key", "of", "cdf", "n", "a.b", "text_key", "id", "root"]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
+    return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)]).cache()
 
 
 @pytest.fixture(scope="module")
@@ -70,15 +70,19 @@ def test_language_model(docs):
     assert all(r.n_known == 0 and r.train_tokens == 0 and abs(r.score) < 1e-5 for r in unknown)
 
 
-def test_mixing(docs):
-    got = mixing.mix(docs, temperature=1.0, volume=3.0)
-    assert set(got.columns) == set(docs.columns)
-    rows = got.groupBy("doc_id").count().collect()
-    assert 2 < len(rows) <= 8
-    keys = [r.shuffle_key for r in got.collect()]
+def test_mixing(docs, monkeypatch):
+    got = mixing.draws(docs, temperature=1.0, volume=3.0)
+    assert mixing.mix(docs).columns == docs.columns
+    rows = got.collect()
+    assert 2 < len({r.row.doc_id for r in rows}) <= 8
+    keys = [(r.shuffle_key, r.copy) for r in rows]
     assert keys == sorted(keys)
+    assert all(r.row[c] == i for r in rows for i, c in enumerate(CLASHING))
     assert mixing.mix(none(docs)).count() == 0
     assert mixing.mix(docs, {"a": 1.0}).where("source <> 'a' OR source IS NULL").count() == 0
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    salted = mixing.draws(docs, temperature=1.0, volume=3.0).collect()
+    assert [(r.row, r.copy, r.shuffle_key) for r in salted] == [(r.row, r.copy, r.shuffle_key) for r in rows]
 
 
 def test_archive(spark, tmp_path):

@@ -11,6 +11,8 @@ from test_methods import jaccard, shingle_set
 
 from cellsift.llm import mixing, quality, secrets
 from cellsift.llm.base import table, written
+from pyspark.sql import functions as F
+from test_edges import CLASHING
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +55,22 @@ def test_stages(spark):
     rows = P.run(spark, SF).toPandas()
     assert rows["length"].gt(0).all() and rows.groupby("sequence_id")["length"].sum().max() <= 2048
     assert (rows["piece"] == 0).sum() == docs.count()
+
+
+def test_stages_keep_columns_and_rows(spark, tmp_path):
+    """Clashing names, null and equal ids, null texts; then no rows at all."""
+    long = [" ".join(f"{c}{i}" for i in range(70)) for c in "abcd"]
+    rows = [(None, long[0], "en", "a", 1), (None, long[1], "en", None, 2), (3, long[2], "de", "a", 3), (3, long[3], None, "b", 4), (3, long[3], None, "b", 4), (4, None, "en", "a", None), (5, "", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
+    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for start, want in ((docs, 4), (docs.limit(0), 0)):
+        now = written(start, "t")
+        for name, stage in P.STAGES[:-1]:
+            now = written(stage(spark, now, str(tmp_path)), "t")
+            assert now.columns == docs.columns, name
+            got = now.collect()
+            assert all(r[c] == i for r in got for i, c in enumerate(CLASHING))
+            if name in ("near_duplicates", "secret_scans"):
+                assert len(got) == want and {r.text for r in got} == set(long[:want])
+        assert (P.STAGES[-1][1](spark, now, str(tmp_path)).where("piece = 0").count() > 0) == (want > 0)
