@@ -1,8 +1,10 @@
 """Each method against brute force, an exact round trip or held-out accuracy."""
 
+import gzip
 import hashlib
 import math
 import random
+import subprocess
 import sys
 import zlib
 from collections import Counter
@@ -258,19 +260,63 @@ def test_poisson_counts(spark):
 
 
 def test_both_versions_of_arc():
-    records = [("http://a/x y", "1.2.3.4", "20010203040506", "text/html", b"HTTP/1.0 200 OK\r\nX-Page-Id: 7\r\n\r\nhello\nworld"), ("http://b", "0.0.0.0", "2001", "image/gif", b"\x00\n\r\n")]
+    records = [("http://a/x y", "1.2.3.4", "20010203040506", "text/html", b"HTTP/1.0 200 OK\r\nX-Page-Id: 7\r\n\r\nhello\nworld"), ("http://b", "0.0.0.0", "2001", "image/gif", b"\x00\n\r\n"), ("filedesc://c", "0.0.0.0", "2001", "text/html", b"HTTP/1.0 200 OK\r\n\r\n")]
     for version in (1, 2):
-        got = list(archive.read_arc(archive.arc_file(version, records, "f.arc")))
-        assert [b for _, b in got[1:]] == [r[4] for r in records]
+        arc = archive.arc_file(version, [(*r[:4], [r[4][:5], r[4][5:]]) for r in records], "f.arc")
+        got = list(archive.read_arc(arc))
+        assert [bytes(b) for _, b in got[1:]] == [r[4] for r in records]
         assert got[1][0]["URL"] == "http://a/x%20y" and got[1][0]["Archive-date"] == "20010203040506"
-        whole = b"".join(archive.to_warc(f, b, {}) + archive.END for f, b in got)
-        back = list(archive.read_warc(whole))
-        assert [h["WARC-Type"] for h, _ in back] == ["warcinfo", "response", "resource"]
+        parts = [b"".join([*archive.to_warc(f, b, {}, first=not i), archive.END]) for i, (f, b) in enumerate(got)]
+        back = archive.read_warc(b"".join(parts))
+        assert [h["WARC-Type"] for h, _ in back] == ["warcinfo", "response", "resource", "response"]
         assert back[1][0]["WARC-Date"] == "2001-02-03T04:05:06Z" and back[2][0]["WARC-Date"] == "2001-01-01T00:00:00Z" and back[1][1] == records[0][4]
         for h, b in back:
             assert h["WARC-Block-Digest"] == "sha1:" + archive.sha1_32(b)
+        packed = archive.GAP.join(archive.member(p) for p in parts) + archive.GAP
+        assert archive.read_warc(b"".join(archive.inflated(packed))) == back and gzip.decompress(packed) == b"".join(parts)
+        with pytest.raises(ValueError):
+            list(archive.records(archive.inflated(packed[:-25])))
     with pytest.raises(ValueError):
-        list(archive.read_arc(archive.arc_file(1, records, "f")[:-5]))
+        list(archive.read_arc(archive.arc_file(1, [(*r[:4], [r[4]]) for r in records], "f")[:-5]))
+
+
+def test_repeated_page_ids(spark, tmp_path):
+    """Equal ids with equal and other payloads: a row for each row, judged by id and payload; against SQL."""
+    rows = [(1, "u1", "A"), (2, "u2", "B"), (5, "u5", "A"), (5, "u5", "B"), (5, "u6", "C"), (5, "u5", "C"), (7, "filedesc://x", "C"), (8, None, None), (9, None, ""), (9, None, ""), (None, "n", "A")]
+    rows += [(i % 40 + 10, f"x{i}", "\u00e9" * (i % 7) + "z" * (i % 3)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+
+    def query(spark, where):
+        archive.write_warc(spark.read.parquet(f"{where}/pages.parquet"), f"{where}/w")
+        return archive.read_warcs(spark, f"{where}/w")
+
+    sql = oracle_sql()["op5_arc_to_warc"].replace("FROM pages", "FROM pages WHERE page_id IS NOT NULL")
+    con = connect(str(tmp_path))
+    assert differences(spark, con, lambda s, w: query(s, w).where("page_id IS NOT NULL"), sql, str(tmp_path)) == ""
+    heads = [h for f in sorted((tmp_path / "w").glob("part-*")) for h, _ in archive.records(archive.inflated(f.read_bytes()))]
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    again = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert again and sum(h["X-Page-Id"] == "" for h in heads if "X-Page-Id" in h) == 1
+    for h in again:
+        first = ids[h["WARC-Refers-To"]]
+        assert (first["WARC-Payload-Digest"], first["X-Page-Id"], first["WARC-Type"]) == (h["WARC-Payload-Digest"], h["X-Refers-To-Page-Id"], "response")
+
+
+def test_large_page_in_bounded_memory(tmp_path):
+    """A page of 200 MB is converted and read back in less than 1 GB."""
+    code = """
+import resource, pyarrow as pa
+from cellsift.llm import archive
+body = pa.array(["x<p>" * (50 << 20)]).cast(pa.large_string())
+block = memoryview(body[0].as_buffer())
+arc = archive.arc_file(2, [("http://a", "1.2.3.4", "2001", "text/html", [b"HTTP/1.1 200 OK\\r\\n\\r\\n", block])], "f")
+packed = [archive.member(*archive.to_warc(f, b, {}, first=not i), archive.END) for i, (f, b) in enumerate(archive.read_arc(arc))]
+got = [archive.payload_of(b)[0] for h, b in archive.records(archive.inflated(b"".join(packed))) if h["WARC-Type"] == "response"]
+assert got == [200 << 20]
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1 << 20
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2])
 
 
 # ---- near-duplicates and fingerprints
