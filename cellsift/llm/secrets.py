@@ -19,7 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import halves, map_rows, map_same, table, texts
+from .base import halves, map_rows, map_same, table
+
+
+#: Bytes of a text that are worked on at a time.
+WINDOW = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -193,7 +197,14 @@ class Scanner:
         self.back = [Dfa([r.pattern], unanchored=False, backward=True) for r in rules]
 
     def ends(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions behind which some match ends, and the bits of the rules; data: bytes."""
+        """Positions behind which some match ends, and the bits of the rules; data: bytes, run in windows that hand their state on."""
+        found, state = [], 0
+        for x in range(0, len(data), WINDOW):
+            at, bits, state = self.window(data[x : x + WINDOW], state)
+            found.append((at + x, bits))
+        return tuple(np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def window(self, data: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray, int]:
         n = len(data)
         lanes = max(1, min(8192, n // 512))
         steps = -(-n // lanes)
@@ -202,6 +213,7 @@ class Scanner:
         across = np.ascontiguousarray(padded.reshape(lanes, steps).T).astype(np.uint32)
         states = np.empty((steps, lanes), np.uint32)
         now = np.zeros(lanes, np.uint32)
+        now[0] = state
         for j in range(steps):
             now = self.flat[now + across[j]]
             states[j] = now
@@ -216,13 +228,14 @@ class Scanner:
                     states[j, i] = s
                     j += 1
             before = int(states[-1, i])
+        after = int(states[(n - 1) % steps, (n - 1) // steps])
         states >>= 8
         j, i = np.nonzero((self.all.hits != 0)[states])
         at = i * steps + j
         order = np.argsort(at)
-        return at[order] + 1, self.all.hits[states[j, i]][order]
+        return at[order] + 1, self.all.hits[states[j, i]][order], after
 
-    def matches(self, rule: int, text: bytes, ends: list[int]) -> list[tuple[int, int]]:
+    def matches(self, rule: int, text: bytes | memoryview, ends: list[int]) -> list[tuple[int, int]]:
         """Leftmost longest matches that don't overlap, from all positions where some match ends."""
         out, past, back, ahead = [], 0, self.back[rule], self.ahead[rule]
         for end in ends:
@@ -247,17 +260,17 @@ class Scanner:
                 if ahead.hits[s]:
                     stop = i
             past = stop
-            r, got = self.rules[rule], text[start:stop]
+            r, got = self.rules[rule], bytes(text[start:stop])
             if len(got) >= r.least and len(value(got)) >= r.value:
                 out.append((start, stop))
         return out
 
-    def scan(self, batch: list[bytes]) -> list[list[tuple[int, int, int]]]:
+    def scan(self, batch: list[bytes] | list[memoryview]) -> list[list[tuple[int, int, int]]]:
         """For each text, (start, rule, end) of all matches in bytes, sorted."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in batch]
         if not batch:
             return out
-        data = np.frombuffer(b"\xff".join(batch) + b"\xff", np.uint8)
+        data = np.frombuffer(batch[0] if len(batch) == 1 else b"\xff".join(batch) + b"\xff", np.uint8)
         starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in batch])])
         at, bits = self.ends(data)
         doc = np.searchsorted(starts, at - 1, side="right") - 1
@@ -278,18 +291,32 @@ def value(match: bytes) -> bytes:
     return rest[1:] if rest[:1] in (b'"', b"'") else rest
 
 
-def in_points(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def in_points(text: bytes | memoryview, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans in code points."""
-    if text.isascii() or not spans:
+    if not spans:
         return spans
-    ahead = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-    return [(int(ahead[a]), r, int(ahead[b])) for a, r, b in spans]
+    data, points, past, before = np.frombuffer(text, np.uint8), {}, 0, 0
+    for at in sorted({x for a, _, b in spans for x in (a, b)}):
+        before += code_points(data[past:at])
+        points[at], past = before, at
+    return [(points[a], r, points[b]) for a, r, b in spans]
+
+
+def code_points(data: np.ndarray) -> int:
+    return sum(int(np.count_nonzero((data[x : x + WINDOW] & 0xC0) != 0x80)) for x in range(0, len(data), WINDOW))
+
+
+def raw_texts(batch: pa.RecordBatch) -> list[memoryview]:
+    """The texts' bytes where they lie; null as empty."""
+    none = pa.py_buffer(b"")
+    return [memoryview(x.as_buffer() if x.is_valid else none).cast("B") for x in batch.column("text")]
 
 
 def find_secrets(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """doc_id, spans array<struct<kind, start, end>> by start, then kind as listed; positions in code points, end exclusive.
 
-    A row for each input row, in its place; null and empty texts have no spans.
+    A row for each input row, in its place, repeated ones too; null and empty texts have no spans. Of a text of any
+    length only a window is worked on at a time. Extra columns are ignored, an empty table gives no rows.
     """
     rules = rules or [*BASE, *ADDED]
 
@@ -299,7 +326,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         scanner = shared.value
 
         def step(batch: pa.RecordBatch) -> dict:
-            raw = [x.encode() for x in texts(batch)]
+            raw = raw_texts(batch)
             found = [in_points(t, s) for t, s in zip(raw, scanner.scan(raw), strict=True)]
             return {"doc_id": batch.column("doc_id"), "spans": [[{"kind": rules[r].kind, "start": a, "end": b} for a, r, b in s] for s in found]}
 
@@ -338,17 +365,17 @@ def redact(docs: DataFrame, mask: str = "[{kind}]", rules: list[Rule] | None = N
 
         for whole in batches:
             for batch in halves(whole):
-                raw = [x.encode() for x in texts(batch)]
-                clean = [masked(t, s, rules, mask) for t, s in zip(raw, scanner.scan(raw), strict=True)]
-                kept = [None if t is None else c.decode() for t, c in zip(batch.column("text").to_pylist(), clean, strict=True)]
-                new = {"text": pa.array(kept, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in kept], pa.int64())}
+                raw, there = raw_texts(batch), batch.column("text").is_valid().to_pylist()
+                clean = [masked(t, s, rules, mask) if ok else None for t, s, ok in zip(raw, scanner.scan(raw), there, strict=True)]
+                size = [None if t is None else code_points(np.frombuffer(t, np.uint8)) for t in clean]
+                new = {"text": pa.array(clean, pa.binary()).cast(pa.string()), "n_chars": pa.array(size, pa.int64())}
                 cols = [new[n].cast(batch.schema.field(n).type) if n in new else batch.column(n) for n in batch.schema.names]
                 yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     return map_same(docs, run)
 
 
-def masked(text: bytes, spans: list[tuple[int, int, int]], rules: list[Rule], mask: str) -> bytes:
+def masked(text: bytes | memoryview, spans: list[tuple[int, int, int]], rules: list[Rule], mask: str) -> bytes:
     out, past = [], 0
     for a, r, b in spans:
         if a >= past:

@@ -1,5 +1,12 @@
+import hashlib
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from cellsift.llm import secrets as S
 
@@ -59,6 +66,71 @@ def test_lanes_meet(monkeypatch):
     assert spans[1] == [] and len(spans[2]) == 1
 
 
+def test_windows_meet(monkeypatch):
+    monkeypatch.setattr(S, "WINDOW", 700)
+    scanner = S.Scanner([*S.BASE, *S.ADDED])
+    rng = random.Random(8)
+    bits = ["token", "=", ":", " ", "AKIA", "ABCDEFGH1234", "abc", "deadbeef" * 40, "0123456789abcdef", "é", "ß", "\n", "ken=x", "漢" * 50]
+    for _ in range(60):
+        text = "".join(rng.choice(bits) for _ in range(400))
+        raw = text.encode()
+        got = [(a, scanner.rules[k].kind, b) for a, k, b in S.in_points(raw, scanner.scan([raw])[0]) if k < 3]
+        assert got == brute(text)
+
+
+def test_query_equals_regular_expressions(spark, tmp_path):
+    """All columns of the query, from Python's regular expressions, over documents with secrets put into them."""
+    from cellsift.llm.queries import queries
+
+    rng = random.Random(3)
+    secrets = ["token: abcdefgh1", "AKIA" + "AB12" * 5, "0123456789abcdef" * 2, "ghp_" + "a1B2" * 9, "xoxb-" + "12ab-" * 4, "AIza" + "Ab_9" * 10, "-----BEGIN RSA PRIVATE KEY-----\n" + "QUJD" * 16 + "\n-----END RSA PRIVATE KEY-----", 'api_key="x/y+z=1"', "é漢"]
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.to_pylist()
+    for r in rows:
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(r["text"] or "") + 1)
+            r["text"] = (r["text"] or "")[:at] + rng.choice(["", " "]) + rng.choice(secrets) + " " + (r["text"] or "")[at:]
+    pq.write_table(pa.Table.from_pylist(rows, docs.schema), tmp_path / "documents.parquet")
+    sf = str(tmp_path)
+    more = {
+        "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:-{0,4}[^-])*-----END [A-Z ]*PRIVATE KEY-----|(?:(?:[ \t\r\n]|\\[rn])+[A-Za-z-]+:[^\n]*)*(?:(?:[ \t\r\n]|\\[rn])*[A-Za-z0-9+/=]{16,})+(?:(?:[ \t\r\n]|\\[rn])+[A-Za-z0-9+/=]+)?)?",
+        "github": r"gh[pousr]_[A-Za-z0-9]{36,}",
+        "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}",
+        "google": r"AIza[A-Za-z0-9_-]{35,}",
+    }
+    order = [*PATTERNS, *more]
+    rows = {r.doc_id: r for r in queries()["op8_secret_scan"](spark, sf).collect()}
+    found = 0
+    for d in pq.read_table(f"{sf}/documents.parquet").to_pylist():
+        base = brute(d["text"] or "")
+        whole = sorted(base + [(m.start(), k, m.end()) for k, p in more.items() for m in re.finditer(p, d["text"] or "")], key=lambda x: (x[0], order.index(x[1])))
+        r = rows[d["doc_id"]]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in PATTERNS)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, k, b in whole)
+        found += len(whole)
+    assert found > 200
+
+
+def test_long_text_in_bounded_memory():
+    """200 MB are scanned and masked in less than 1 GB."""
+    code = """
+import resource, pyarrow as pa, numpy as np
+from cellsift.llm import secrets as S
+text = pa.array(["é token=abcdefgh " + "some words " * (19 << 20) + " token=abcdefgh"]).cast(pa.large_string())
+batch = pa.RecordBatch.from_arrays([text], names=["text"])
+rules = [*S.BASE, *S.ADDED]
+scanner = S.Scanner(rules)
+raw = S.raw_texts(batch)
+spans = scanner.scan(raw)[0]
+n = 17 + 11 * (19 << 20)
+assert S.in_points(raw[0], spans) == [(2, 0, 16), (n + 1, 0, n + 15)], S.in_points(raw[0], spans)
+assert len(S.masked(raw[0], spans, rules, "[{kind}]")) == len(raw[0]) - 2 * 6
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1 << 20
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2])
+
+
 def test_rows_and_redaction(spark):
     docs = spark.createDataFrame([(1, "say token: abcdefg!"), (2, None), (3, ""), (1, "say token: abcdefg!")], "doc_id long, text string")
     rows = {(r.doc_id, len(r.spans)) for r in S.find_secrets(docs).collect()}
