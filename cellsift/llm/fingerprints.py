@@ -128,8 +128,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """A row for each input row with the fingerprints of its text and of its edited text.
 
     Null texts are empty ones; a null doc_id counts as the least number. Rows with equal ids follow each
-    other by text. The only row of a table follows itself. An empty table gives no rows. Texts move once,
-    to ranges of ids; a range's last row finds the next one's first there too.
+    other by text; as each has the next one's text, rows of one id (all null ids, say) are one chain in one
+    task, one row of which is held at a time. The only row of a table follows itself. An empty table gives no
+    rows, extra columns are ignored, texts of any length are read whole. Texts move once, to ranges of ids; a
+    range's last row finds the next one's first there too.
     """
     least = F.lit(-(2**63))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +16,18 @@ PART = 4096
 LEVEL = 6
 #: The second best size must be so much larger than the best.
 MARGIN = 0.01
-LETTER = re.compile(r"[^\W\d_]")
+MOST_LANGUAGES = 500
 
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """Raw content by language in lower case, from a bounded sample of the rows with a language and a text, spread over all of them."""
-    rows = docs.where("lang IS NOT NULL AND length(text) > 0").withColumn("lang", F.col("lang").cast("string"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Raw content by language in lower case, from a bounded sample of the rows with a language and a text, spread over all of them.
+
+    More than MOST_LANGUAGES values are an error: each text is compressed once for each.
+    """
+    rows = docs.where("lang IS NOT NULL AND length(text) > 0").select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return {}
     rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, DOCS_PER_LANGUAGE / n)))])[F.col("lang")]
@@ -53,7 +56,7 @@ class Compressors:
 
     def decide(self, text: str | None) -> tuple[str, float, float]:
         """Language, confidence, margin; ties go to the first name."""
-        if not text or not self.names or not LETTER.search(text):
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
         order = sorted(zip(self.sizes(text), self.names, strict=True))
         if len(order) == 1:
@@ -66,7 +69,9 @@ def identify(docs: DataFrame, raw: dict[str, bytes], margin: float = MARGIN) ->
     """doc_id, lang_pred, score, accepted: a row for each input row.
 
     lang_pred is the language with the smallest result whatever the margin, und for null texts and texts
-    without letters; accepted is false for those and where the margin is below the given one.
+    without letters (Unicode's category L); accepted is false for those and where the margin is below the
+    given one. Texts are read whole, in parts of PART bytes. Repeated rows get a row each, null ids too. Extra
+    columns are ignored, an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
@@ -84,5 +89,5 @@ def identify(docs: DataFrame, raw: dict[str, bytes], margin: float = MARGIN) ->
 
 def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    got = identify(docs, dictionaries(docs.where(remainder("doc_id", 4) != 2)))
-    return got.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+    got = identify(docs, dictionaries(docs.where(F.coalesce(remainder("doc_id", 4) != 2, F.lit(True)))))
+    return got.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")

@@ -26,6 +26,7 @@ RULES = ("symbols", "repeats", "same_lines", "capitals", "marks", "short_words")
 BINS = 64
 #: What losing a share of the good documents costs against catching as large a share of the bad ones.
 COST = 20
+MOST_STRATA = 1000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -125,16 +126,19 @@ class Cutoffs:
 
 
 def learn(measured_docs: DataFrame, labels: DataFrame, alpha: float = 0.1, delta: float = 0.05) -> Cutoffs:
-    """Cutoffs from all labelled documents.
+    """Cutoffs from all labelled documents; none from an empty table.
 
     Good and bad documents are counted by stratum, rule and bin on the executors; the counts (strata x rules
     x bins) come to the driver. Of the cutoffs that pass, a rule takes the one with the largest share of bad
     documents rejected less COST times that of good ones, the mildest of equal ones. Strata without enough
     labels get no cutoffs: they reject nothing. A document labelled twice counts as good only if all its
-    labels are 1; null labels count for nothing.
+    labels are 1; null labels and labels of null ids count for nothing. More than MOST_STRATA strata with labels
+    are an error, as their counts come to the driver and their cutoffs to every task.
     """
     good = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("good"))
     held = measured_docs.select("doc_id", "stratum", "bins").join(good, "doc_id")
+    if held.select("stratum").distinct().limit(MOST_STRATA + 1).count() > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} strata")
     counts = held.select("stratum", "good", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "good", "rule", "bin").agg(F.count("*").alias("n")).collect()
     hist: dict[str, np.ndarray] = {}
     for r in counts:
@@ -155,7 +159,7 @@ def learn(measured_docs: DataFrame, labels: DataFrame, alpha: float = 0.1, delta
 
 
 def verdicts(measured_docs: DataFrame, cutoffs: Cutoffs) -> DataFrame:
-    """The measures with base_failed and kept."""
+    """The measures with base_failed and kept: a row for each, null ids and repeated rows too; no rows from none."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     hit = F.lit(False)
     if cutoffs.by_stratum:

@@ -11,6 +11,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -491,7 +492,158 @@ def test_prior_and_risk():
     p, n = rng.normal(1, 1, (4000, 3)), rng.normal(-1, 1, (4000, 3))
     unlabelled = np.concatenate([p[:1200], n[:2800]])
     first = classifier.fit(p[2000:3000], unlabelled, 0.5, epochs=10)
-    prior = classifier.estimated_prior(first.scores(p[3000:]), first.scores(unlabelled))
-    assert abs(prior - 0.3) < 0.08
+    prior, error = classifier.estimated_prior(first.scores(p[3000:]), first.scores(unlabelled))
+    assert abs(prior - 0.3) < 0.08 and 0 < error < 0.02
     model = classifier.fit(p[2000:], unlabelled, prior)
     assert (model.scores(p) > 0.5).mean() > 0.85 and (model.scores(n) > 0.5).mean() < 0.1
+
+
+def test_risk_and_its_gradient():
+    """Against sums over single rows, and slopes from differences; where the second part is negative, up its gradient."""
+    rng = np.random.default_rng(7)
+    p, u = rng.normal(1, 1, (30, 4)), rng.normal(0, 1, (50, 4))
+    signs = set()
+    for prior in (0.1, 0.9):
+        model = classifier.Model(np.zeros(4), np.ones(4), rng.normal(0, 1, (4, classifier.HIDDEN)), rng.normal(0, 1, classifier.HIDDEN + 1), prior)
+
+        def parts(m):
+            z = lambda row: sum(math.tanh(sum(row[i] * m.w1[i, j] for i in range(4))) * m.w2[j] for j in range(classifier.HIDDEN)) + m.w2[-1]
+            plus = sum(math.log1p(math.exp(-z(r))) for r in p) / len(p)
+            minus = [sum(math.log1p(math.exp(z(r))) for r in rows) / len(rows) for rows in (p, u)]
+            return m.prior * plus, minus[1] - m.prior * minus[0]
+
+        first, second, (g1, g2) = classifier.risk(model, p, u)
+        assert np.allclose((first, second), parts(model))
+        signs.add(second < 0)
+        goal = (lambda m: -parts(m)[1]) if second < 0 else (lambda m: sum(parts(m)))
+        for w, g in ((model.w1, g1), (model.w2, g2)):
+            for at in [tuple(rng.integers(0, k) for k in w.shape) for _ in range(6)]:
+                kept = w[at]
+                w[at] = kept + 1e-5
+                up = goal(model)
+                w[at] = kept - 1e-5
+                slope = (up - goal(model)) / 2e-5
+                w[at] = kept
+                assert math.isclose(slope, g[at], rel_tol=1e-4, abs_tol=1e-7)
+    assert signs == {True, False}
+
+
+def test_held_out_rows_are_not_learned_from(spark):
+    """Other labels and texts of held-out rows give the same model."""
+    from pyspark.sql import functions as F
+
+    from cellsift.llm.base import remainder
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 500"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = remainder("doc_id", 5) == 0
+    a = classifier.learn(docs, labels)
+    b = classifier.learn(docs.withColumn("text", F.when(held, "x").otherwise(F.col("text"))), labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))))
+    assert (a.w1 == b.w1).all() and (a.w2 == b.w2).all() and a.prior == b.prior
+
+
+def test_sizes_are_those_of_zstandard(spark):
+    """Predictions of the query against compressing each text with each dictionary plainly."""
+    import zstandard
+
+    from cellsift.llm import language
+    from cellsift.llm.base import remainder
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    raw = language.dictionaries(docs.where(remainder("doc_id", 4) != 2))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries()["op7_compression_language"](spark, SF).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in texts[r.doc_id] or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        body, sizes = texts[r.doc_id].lower().encode(), {}
+        for name, content in raw.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_content_size=False, write_checksum=False)
+            sizes[name] = sum(len(c.compress(body[i : i + language.PART])) for i in range(0, len(body), language.PART))
+        low, next_ = sorted(sizes.values())[:2]
+        assert r.lang_pred == min(sizes, key=lambda k: (sizes[k], k))
+        assert math.isclose(r.score, min(1.0, 5 * (1 - low / next_))) and r.accepted == (1 - low / next_ >= language.MARGIN)
+    assert [language.Compressors(raw).decide(t)[0] for t in ("\u00bd \u00b2 \u2460 \u2167 _ 12", "", None)] == ["und"] * 3
+
+
+def test_rules_of_the_query(spark, tmp_path):
+    """base_failed and kept against cutoffs computed anew from all labelled rows, with exact binomial sums."""
+    sf = str(tmp_path)
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet")
+    docs = table.to_pylist()
+    for d in docs:  # two strata; every seventh document is bad and full of signs
+        d["lang"] = ["a", None][d["doc_id"] % 2]
+        d["text"] = (d["text"] or "").replace(" ", " # $ ") if d["doc_id"] % 7 == 0 else d["text"]
+    pq.write_table(pa.Table.from_pylist(docs, table.schema), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": [d["doc_id"] for d in docs], "quality": [int(d["doc_id"] % 7 > 0) for d in docs], "toxic": [0] * len(docs)}), tmp_path / "labels.parquet")
+    good: dict = {}
+    for r in pq.read_table(f"{sf}/labels.parquet").to_pylist():
+        if r["quality"] is not None:
+            good[r["doc_id"]] = min(r["quality"], good.get(r["doc_id"], 1))
+    stats = {d["doc_id"]: quality.measured(d["text"] or "") for d in docs}
+    strata = {d["lang"] or "" for d in docs if d["doc_id"] in good}
+    tests, cut = len(strata) * len(quality.RULES), {}
+    for s in strata:
+        rows = [(stats[d["doc_id"]][1], good[d["doc_id"]]) for d in docs if (d["lang"] or "") == s and d["doc_id"] in good]
+        n_good, n_bad = sum(g for _, g in rows), sum(1 - g for _, g in rows)
+        for k in range(len(quality.RULES)):
+            best = (0.0, quality.BINS)
+            for c in range(quality.BINS - 1, 0, -1):
+                lost, caught = (sum(b[k] >= c and g == v for b, g in rows) for v in (1, 0))
+                limit = 0.1 / len(quality.RULES)
+                if sum(math.comb(n_good, i) * limit**i * (1 - limit) ** (n_good - i) for i in range(lost + 1)) > 0.05 / tests:
+                    break
+                gain = caught / max(1, n_bad) - quality.COST * lost / n_good
+                best = max(best, (gain, c)) if gain > best[0] else best
+            cut[s, k] = best[1]
+    lang = {d["doc_id"]: d["lang"] or "" for d in docs}
+    rejected = 0
+    for r in queries()["op2_quality_rules"](spark, sf).collect():
+        base, bins = stats[r.doc_id]
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        hit = any(b >= cut.get((lang[r.doc_id], k), quality.BINS) for k, b in enumerate(bins))
+        assert (r.base_failed, r.kept) == (failed, not failed and not hit)
+        rejected += hit and not failed
+    assert rejected > 50
+
+
+def test_fingerprints_bin_by_bin(texts):
+    """One permutation, densification and low-order bits in plain Python, one text at a time."""
+    import xxhash
+
+    wide = (1 << 64) - 1
+
+    def scatter(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & wide
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & wide
+        return x ^ x >> 31
+
+    def plain(text):
+        words = [xxhash.xxh3_64_intdigest(w) for w in text.encode().split()]
+        if not words:
+            return b""
+        least: dict[int, int] = {}
+        for i in range(max(1, len(words) - 4)):
+            total = 0
+            for j in range(5):
+                total = total * 0x9E3779B97F4A7C15 & wide
+                if i + j < len(words):
+                    total = total + scatter(words[i + j] + j + 1 & wide) & wide
+            h = scatter(total)
+            least[h >> 56] = min(h, least.get(h >> 56, wide))
+        out = []
+        for b in range(256):
+            at, attempt = b, 0
+            while at not in least:
+                attempt += 1
+                at = scatter(b * (1 << 20) + attempt) >> 56
+            out.append(scatter(least[at]) & 255)
+        return bytes(out)
+
+    some = [*list(texts.values())[:60], "", "a", "a b c", "a b c d e", "a b c d e f"]
+    assert fingerprints.fingerprints(some) == [plain(t) for t in some]
+    x, y = bytes(range(256)), bytes([*range(200), *([7] * 56)])
+    same = sum(a == b for a, b in zip(x, y, strict=True)) / 256
+    assert math.isclose(fingerprints.likeness(x, y), (same - 1 / 256) / (1 - 1 / 256))
