@@ -1,13 +1,17 @@
 """A hierarchical Pitman-Yor language model over words.
 
 Every context is a Chinese restaurant whose parent is the root restaurant; the root's base is uniform over
-the known words and one unknown. The context of a word is the word before it where that is one of the most
-frequent ones, and else a class of words with the same last two bytes, so that all restaurants' totals are
-a few thousand numbers. Given those, the seating of one word's customers in all restaurants depends on no
-other word: words are dealt to executors, each samples its words' seating by Gibbs, and only totals meet.
+the known words and one unknown. The context of a word is the word before it. Contexts are told apart by
+the leading bits of their words' hashes, as many as the corpus asks for, 20 at most: what all restaurants
+have together is a vector that fits every task, and one word's seating depends on no other word's given it.
 
-Texts go through in blocks. A block asks for each of its words once and gets the word's probabilities in
-the contexts that it uses; tokens themselves are never joined.
+Texts go through in blocks. A block asks for each of its words once and gets the word's tables at the root
+and its own shares in the contexts that it uses; tokens themselves are never joined. Dishes of one customer
+have one table in any seating, so they are counted and need no answer.
+
+A sweep draws the tables of all dishes from their conditional given the counts of the sweep before, then
+the root's tables, then the strengths and discounts of both levels. Random numbers follow from word,
+context and sweep, so the seating doesn't depend on how words are dealt to tasks, and can be drawn again.
 """
 
 from __future__ import annotations
@@ -15,9 +19,10 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -25,23 +30,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import drop_path, halves, new_path, remainder, salted_parts, table, texts
+from .base import SALTS, halves, new_path, remainder, salted_parts, table, texts
 from .shingles import mixed
 
-#: Words with a context of their own, from a sample of about so many documents; classes for all others.
-FREQUENT, CLASSES, SAMPLE_DOCS = 1024, 255, 2000
-END_CLASS = FREQUENT + CLASSES
-CONTEXTS = END_CLASS + 1
-WIDE = 2048  # contexts as a part of a key
-BLOCK_BYTES = 16 << 20
-ROOT_STRENGTH = STRENGTH = 1.0
-#: Passes over the words for the totals; sweeps that are dropped and kept in each.
-PASSES, BURN_IN, SAMPLES = 2, 2, 4
-#: Up to so many customers a dish's seating is drawn from its exact conditional.
+#: Bits of a context's hash: a restaurant for so many bytes of text, but no more bits than these.
+LEAST_BITS, MOST_BITS, BYTES_A_CONTEXT = 8, 20, 512
+#: Contexts whose sums are added up together.
+RANGE = 1 << 13
+BLOCK_BYTES = 12 << 20
+#: Sweeps that are dropped, and samples that are averaged.
+BURN_IN, SAMPLES = 2, 4
+#: Up to so many customers a dish's seating is drawn from the table of Stirling numbers.
 EXACT = 64
-#: Rows of one word that a task holds before it lets go of them.
-HELD_ROWS = 100_000
-UNSIGNED = np.iinfo(np.uint32).max
+ALONE = np.iinfo(np.uint32).max
+#: Documents, about, from which the words that many tasks have to share are told; results don't depend on them.
+SHARED_DOCS = 2000
+#: Values that strengths and discounts are drawn from.
+STRENGTHS = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0)
+DISCOUNTS = tuple(x / 20 for x in range(2, 20))
 
 
 # ---------------------------------------------------------------- reading texts
@@ -52,27 +58,35 @@ def lower(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def frequent_words(docs: DataFrame) -> dict[bytes, int]:
-    n = docs.count()
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("contexts")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = docs.where((draw < min(1.0, SAMPLE_DOCS / max(1, n))) & ~F.col("held_out")).select("text")
+def hash_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def context_bits(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(1 + size / BYTES_A_CONTEXT))))
+
+
+def shared_words(docs: DataFrame) -> dict[int, int]:
+    """By hash, into how many parts a word's contexts are dealt: no part has much more than a quarter of a task's share.
+
+    At most 4 words for each task, counted in a sample. A word's parts change where it is counted, not its counts.
+    """
+    n, tasks = docs.count(), salted_parts(docs.sparkSession)
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("shared")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = docs.where(draw < min(1.0, SHARED_DOCS / max(1, n))).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for t in texts(batch):
-                seen.update(lower(t))
+                seen.update([*lower(t), b""])
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    top = picked.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    return {bytes(r.word): i for i, r in enumerate(top)}
-
-
-def class_of(word: bytes, known: dict[bytes, int]) -> int:
-    if not word:
-        return END_CLASS
-    c = known.get(word)
-    return FREQUENT + xxhash.xxh32_intdigest(word[-2:]) % CLASSES if c is None else c
+    counts = picked.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    least = whole / (4 * tasks)
+    return {hash_of(bytes(r.word)): math.ceil(r.n / least) for r in counts.where(F.col("n") > least).collect()}
 
 
 def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -110,13 +124,12 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def read_blocks(docs: DataFrame, known: dict[bytes, int], path: str) -> tuple[DataFrame, DataFrame]:
-    """Writes and gives blocks (block, data) and words (word, block, j, ctx, n).
+def read_blocks(docs: DataFrame, path: str) -> DataFrame:
+    """Writes and gives blocks (block, data, words).
 
-    A block's data are its documents' ids, whether they are held out, their numbers of tokens, the tokens as
-    numbers j of the block's words, and the words' classes. n counts the training tokens.
+    A block's data are its documents' ids, whether they are null and held out, their numbers of tokens, and
+    the tokens as numbers of the block's words; words: their hashes. Word 0 is the end.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get(), 0
@@ -124,117 +137,165 @@ def read_blocks(docs: DataFrame, known: dict[bytes, int], path: str) -> tuple[Da
             for batch in halves(whole, BLOCK_BYTES):
                 block = (task.partitionId() if task else 0) << 32 | number
                 number += 1
-                yield from parts(batch, block, shared.value)
+                yield one(batch, block)
 
-    def parts(batch: pa.RecordBatch, block: int, known: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    def one(batch: pa.RecordBatch, block: int) -> pa.RecordBatch:
         index: dict[bytes, int] = {b"": 0}
-        tokens: list[int] = []
-        sizes = np.empty(batch.num_rows, np.int64)
+        tokens: list[np.ndarray] = []
+        sizes = np.empty(batch.num_rows, np.uint32)
         for i, t in enumerate(texts(batch)):
             words = lower(t)
             sizes[i] = len(words) + 1
-            tokens += [index.setdefault(w, len(index)) for w in words]
-            tokens.append(0)
-        j = np.array(tokens, np.uint32)
-        kinds = np.array([class_of(w, known) for w in index], np.uint16)
-        held = np.array(batch.column("held_out").to_pylist(), bool)
+            tokens.append(np.array([*[index.setdefault(w, len(index)) for w in words], 0], np.uint32))
+        held = np.array(batch.column("held_out").to_pylist(), np.uint8)
         ids = batch.column("doc_id")
         null = np.array(ids.is_null().to_pylist(), np.uint8)
-        data = packed([ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null, held.astype(np.uint8), sizes.astype(np.uint32), j, kinds])
-        context = np.concatenate([[END_CLASS], kinds[j[:-1]]]).astype(np.int64)
-        key, inverse = np.unique(j.astype(np.int64) * WIDE + context, return_inverse=True)
-        n = np.bincount(inverse, weights=np.repeat(~held, sizes), minlength=len(key)).astype(np.uint32)
-        cuts = np.searchsorted(key // WIDE, np.arange(len(index) + 1))
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in index], np.uint64).view(np.int64)
-        rows = len(index)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(["block"]), pa.array([0], pa.int64()), pa.array([block], pa.int64()), pa.array([0], pa.int64()), pa.array([data], pa.binary()), pa.array([b""], pa.binary())],
-            names=["kind", "word", "block", "j", "ctx", "n"],
-        )
-        for a in range(0, rows, 50_000):
-            b = min(rows, a + 50_000)
-            c = cuts[a : b + 1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(["word"] * (b - a)), pa.array(hashes[a:b]), pa.array(np.full(b - a, block)), pa.array(np.arange(a, b)), binaries((key[c[0] : c[-1]] % WIDE).astype(np.uint16), c - c[0]), binaries(n[c[0] : c[-1]], c - c[0])],
-                names=["kind", "word", "block", "j", "ctx", "n"],
-            )
-
-    shape = "kind string, word long, block long, j long, ctx binary, n binary"
-    docs.select("doc_id", "held_out", "text").mapInArrow(run, shape).write.partitionBy("kind").parquet(path)
-    back = docs.sparkSession.read.schema(shape.split(", ", 1)[1] + ", kind string").parquet(path)
-    return back.where("kind = 'block'").select("block", F.col("ctx").alias("data")), back.where("kind = 'word'").drop("kind")
+        data = packed([ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null, held, sizes, np.concatenate(tokens)])
+        words = np.fromiter(map(hash_of, index), np.uint64, len(index))
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([data], pa.binary()), pa.array([words.tobytes()], pa.binary())], names=["block", "data", "words"])
+
+    shape = "block long, data binary, words binary"
+    docs.select("doc_id", "held_out", "text").mapInArrow(run, shape).write.parquet(path)
+    return docs.sparkSession.read.schema(shape).parquet(path)
+
+
+@dataclass
+class Pairs:
+    """The pairs of word and context that a block has, by word, part and context."""
+
+    word: np.ndarray
+    part: np.ndarray
+    context: np.ndarray
+    trained: np.ndarray  # how often in training texts
+    of: np.ndarray  # the pair of each token
+
+
+def pairs_of(j: np.ndarray, sizes: np.ndarray, held: np.ndarray, words: np.ndarray, bits: int, shared: dict[int, int]) -> Pairs:
+    kinds = (words >> np.uint64(64 - bits)).astype(np.int64)
+    parts = np.ones(len(words), np.int64)
+    for i in np.flatnonzero(np.isin(words, np.fromiter(shared, np.uint64, len(shared)))):
+        parts[i] = shared[int(words[i])]
+    j = j.astype(np.int64)
+    before = np.concatenate([[0], j[:-1]])  # each text follows an end
+    key, of = np.unique(j << bits | kinds[before], return_inverse=True)
+    word, context = key >> bits, key & ((1 << bits) - 1)
+    part = context % parts[word]
+    trained = np.bincount(of, weights=np.repeat(held == 0, sizes), minlength=len(key)).astype(np.uint32)
+    order = np.arange(len(key))
+    several = np.flatnonzero(parts[word] > 1)
+    order[several] = several[np.lexsort((context[several], part[several], word[several]))]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return Pairs(word[order], part[order], context[order], trained[order], place[of])
+
+
+WORDS = "word long, part int, split boolean, block long, j long, start long, ctx binary, n binary"
+
+
+def word_rows(blocks: DataFrame, bits: int, shared: dict[int, int]) -> DataFrame:
+    """A row for each block's word and part: the contexts it has there, and how often in training texts."""
+    given = blocks.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data, words in zip(*(batch.column(c).to_pylist() for c in ("block", "data", "words")), strict=True):
+                _, _, held, sizes, j = unpacked(data)
+                words = np.frombuffer(words, np.uint64)
+                p = pairs_of(j, sizes, held, words, bits, given.value)
+                first = np.flatnonzero(np.concatenate([[True], (p.word[1:] != p.word[:-1]) | (p.part[1:] != p.part[:-1])]))
+                cuts = np.append(first, len(p.word))
+                mine, part = p.word[first], p.part[first]
+                split = np.isin(words, np.fromiter(given.value, np.uint64, len(given.value)))[mine]
+                context, trained = p.context.astype(np.uint32), p.trained
+                for a in range(0, len(first), 50_000):
+                    b = min(len(first), a + 50_000)
+                    c = cuts[a : b + 1]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(words[mine[a:b]].view(np.int64)), pa.array(part[a:b].astype(np.int32)), pa.array(split[a:b]), pa.array(np.full(b - a, block)), pa.array(mine[a:b]), pa.array(first[a:b]),
+                            binaries(context[c[0] : c[-1]], c - c[0]), binaries(trained[c[0] : c[-1]], c - c[0]),
+                        ],
+                        names=["word", "part", "split", "block", "j", "start", "ctx", "n"],
+                    )
+
+    return blocks.mapInArrow(run, WORDS)
 
 
 # ---------------------------------------------------------------- words of all blocks
 
 
-MERGED = "word long, part int, ctx binary, n binary, r_block binary, r_j binary, r_m binary, r_ctx binary"
+MERGED = "word long, split boolean, count long, big long, ctx binary, n binary, r_block binary, r_j binary, r_start binary, r_m binary, r_ord binary, r_dish binary"
 
 
-def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by word, one row for each word: its counts by context, and which blocks ask for which contexts.
+def merge_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by word and part, one row for each.
 
-    A word with very many rows lets go of the askers so far in rows of part 1, without counts. The row of
-    part 0 has the counts of all.
+    count: the word's training tokens; its dishes (ctx, n) of two customers or more, and those dishes'
+    customers (big); for each block that asks its number, the place of its first pair, and the pairs (r_ord,
+    from there) of those dishes (r_dish, from the word's first), or of dishes whose only customer is another
+    block's (ALONE).
     """
-    names = ["word", "block", "j", "ctx", "n"]
-    kept: pa.RecordBatch | None = None
-
-    def joined(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if kept is None or not kept.num_rows:
-            return batch
-        return pa.Table.from_batches([kept, batch.cast(kept.schema)]).combine_chunks().to_batches()[0]
-
-    def summed(batch: pa.RecordBatch, part: int) -> pa.RecordBatch:
-        word = batch.column("word").to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        group = np.cumsum(np.concatenate([[0], (word[1:] != word[:-1]).astype(np.int64)]))
-        ctx, cuts = flat(batch.column("ctx"), np.uint16)
-        n, _ = flat(batch.column("n"), np.uint32)
-        row = np.repeat(np.arange(len(word)), np.diff(cuts))
-        key, inverse = np.unique(group[row] * WIDE + ctx, return_inverse=True)
-        total = np.bincount(inverse, weights=n, minlength=len(key))
-        seen = total > 0
-        key, total = key[seen], total[seen]
-        at = np.searchsorted(key // WIDE, np.arange(len(first) + 1))
-        block, j = batch.column("block").to_numpy(), batch.column("j").to_numpy()
-        asks = j >= 0
-        r_cuts = np.concatenate([np.searchsorted(group[asks], np.arange(len(first))), [asks.sum()]])
-        m = np.diff(cuts)
-        c_cuts = np.concatenate([[0], np.cumsum(np.bincount(group[asks], weights=m[asks], minlength=len(first)))]).astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(word[first]), pa.array(np.full(len(first), part, np.int32)),
-                binaries((key % WIDE).astype(np.uint16), at), binaries(total.astype(np.float64), at),
-                binaries(block[asks], r_cuts), binaries(j[asks].astype(np.uint32), r_cuts), binaries(m[asks].astype(np.uint16), r_cuts), binaries(ctx[asks[row]], c_cuts),
-            ],
-            names=["word", "part", "ctx", "n", "r_block", "r_j", "r_m", "r_ctx"],
-        )
+    held: list[pa.RecordBatch] = []
+
+    def key(batch: pa.RecordBatch, i: int) -> tuple:
+        return batch.column("word")[i].as_py(), batch.column("part")[i].as_py()
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     for batch in batches:
-        batch = joined(batch.select(names))
-        word = batch.column("word").to_numpy()
-        last = int(np.searchsorted(word, word[-1]))
-        if last:
-            yield summed(batch.slice(0, last), 0)
-        kept = batch.slice(last)
-        if kept.num_rows > HELD_ROWS:
-            out = summed(kept, 1)
-            none = pa.array([b""], pa.binary())
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), none, none, *out.columns[4:]], names=out.schema.names)
-            ctx, n, counts = out.column("ctx")[0].as_py(), np.frombuffer(out.column("n")[0].as_py(), np.float64), []
-            while not counts or n.max(initial=0) > 0:  # counts beyond 32 bits in several rows
-                counts.append(np.minimum(n, UNSIGNED).astype(np.uint32).tobytes())
-                n = np.maximum(n - UNSIGNED, 0)
-            k = len(counts)
-            kept = pa.RecordBatch.from_arrays([pa.array(out.column("word").to_pylist() * k), pa.array([0] * k, pa.int64()), pa.array([-1] * k, pa.int64()), pa.array([ctx] * k, pa.binary()), pa.array(counts, pa.binary())], names=names)
-    if kept is not None and kept.num_rows:
-        yield summed(kept, 0)
-
-
-def merged(words: DataFrame) -> DataFrame:
+        if not batch.num_rows:
+            continue
+        word, part = batch.column("word").to_numpy(), batch.column("part").to_numpy()
+        last = int(np.flatnonzero((word != word[-1]) | (part != part[-1])).max(initial=-1)) + 1
+        if held and (last or key(held[0], 0) != key(batch, 0)):
+            held.append(batch.slice(0, last))
+            yield summed(whole(), bits)
+            held = []
+        elif last:
+            yield summed(batch.slice(0, last), bits)
+        held.append(batch.slice(last))
+    if held:
+        yield summed(whole(), bits)
+
+
+def summed(batch: pa.RecordBatch, bits: int) -> pa.RecordBatch:
+    word, part = batch.column("word").to_numpy(), batch.column("part").to_numpy()
+    new = np.concatenate([[True], (word[1:] != word[:-1]) | (part[1:] != part[:-1])])
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    ctx, cuts = flat(batch.column("ctx"), np.uint32)
+    n, _ = flat(batch.column("n"), np.uint32)
+    row = np.repeat(np.arange(len(word)), np.diff(cuts))
+    key, dish = np.unique(group[row] << bits | ctx, return_inverse=True)
+    total = np.bincount(dish, weights=n, minlength=len(key))
+    count = np.bincount(group[row], weights=n, minlength=len(first)).astype(np.int64)
+    large = total > 1
+    number = np.cumsum(large) - 1  # of the large dishes
+    key, sums = key[large], total[large]
+    at = np.searchsorted(key >> bits, np.arange(len(first) + 1))
+    big = np.bincount(key >> bits, weights=sums, minlength=len(first)).astype(np.int64)
+    asked = large[dish] | (total == 1)[dish] & (n == 0)  # the latter's customer is another block's
+    order = (np.arange(len(row)) - cuts[row])[asked]
+    place = np.where(large[dish[asked]], number[dish[asked]] - at[group[row[asked]]], ALONE)
+    m = np.bincount(row[asked], minlength=len(word))
+    r_cuts = np.append(first, len(word))
+    a_cuts = np.concatenate([[0], np.cumsum(m)])[r_cuts]
+    block, j, start = (batch.column(c).to_numpy() for c in ("block", "j", "start"))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(word[first]), batch.column("split").take(pa.array(first)), pa.array(count), pa.array(big),
+            binaries((key & ((1 << bits) - 1)).astype(np.uint32), at), binaries(sums, at),
+            binaries(block, r_cuts), binaries(j.astype(np.uint32), r_cuts), binaries(start.astype(np.uint32), r_cuts), binaries(m.astype(np.uint32), r_cuts),
+            binaries(order.astype(np.uint32), a_cuts), binaries(place.astype(np.uint32), a_cuts),
+        ],
+        names=["word", "split", "count", "big", "ctx", "n", "r_block", "r_j", "r_start", "r_m", "r_ord", "r_dish"],
+    )
+
+
+def merged(words: DataFrame, bits: int) -> DataFrame:
     parts = salted_parts(words.sparkSession)
-    return words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(merge_words, MERGED)
+    dealt = words.repartition(parts, "word", "part").sortWithinPartitions("word", "part")
+    return dealt.mapInArrow(lambda batches: merge_words(batches, bits), MERGED)
 
 
 # ---------------------------------------------------------------- seating
@@ -242,28 +303,34 @@ def merged(words: DataFrame) -> DataFrame:
 
 @dataclass
 class Totals:
-    """What all words' restaurants have together."""
+    """What all words' restaurants have together before a sweep."""
 
-    tokens: float
     kinds: int
     customers: np.ndarray  # by context
     tables: np.ndarray  # by context
+    root_customers: float
     root_tables: float
     discount: float
     root_discount: float
-    shares: np.ndarray | None = None  # by context, what the words' own shares sum up to
-    root_share: float = 0.0  # what their probabilities at the root sum up to
+    strength: float = 1.0
+    root_strength: float = 1.0
+    shared: dict[int, tuple[float, float]] = field(default_factory=dict)  # of words in several parts, customers and tables at the root
 
-    def chance(self, own: np.ndarray, context: np.ndarray, at_root: np.ndarray) -> np.ndarray:
-        """Of words with such shares; over all words and the unknown one it sums up to 1 in each context."""
-        return own + (1 - self.shares)[context] * at_root / (self.root_share + self.root_backoff())
+    @property
+    def unseen(self) -> float:
+        """The root's probability of a word without customers, each of the kinds and the unknown word alike."""
+        return (self.root_strength + self.root_discount * self.root_tables) / (self.root_strength + self.root_customers) / (self.kinds + 1)
 
-    def stirling(self) -> tuple[np.ndarray, np.ndarray]:
-        return log_stirling(self.discount), log_stirling(self.root_discount)
+    def at_root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Words' probabilities at the root; over all words and the unknown one they sum up to 1."""
+        return np.maximum(customers - self.root_discount * tables, 0) / (self.root_strength + self.root_customers) + self.unseen
 
-    def root_backoff(self) -> float:
-        """The root's share for new words, each of the kinds and the unknown word alike."""
-        return (ROOT_STRENGTH + self.root_discount * self.root_tables) / (ROOT_STRENGTH + self.tables.sum()) / (self.kinds + 1)
+    def opening(self) -> np.ndarray:
+        return self.strength + self.discount * self.tables
+
+    def passed_on(self) -> np.ndarray:
+        """By context, the weight of the root; with the words' own shares it sums up to 1."""
+        return self.opening() / (self.strength + self.customers)
 
 
 def log_stirling(discount: float) -> np.ndarray:
@@ -412,40 +479,247 @@ def reseat(customers: np.ndarray, opening: np.ndarray, discount: float, stirling
     return tables
 
 
-def sampled(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, cuts: np.ndarray, totals: Totals, stirling: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Gibbs sweeps over some words' dishes, given the totals.
+@dataclass
+class Dishes:
+    """Some words' dishes of two customers or more, and how many of one customer each word has."""
+
+    word: np.ndarray
+    ctx: np.ndarray
+    n: np.ndarray
+    cuts: np.ndarray
+    single: np.ndarray
+    split: np.ndarray
+
+    @staticmethod
+    def of_batch(batch: pa.RecordBatch) -> Dishes:
+        ctx, cuts = flat(batch.column("ctx"), np.uint32)
+        n, _ = flat(batch.column("n"), np.float64)
+        count, big = (batch.column(c).to_numpy() for c in ("count", "big"))
+        return Dishes(batch.column("word").to_numpy().view(np.uint64), ctx, n, cuts, (count - big).astype(float), np.array(batch.column("split").to_pylist(), bool))
+
+
+def root_seats(word: np.ndarray, customers: np.ndarray, before: Totals, sweep: int, stirling: np.ndarray) -> np.ndarray:
+    """Tables at the root, drawn from their conditional."""
+    tables = np.minimum(customers, 1.0)
+    many = np.flatnonzero(customers > 1)
+    weight = np.full(len(many), before.unseen * (before.root_strength + before.root_customers))
+    tables[many] = reseat(customers[many], weight, before.root_discount, stirling, mixed(mixed(word[many]) + np.uint64(sweep)))
+    return tables
 
-    Tables by dish and the root's tables by word of the last sweep; averaged over the samples, each dish's
-    own share of its word's probability in the context, and each word's probability at the root. Random
-    numbers follow from word, context and sweep, so sampling again gives the same seating. Dishes of one
-    customer have one table in any case and take no part in the sweeps. stirling: of both discounts.
+
+def sweeps(d: Dishes, chain: list[Totals], samples: int, stirling: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(tables by dish, customers and tables at the root by word) after the sweeps given each of chain, the last one `samples` times.
+
+    Of words in several parts, the customers are those of this part, and the tables mean nothing.
     """
-    of = np.repeat(np.arange(len(word)), np.diff(cuts))
-    words = mixed(word.view(np.uint64))
-    free = np.flatnonzero(n > 1)
-    free = free[np.argsort(n[free], kind="stable")]
-    whose, size = of[free], n[free]
-    alone = np.bincount(of, minlength=len(word)) - np.bincount(whose, minlength=len(word))
-    dishes = mixed(words[whose] + ctx[free].astype(np.uint64) + np.uint64(1))
-    context = (STRENGTH + totals.discount * totals.tables)[ctx[free]]
-    root_down, new = ROOT_STRENGTH + totals.tables.sum(), totals.root_backoff()
-    tables, root = np.ones(len(free)), np.minimum(np.diff(cuts), 1).astype(float)
-    mean, at_root = np.zeros(len(free)), np.zeros(len(word))
-    guests = alone + np.bincount(whose, weights=tables, minlength=len(word))
-    for sweep in range(BURN_IN + SAMPLES):
-        others = guests[whose] - tables + 1  # one table there is in any case
-        parent = np.maximum(others - totals.root_discount * np.minimum(root[whose], others), 0) / root_down + new
-        tables = reseat(size, context * parent, totals.discount, stirling[0], mixed(dishes + np.uint64(sweep)))
-        guests = alone + np.bincount(whose, weights=tables, minlength=len(word))
-        many = np.flatnonzero(guests > 1)
-        root = np.minimum(guests, 1.0)
-        root[many] = reseat(guests[many], np.full(len(many), new * root_down), totals.root_discount, stirling[1], mixed(words[many] + np.uint64(sweep)))
-        if sweep >= BURN_IN:
-            mean += tables / SAMPLES
-            at_root += (np.maximum(guests - totals.root_discount * root, 0) / root_down + new) / SAMPLES
-    last, average = np.ones(len(n)), np.ones(len(n))
-    last[free], average[free] = tables, mean
-    return last, root, (n - totals.discount * average) / (STRENGTH + totals.customers[ctx]), at_root
+    of = np.repeat(np.arange(len(d.word)), np.diff(d.cuts))
+    keys = mixed(mixed(d.word)[of] + d.ctx.astype(np.uint64) + np.uint64(1))
+    customers = d.single + np.diff(d.cuts)
+    tables = np.minimum(customers, 1.0)
+    out = []
+    for p, (before, table) in enumerate(zip(chain, stirling, strict=True)):
+        for i in np.flatnonzero(d.split):
+            customers[i], tables[i] = before.shared[int(d.word[i])]
+        opening = before.opening()[d.ctx] * before.at_root(customers, tables)[of]
+        for s in range(samples if p == len(chain) - 1 else 1):
+            sweep = 64 * p + s
+            t = reseat(d.n, opening, before.discount, table[0], mixed(keys + np.uint64(sweep)))
+            guests = d.single + np.bincount(of, weights=t, minlength=len(d.word))
+            out.append((t, guests, root_seats(d.word, guests, before, sweep, table[1])))
+        customers, tables = out[-1][1].copy(), out[-1][2].copy()
+    return out[len(chain) - 1 :]
+
+
+def light(chain: list[Totals]) -> list[Totals]:
+    """What sweeps() needs of them."""
+    return [replace(t, customers=np.zeros(0), tables=t.tables.astype(np.float32)) for t in chain]
+
+
+def stirlings(chain: list[Totals]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(log_stirling(t.discount), log_stirling(t.root_discount)) for t in chain]
+
+
+def party_counts(customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """How many dishes have so many customers and tables, up to EXACT; of larger ones their number, log customers and tables beyond one."""
+    few = customers <= EXACT
+    wide = EXACT + 1
+    small = np.bincount(customers[few].astype(np.int64) * wide + tables[few].astype(np.int64), minlength=wide * wide)
+    return np.concatenate([small, [(~few).sum(), np.log(customers[~few]).sum(), (tables[~few] - 1).sum()]])
+
+
+PARTY = (EXACT + 1) ** 2 + 3
+SUMS = "k long, data binary"
+
+
+def reduced(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Sums by k of arrays by index; the data are (index, one array of values after the other)."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        index, total = np.zeros(0, np.uint64), None
+        for data in pdf["data"]:
+            more, *values = unpacked(data)
+            values = np.array([v.view(np.float64) for v in values])
+            if total is None:
+                index, total = more, values
+                continue
+            both, place = np.unique(np.concatenate([index, more]), return_inverse=True)
+            index, total = both, np.array([np.bincount(place, weights=np.concatenate(x), minlength=len(both)) for x in zip(total, values, strict=True)])
+        return pd.DataFrame({"k": pdf["k"][:1], "data": [packed([index, *total])]})
+
+    some = rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy("k", "part").applyInPandas(add, SUMS)
+    return {r.k: unpacked(r.data) for r in some.groupBy("k").applyInPandas(add, SUMS).collect()}
+
+
+def sums_rows(arrays: list[np.ndarray], rest: np.ndarray, shared: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """Rows for reduced(): sums by context in ranges, where there are any; k -1: others; k -2: of words in several parts."""
+    keys, data = [-1], [packed([np.arange(len(rest), dtype=np.uint64), rest])]
+    if shared:
+        keys.append(-2)
+        data.append(packed([np.array(list(shared), np.uint64), *np.array(list(shared.values()), float).T.copy()]))
+    for k in range(0, len(arrays[0]), RANGE):
+        some = np.flatnonzero(np.any([a[k : k + RANGE] != 0 for a in arrays], axis=0))
+        if len(some):
+            keys.append(k // RANGE)
+            data.append(packed([some.astype(np.uint64), *[a[k : k + RANGE][some] for a in arrays]]))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["k", "data"])
+
+
+def dense(got: dict[int, list[np.ndarray]], number: int, bits: int) -> np.ndarray:
+    out = np.zeros((number, 1 << bits))
+    for k, (index, *values) in got.items():
+        if k >= 0:
+            out[:, k * RANGE + index.astype(np.int64)] = [v.view(np.float64) for v in values]
+    return out
+
+
+def listed(got: dict[int, list[np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes and values (one row for each array) of k."""
+    if k not in got:
+        return np.zeros(0, np.uint64), np.zeros((0, 0))
+    index, *values = got[k]
+    return index, np.array([v.view(np.float64) for v in values])
+
+
+def begun(words: DataFrame, bits: int) -> tuple[Totals, np.ndarray, dict[int, int]]:
+    """The totals when every dish has one table; tables of dishes of one customer by context; counts of words in several parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays, rest, shared = np.zeros((3, 1 << bits)), np.zeros(6), {}
+        for batch in together(batches):
+            d = Dishes.of_batch(batch)
+            count = batch.column("count").to_numpy().astype(float)
+            arrays[0] += np.bincount((d.word >> np.uint64(64 - bits)).astype(np.int64), weights=count, minlength=1 << bits)
+            arrays[1] += np.bincount(d.ctx, weights=d.n, minlength=1 << bits)
+            arrays[2] += np.bincount(d.ctx, minlength=1 << bits)
+            c = d.single + np.diff(d.cuts)
+            own = ~d.split
+            rest += [(c[own] > 0).sum(), c[own].sum(), d.single.sum(), (d.n == 2).sum(), (c[own] == 1).sum(), (c[own] == 2).sum()]
+            for i in np.flatnonzero(d.split):
+                w = int(d.word[i])
+                shared[w] = shared.get(w, np.zeros(2)) + [c[i], count[i]]
+        yield sums_rows(list(arrays), rest, shared)
+
+    got = reduced(words.select("word", "split", "count", "big", "ctx", "n").mapInArrow(run, SUMS))
+    customers, large, dishes = dense(got, 3, bits)
+    _, rest = listed(got, -1)
+    rest = rest[0] if len(rest) else np.zeros(6)
+    index, values = listed(got, -2)
+    shared = {int(w): (c, min(c, 1.0)) for w, c in zip(index, values[0] if len(values) else [], strict=True)}
+    counts = {int(w): int(n) for w, n in zip(index, values[1] if len(values) else [], strict=True)}
+    own = np.array([c for c, _ in shared.values()])
+    kinds, guests, one, two = rest[0] + (own > 0).sum(), rest[1] + own.sum(), rest[4] + (own == 1).sum(), rest[5] + (own == 2).sum()
+    # the usual estimate from how many dishes have one and two customers
+    d, e = (float(np.clip(x / max(1.0, x + 2 * y), 0.1, 0.95)) for x, y in ((rest[2], rest[3]), (one, two)))
+    single = customers - large
+    return Totals(int(kinds), customers, single + dishes, float(guests), float(kinds), d, e, shared=shared), single, counts
+
+
+def swept(words: DataFrame, chain: list[Totals], single: np.ndarray, bits: int, samples: int = 1) -> tuple[list[Totals], list[np.ndarray]]:
+    """The totals after each of the samples, and the counts of parties of contexts and root after the first."""
+    given = words.sparkSession.sparkContext.broadcast(light(chain))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stirling = stirlings(given.value)
+        arrays, rest, shared = np.zeros((samples, 1 << bits)), np.zeros(2 * samples + 2 * PARTY), {}
+        for batch in together(batches):
+            d = Dishes.of_batch(batch)
+            own = ~d.split
+            for s, (t, c, r) in enumerate(sweeps(d, given.value, samples, stirling)):
+                arrays[s] += np.bincount(d.ctx, weights=t, minlength=1 << bits)
+                rest[2 * s] += c[own].sum()
+                rest[2 * s + 1] += r[own].sum()
+                if not s:
+                    rest[2 * samples :] += np.concatenate([party_counts(d.n, t), party_counts(c[own], r[own])])
+                for i in np.flatnonzero(d.split):
+                    w = int(d.word[i])
+                    shared.setdefault(w, np.zeros(samples))[s] += c[i]
+        yield sums_rows(list(arrays), rest, shared)
+
+    got = reduced(words.select("word", "split", "count", "big", "ctx", "n").mapInArrow(run, SUMS))
+    tables = dense(got, samples, bits)
+    _, rest = listed(got, -1)
+    rest = rest[0] if len(rest) else np.zeros(2 * samples + 2 * PARTY)
+    index, values = listed(got, -2)
+    before, parties = chain[-1], [rest[2 * samples : 2 * samples + PARTY].copy(), rest[2 * samples + PARTY :].copy()]
+    out = []
+    for s in range(samples):
+        c = values[s] if len(values) else np.zeros(0)
+        r = root_seats(index, c, before, 64 * (len(chain) - 1) + s, log_stirling(before.root_discount))
+        if not s:
+            parties[1] += party_counts(c, r)
+        shared = {int(w): (float(x), float(y)) for w, x, y in zip(index, c, r, strict=True)}
+        out.append(replace(before, tables=single + tables[s], root_customers=float(rest[2 * s] + c.sum()), root_tables=float(rest[2 * s + 1] + r.sum()), shared=shared))
+    parties[0][EXACT + 2] += single.sum()  # one customer, one table
+    return out, parties
+
+
+# ---------------------------------------------------------------- strengths and discounts
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """By Stirling's series, eight above."""
+    x = np.asarray(x, float)
+    shift = np.log(np.prod([x + i for i in range(8)], axis=0)) if x.size else x
+    z = x + 8
+    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
+
+
+def likelihoods(customers: np.ndarray, tables: np.ndarray, parties: np.ndarray) -> np.ndarray:
+    """For each of DISCOUNTS and STRENGTHS the log probability of the seating of some restaurants.
+
+    (strength | discount) over tables by (strength | 1) over customers, and for each dish the Stirling number
+    of its customers and tables; beyond EXACT customers that number's limit for many customers.
+    """
+    t, nt = np.unique(tables[customers > 0], return_counts=True)
+    c, nc = np.unique(customers[customers > 0], return_counts=True)
+    small, (number, logs, beyond) = parties[:-3].reshape(EXACT + 1, EXACT + 1).copy(), parties[-3:]
+    small[0] = 0
+    out = np.zeros((len(DISCOUNTS), len(STRENGTHS)))
+    for i, d in enumerate(DISCOUNTS):
+        stirling = log_stirling(d)
+        seen = small > 0
+        dishes = (small[seen] * stirling[seen]).sum() - number * math.lgamma(1 - d) - d * logs - beyond * math.log(d)
+        for k, strength in enumerate(STRENGTHS):
+            opened = (t - 1) * math.log(d) + log_gamma(strength / d + t) - math.lgamma(strength / d + 1)
+            came = log_gamma(strength + c) - math.lgamma(strength + 1)
+            out[i, k] = dishes + (nt * opened).sum() - (nc * came).sum()
+    return out
+
+
+def drawn(logs: np.ndarray, sweep: int) -> tuple[float, float]:
+    """A discount and strength with these log probabilities."""
+    share = np.cumsum(np.exp(logs - logs.max()))
+    i = int((share < float(uniform(np.array([0], np.uint64), 1000 + sweep)[0]) * share[-1]).sum())
+    return DISCOUNTS[i // len(STRENGTHS)], STRENGTHS[i % len(STRENGTHS)]
+
+
+def fitted(after: Totals, parties: list[np.ndarray], sweep: int) -> Totals:
+    """The totals with strengths and discounts drawn given the seating."""
+    if not after.kinds:
+        return after
+    d, strength = drawn(likelihoods(after.customers, after.tables, parties[0]), 2 * sweep)
+    e, root = drawn(likelihoods(np.array([after.root_customers]), np.array([after.root_tables]), parties[1]), 2 * sweep + 1)
+    return replace(after, discount=d, strength=strength, root_discount=e, root_strength=root)
 
 
 def together(batches: Iterator[pa.RecordBatch], rows: int = 40_000, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
@@ -462,128 +736,87 @@ def together(batches: Iterator[pa.RecordBatch], rows: int = 40_000, most: int =
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def gathered(words: DataFrame, totals: Totals | None) -> Totals:
-    """The totals after one seating of all words, given those before; without any, every dish has one table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        customers, tables = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-        rest = np.zeros(7)  # kinds, root tables, dishes of one and two customers, the same at the root, its sum
-        shares = np.zeros(CONTEXTS)
-        stirling = totals and totals.stirling()
-        for batch in together(batches):
-            word = batch.column("word").to_numpy()
-            ctx, cuts = flat(batch.column("ctx"), np.uint16)
-            n, _ = flat(batch.column("n"), np.float64)
-            guests = np.diff(cuts)
-            if totals:
-                t, root, own, at_root = sampled(word, ctx, n, cuts, totals, stirling)
-                shares += np.bincount(ctx, weights=own, minlength=CONTEXTS)
-            else:
-                t, root, at_root = np.ones(len(n)), np.minimum(guests, 1), guests * 0.0
-            customers += np.bincount(ctx, weights=n, minlength=CONTEXTS)
-            tables += np.bincount(ctx, weights=t, minlength=CONTEXTS)
-            rest += [(guests > 0).sum(), root.sum(), (n == 1).sum(), (n == 2).sum(), (guests == 1).sum(), (guests == 2).sum(), at_root[guests > 0].sum()]
-        none = np.zeros(len(rest))
-        yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(CONTEXTS + len(rest))), "a": pa.array(np.concatenate([customers, rest])), "b": pa.array(np.concatenate([tables, none])), "c": pa.array(np.concatenate([shares, none]))})
-
-    rows = words.where("part = 0").select("word", "ctx", "n").mapInArrow(run, "k long, a double, b double, c double").groupBy("k").agg(*[F.sum(x).alias(x) for x in "abc"]).collect()
-    sums = np.zeros((3, CONTEXTS + 7))
-    for r in rows:
-        sums[:, r.k] = r.a, r.b, r.c
-    (customers, tables, shares), rest = sums[:, :CONTEXTS], sums[0, CONTEXTS:]
-    if totals:
-        d, e = totals.discount, totals.root_discount
-    else:  # the usual estimate from how many dishes have one and two customers
-        d, e = (float(np.clip(one / max(1.0, one + 2 * two), 0.1, 0.95)) for one, two in (rest[2:4], rest[4:6]))
-    return Totals(float(customers.sum()), int(rest[0]), customers, tables, float(rest[1]), d, e, shares, float(rest[6]))
-
-
 # ---------------------------------------------------------------- scores
 
 
-def answers(words: DataFrame, totals: Totals) -> DataFrame:
-    """block, data: for a block's words j their counts and probabilities at the root, and their own shares in the contexts it asked for."""
-    shared = words.sparkSession.sparkContext.broadcast(totals)
+def answers(words: DataFrame, chain: list[Totals], finals: list[Totals], counts: dict[int, int]) -> DataFrame:
+    """block, data: for a block's words j their counts, customers and tables at the root by sample; for its pairs with dishes of several customers their own shares."""
+    given = words.sparkSession.sparkContext.broadcast((light(chain), (chain[-1].strength + chain[-1].customers).astype(np.float32), [t.shared for t in finals], counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stirling = shared.value.stirling()
+        chain, whole, shared, counts = given.value
+        stirling = stirlings(chain)
         for batch in together(batches):
-            word = batch.column("word").to_numpy()
-            ctx, cuts = flat(batch.column("ctx"), np.uint16)
-            n, _ = flat(batch.column("n"), np.float64)
-            _, _, own, at_root = sampled(word, ctx, n, cuts, shared.value, stirling)
-            row = np.repeat(np.arange(len(word)), np.diff(cuts))
-            count = np.bincount(row, weights=n, minlength=len(word))
-            key = row * WIDE + ctx
+            d = Dishes.of_batch(batch)
+            got = sweeps(d, chain, len(shared), stirling)
+            own = ((d.n - chain[-1].discount * np.mean([t for t, _, _ in got], axis=0)) / whole[d.ctx]).astype(np.float32)
+            count = batch.column("count").to_numpy().astype(np.uint64)
+            root = np.array([x for _, c, r in got for x in (c, r)])
+            for i in np.flatnonzero(d.split):
+                w = int(d.word[i])
+                count[i] = counts[w]
+                root[:, i] = [x for known in shared for x in known[w]]
+            root = root.astype(np.uint64)
             block, r_cuts = flat(batch.column("r_block"), np.int64)
-            j, _ = flat(batch.column("r_j"), np.uint32)
-            m, _ = flat(batch.column("r_m"), np.uint16)
-            asked, _ = flat(batch.column("r_ctx"), np.uint16)
-            of = np.repeat(np.arange(len(word)), np.diff(r_cuts))
+            j, start, m, order, dish = (flat(batch.column(c), np.uint32)[0] for c in ("r_j", "r_start", "r_m", "r_ord", "r_dish"))
+            of = np.repeat(np.arange(len(d.word)), np.diff(r_cuts))
             ask = np.repeat(np.arange(len(j)), m)
-            wanted = of[ask] * WIDE + asked
-            at = np.minimum(np.searchsorted(key, wanted), max(0, len(key) - 1))
-            hit = key[at] == wanted if len(key) else np.zeros(len(wanted), bool)
-            ask, asked, share = ask[hit], asked[hit], (own[at[hit]] if len(key) else np.zeros(0)).astype(np.float32)
-            order = np.argsort(block, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            by_block = np.argsort(place[ask], kind="stable")
-            ask, asked, share = ask[by_block], asked[by_block], share[by_block]
-            sorted_blocks = block[order]
-            first = np.flatnonzero(np.concatenate([[True], sorted_blocks[1:] != sorted_blocks[:-1]])) if len(order) else np.zeros(0, int)
-            ends, spots = np.concatenate([first[1:], [len(order)]]), place[ask]
-            data = []
-            for a, b in zip(first, ends, strict=True):
-                mine = order[a:b]
+            alone = dish == ALONE
+            pair, share = start[ask] + order, np.full(len(ask), np.nan, np.float32)
+            share[~alone] = own[d.cuts[of[ask[~alone]]] + dish[~alone]]
+            by_block = np.argsort(block, kind="stable")
+            place = np.empty(len(by_block), np.int64)
+            place[by_block] = np.arange(len(by_block))
+            sorted_pairs = np.argsort(place[ask], kind="stable")
+            pair, share, spots = pair[sorted_pairs], share[sorted_pairs], place[ask][sorted_pairs]
+            blocks = block[by_block]
+            first = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])) if len(blocks) else np.zeros(0, int)
+            ends, data = np.append(first[1:], len(blocks)), []
+            for a, b in zip(first, ends, strict=False):
+                mine = by_block[a:b]
                 x, y = np.searchsorted(spots, [a, b])
-                data.append(packed([j[mine], count[of[mine]].astype(np.uint64), at_root[of[mine]].astype(np.float32).view(np.uint32), j[ask[x:y]], asked[x:y], share[x:y].view(np.uint32)]))
-            yield pa.RecordBatch.from_arrays([pa.array(sorted_blocks[first]), pa.array(data, pa.binary())], names=["block", "data"])
+                data.append(packed([j[mine], count[of[mine]], *root[:, of[mine]], pair[x:y], share[x:y].view(np.uint32)]))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[first]), pa.array(data, pa.binary())], names=["block", "data"])
 
-    whole = words.where("part = 0")
-    parts = words.where("part > 0")
-    if not parts.isEmpty():  # askers of very frequent words, whose counts another row has
-        counts = whole.select("word", F.col("ctx").alias("_ctx"), F.col("n").alias("_n"))
-        late = parts.join(counts, "word").select("word", "part", F.col("_ctx").alias("ctx"), F.col("_n").alias("n"), "r_block", "r_j", "r_m", "r_ctx")
-        whole = whole.union(late)
-    return whole.mapInArrow(run, "block long, data binary")
+    return words.mapInArrow(run, "block long, data binary")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_blocks(blocks: DataFrame, answered: DataFrame, before: Totals, after: Totals) -> DataFrame:
-    """after: gathered from the seating that answers() samples again, given before."""
-    shared = blocks.sparkSession.sparkContext.broadcast(replace(before, shares=after.shares, root_share=after.root_share))
+def score_blocks(blocks: DataFrame, answered: DataFrame, finals: list[Totals], bits: int, shared: dict[int, int]) -> DataFrame:
+    """The mean over the samples of each token's probability, own share and root's together."""
+    last = finals[0]
+    single = ((1 - last.discount) / (last.strength + last.customers)).astype(np.float32)
+    bare = [replace(t, customers=np.zeros(0), tables=np.zeros(0), shared={}) for t in finals]
+    given = blocks.sparkSession.sparkContext.broadcast((bare, single, [t.passed_on().astype(np.float32) for t in finals], float(last.customers.sum()), shared))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        total = shared.value
+        finals, single, passed, tokens, shared = given.value
         out = []
-        for data in left.column("data").to_pylist():
-            ids, null, held, sizes, j, kinds = unpacked(data)
-            count, at_root = np.zeros(len(kinds)), np.zeros(len(kinds))
-            keys, shares = [], []
+        for data, words in zip(left.column("data").to_pylist(), left.column("words").to_pylist(), strict=True):
+            ids, null, held, sizes, j = unpacked(data)
+            words = np.frombuffer(words, np.uint64)
+            p = pairs_of(j, sizes, held, words, bits, shared)
+            count, root = np.zeros(len(words)), np.zeros((2 * len(finals), len(words)))
+            own = np.where(p.trained > 0, single[p.context], np.float32(0)).astype(float)
             for part in right.column("data").to_pylist():
-                words, n, p, of, ctx, own = unpacked(part)
-                count[words], at_root[words] = n, p.view(np.float32)
-                keys.append(of.astype(np.int64) * WIDE + ctx)
-                shares.append(own.view(np.float32))
-            key = np.concatenate([*keys, [np.iinfo(np.int64).max]])
-            share = np.concatenate([*shares, [0.0]])
-            order = np.argsort(key)
-            key, share = key[order], share[order]
-            context = np.concatenate([[END_CLASS], kinds[j[:-1]]]).astype(np.int64)
-            wanted = j.astype(np.int64) * WIDE + context
-            at = np.searchsorted(key, wanted)
-            chance = total.chance(np.where(key[at] == wanted, share[at], 0.0), context, np.where(at_root[j] > 0, at_root[j], total.root_backoff()))
-            base = np.log10((count[j] + 0.1) / (total.tokens + 0.1 * (total.kinds + 1)))
+                of, n, *at_root, pair, share = unpacked(part)
+                count[of] = n
+                root[:, of] = at_root
+                share = share.view(np.float32)
+                own[pair] = np.where(np.isnan(share), single[p.context[pair]], share)
+            chance = np.zeros(len(p.word))
+            for s, t in enumerate(finals):
+                chance += (own + passed[s][p.context] * t.at_root(root[2 * s], root[2 * s + 1])[p.word]) / len(finals)
+            base = np.log10((count + 0.1) / (tokens + 0.1 * (finals[0].kinds + 1)))
             of = np.repeat(np.arange(len(sizes)), sizes)
-            sums = [np.bincount(of, weights=x, minlength=len(sizes)) for x in (count[j] > 0, base, np.log10(chance))]
+            sums = [np.bincount(of, weights=x, minlength=len(sizes)) for x in ((count > 0)[j], base[j], np.log10(chance)[p.of])]
             out.append(
                 pa.table(
                     [
                         pa.array(ids.view(np.int64), mask=null.astype(bool)), pa.array(held.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(sums[0].astype(np.int64)),
-                        pa.array(np.full(len(sizes), int(total.tokens))), pa.array(sums[1]), pa.array(sums[2]),
+                        pa.array(np.full(len(sizes), int(tokens))), pa.array(sums[1]), pa.array(sums[2]),
                     ],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
@@ -601,20 +834,24 @@ def score(docs: DataFrame, held_out) -> DataFrame:
 
     held_out says which rows the model doesn't learn from (null: it does). Null and empty texts have the end
     token alone. Repeated rows count and are scored each for itself, so do rows with a null doc_id. Without
-    training tokens every token has the probability of the one unknown word. The model's perplexity over
-    some rows is 10 ** (-sum(score) / sum(n_tokens)).
+    training tokens every token has the probability of the one unknown word. Texts are read whole, a text
+    of any length is in one block. Extra columns are ignored, an empty table gives no rows. The model's
+    perplexity over some rows is 10 ** (-sum(score) / sum(n_tokens)).
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    path, merged_path = new_path(spark, "blocks"), new_path(spark, "words")
-    blocks, words = read_blocks(docs, frequent_words(docs), path)
-    merged(words).write.parquet(merged_path)
-    drop_path(spark, f"{path}/kind=word")
-    words = spark.read.schema(MERGED).parquet(merged_path)
-    totals = gathered(words, None)
-    for _ in range(PASSES):
-        before, totals = totals, gathered(words, totals)
-    return score_blocks(blocks, answers(words, before), before, totals)
+    bits, shared = context_bits(docs), shared_words(docs)
+    blocks = read_blocks(docs, new_path(spark, "blocks"))
+    path = new_path(spark, "words")
+    merged(word_rows(blocks, bits, shared), bits).write.parquet(path)
+    words = spark.read.schema(MERGED).parquet(path)
+    totals, single, counts = begun(words, bits)
+    chain = [totals]
+    for sweep in range(BURN_IN):
+        after, parties = swept(words, chain, single, bits)
+        chain.append(fitted(after[0], parties, sweep))
+    finals, _ = swept(words, chain, single, bits, SAMPLES)
+    return score_blocks(blocks, answers(words, chain, finals, counts), finals, bits, shared)
 
 
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
