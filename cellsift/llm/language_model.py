@@ -46,7 +46,7 @@ ALONE = np.iinfo(np.uint32).max
 #: Documents, about, from which the words that many tasks have to share are told; results don't depend on them.
 SHARED_DOCS = 2000
 #: Values that strengths and discounts are drawn from.
-STRENGTHS = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0)
+STRENGTHS = (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10_000.0)
 DISCOUNTS = tuple(x / 20 for x in range(2, 20))
 
 
