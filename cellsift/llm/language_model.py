@@ -124,12 +124,14 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def read_blocks(docs: DataFrame, path: str) -> DataFrame:
+def read_blocks(docs: DataFrame, path: str, bits: int, shared: dict[int, int]) -> DataFrame:
     """Writes and gives blocks (block, data, words).
 
-    A block's data are its documents' ids, whether they are null and held out, their numbers of tokens, and
-    the tokens as numbers of the block's words; words: their hashes. Word 0 is the end.
+    A block's data are its documents' ids, whether they are null and held out, their numbers of tokens, the
+    tokens as numbers of the block's words, the words' contexts, and which words are shared by how many parts;
+    words: their hashes. Word 0 is the end.
     """
+    given = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get(), 0
@@ -150,8 +152,11 @@ def read_blocks(docs: DataFrame, path: str) -> DataFrame:
         held = np.array(batch.column("held_out").to_pylist(), np.uint8)
         ids = batch.column("doc_id")
         null = np.array(ids.is_null().to_pylist(), np.uint8)
-        data = packed([ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null, held, sizes, np.concatenate(tokens)])
         words = np.fromiter(map(hash_of, index), np.uint64, len(index))
+        of_many = np.flatnonzero(np.isin(words, np.fromiter(given.value, np.uint64, len(given.value)))).astype(np.uint32)
+        parts = np.array([given.value[int(words[i])] for i in of_many], np.uint32)
+        kinds = (words >> np.uint64(64 - bits)).astype(np.uint32)
+        data = packed([ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null, held, sizes, np.concatenate(tokens), kinds, of_many, parts])
         return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([data], pa.binary()), pa.array([words.tobytes()], pa.binary())], names=["block", "data", "words"])
 
     shape = "block long, data binary, words binary"
@@ -170,11 +175,9 @@ class Pairs:
     of: np.ndarray  # the pair of each token
 
 
-def pairs_of(j: np.ndarray, sizes: np.ndarray, held: np.ndarray, words: np.ndarray, bits: int, shared: dict[int, int]) -> Pairs:
-    kinds = (words >> np.uint64(64 - bits)).astype(np.int64)
-    parts = np.ones(len(words), np.int64)
-    for i in np.flatnonzero(np.isin(words, np.fromiter(shared, np.uint64, len(shared)))):
-        parts[i] = shared[int(words[i])]
+def pairs_of(held: np.ndarray, sizes: np.ndarray, j: np.ndarray, kinds: np.ndarray, of_many: np.ndarray, shared: np.ndarray, bits: int) -> Pairs:
+    kinds, parts = kinds.astype(np.int64), np.ones(len(kinds), np.int64)
+    parts[of_many] = shared
     j = j.astype(np.int64)
     before = np.concatenate([[0], j[:-1]])  # each text follows an end
     key, of = np.unique(j << bits | kinds[before], return_inverse=True)
@@ -189,34 +192,42 @@ def pairs_of(j: np.ndarray, sizes: np.ndarray, held: np.ndarray, words: np.ndarr
     return Pairs(word[order], part[order], context[order], trained[order], place[of])
 
 
-WORDS = "word long, part int, split boolean, block long, j long, start long, ctx binary, n binary"
+WORDS = "word long, part int, block long, data binary"
+ALL_ONCE = 1 << 31
 
 
-def word_rows(blocks: DataFrame, bits: int, shared: dict[int, int]) -> DataFrame:
-    """A row for each block's word and part: the contexts it has there, and how often in training texts."""
-    given = blocks.sparkSession.sparkContext.broadcast(shared)
+def word_rows(blocks: DataFrame, bits: int) -> DataFrame:
+    """A row for each block's word and part (-1 if it has but one).
+
+    data: the place of its first pair, the contexts it has there, and how often in training texts, which is
+    left out (and ALL_ONCE added to the first) where it is once each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data, words in zip(*(batch.column(c).to_pylist() for c in ("block", "data", "words")), strict=True):
-                _, _, held, sizes, j = unpacked(data)
-                words = np.frombuffer(words, np.uint64)
-                p = pairs_of(j, sizes, held, words, bits, given.value)
-                first = np.flatnonzero(np.concatenate([[True], (p.word[1:] != p.word[:-1]) | (p.part[1:] != p.part[:-1])]))
-                cuts = np.append(first, len(p.word))
-                mine, part = p.word[first], p.part[first]
-                split = np.isin(words, np.fromiter(given.value, np.uint64, len(given.value)))[mine]
-                context, trained = p.context.astype(np.uint32), p.trained
-                for a in range(0, len(first), 50_000):
-                    b = min(len(first), a + 50_000)
-                    c = cuts[a : b + 1]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(words[mine[a:b]].view(np.int64)), pa.array(part[a:b].astype(np.int32)), pa.array(split[a:b]), pa.array(np.full(b - a, block)), pa.array(mine[a:b]), pa.array(first[a:b]),
-                            binaries(context[c[0] : c[-1]], c - c[0]), binaries(trained[c[0] : c[-1]], c - c[0]),
-                        ],
-                        names=["word", "part", "split", "block", "j", "start", "ctx", "n"],
-                    )
+                _, _, *rest = unpacked(data)
+                p = pairs_of(*rest, bits)
+                yield from one(block, p, np.frombuffer(words, np.int64), rest[4])
+
+    def one(block: int, p: Pairs, words: np.ndarray, of_many: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.concatenate([[True], (p.word[1:] != p.word[:-1]) | (p.part[1:] != p.part[:-1])])
+        first = np.flatnonzero(new)
+        row, m = np.cumsum(new) - 1, np.diff(np.append(first, len(p.word)))
+        once = np.bincount(row, weights=p.trained != 1) == 0
+        size = 1 + m * np.where(once, 1, 2)
+        cuts = np.concatenate([[0], np.cumsum(size)])
+        out = np.zeros(cuts[-1], np.uint32)
+        out[cuts[:-1]] = first + np.where(once, ALL_ONCE, 0)
+        place = cuts[row] + 1 + np.arange(len(row)) - first[row]
+        out[place] = p.context
+        several = ~once[row]
+        out[(place + m[row])[several]] = p.trained[several]
+        part = np.where(np.isin(p.word[first], of_many), p.part[first], -1).astype(np.int32)
+        for a in range(0, len(first), 50_000):
+            b = min(len(first), a + 50_000)
+            c = cuts[a : b + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(words[p.word[first[a:b]]]), pa.array(part[a:b]), pa.array(np.full(b - a, block)), binaries(out[c[0] : c[-1]], c - c[0])], names=["word", "part", "block", "data"])
 
     return blocks.mapInArrow(run, WORDS)
 
@@ -224,14 +235,14 @@ def word_rows(blocks: DataFrame, bits: int, shared: dict[int, int]) -> DataFrame
 # ---------------------------------------------------------------- words of all blocks
 
 
-MERGED = "word long, split boolean, count long, big long, ctx binary, n binary, r_block binary, r_j binary, r_start binary, r_m binary, r_ord binary, r_dish binary"
+MERGED = "word long, split boolean, count long, big long, ctx binary, n binary, r_block binary, r_start binary, r_m binary, r_ord binary, r_dish binary"
 
 
 def merge_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by word and part, one row for each.
 
     count: the word's training tokens; its dishes (ctx, n) of two customers or more, and those dishes'
-    customers (big); for each block that asks its number, the place of its first pair, and the pairs (r_ord,
+    customers (big); for each block that asks, the place of its first pair, and the pairs (r_ord,
     from there) of those dishes (r_dish, from the word's first), or of dishes whose only customer is another
     block's (ALONE).
     """
@@ -263,9 +274,17 @@ def summed(batch: pa.RecordBatch, bits: int) -> pa.RecordBatch:
     word, part = batch.column("word").to_numpy(), batch.column("part").to_numpy()
     new = np.concatenate([[True], (word[1:] != word[:-1]) | (part[1:] != part[:-1])])
     first, group = np.flatnonzero(new), np.cumsum(new) - 1
-    ctx, cuts = flat(batch.column("ctx"), np.uint32)
-    n, _ = flat(batch.column("n"), np.uint32)
-    row = np.repeat(np.arange(len(word)), np.diff(cuts))
+    data, ends = flat(batch.column("data"), np.uint32)
+    start = data[ends[:-1]]
+    once = start >= ALL_ONCE
+    start = np.where(once, start - np.uint32(ALL_ONCE), start)
+    m = (np.diff(ends) - 1) // np.where(once, 1, 2)
+    cuts = np.concatenate([[0], np.cumsum(m)])
+    row = np.repeat(np.arange(len(word)), m)
+    place = ends[row] + 1 + np.arange(len(row)) - cuts[row]
+    ctx, n = data[place], np.ones(len(row), np.uint32)
+    several = ~once[row]
+    n[several] = data[(place + m[row])[several]]
     key, dish = np.unique(group[row] << bits | ctx, return_inverse=True)
     total = np.bincount(dish, weights=n, minlength=len(key))
     count = np.bincount(group[row], weights=n, minlength=len(first)).astype(np.int64)
@@ -280,15 +299,15 @@ def summed(batch: pa.RecordBatch, bits: int) -> pa.RecordBatch:
     m = np.bincount(row[asked], minlength=len(word))
     r_cuts = np.append(first, len(word))
     a_cuts = np.concatenate([[0], np.cumsum(m)])[r_cuts]
-    block, j, start = (batch.column(c).to_numpy() for c in ("block", "j", "start"))
+    block = batch.column("block").to_numpy()
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(word[first]), batch.column("split").take(pa.array(first)), pa.array(count), pa.array(big),
+            pa.array(word[first]), pa.array(part[first] >= 0), pa.array(count), pa.array(big),
             binaries((key & ((1 << bits) - 1)).astype(np.uint32), at), binaries(sums, at),
-            binaries(block, r_cuts), binaries(j.astype(np.uint32), r_cuts), binaries(start.astype(np.uint32), r_cuts), binaries(m.astype(np.uint32), r_cuts),
+            binaries(block, r_cuts), binaries(start.astype(np.uint32), r_cuts), binaries(m.astype(np.uint32), r_cuts),
             binaries(order.astype(np.uint32), a_cuts), binaries(place.astype(np.uint32), a_cuts),
         ],
-        names=["word", "split", "count", "big", "ctx", "n", "r_block", "r_j", "r_start", "r_m", "r_ord", "r_dish"],
+        names=["word", "split", "count", "big", "ctx", "n", "r_block", "r_start", "r_m", "r_ord", "r_dish"],
     )
 
 
@@ -740,16 +759,16 @@ def together(batches: Iterator[pa.RecordBatch], rows: int = 40_000, most: int =
 
 
 def answers(words: DataFrame, chain: list[Totals], finals: list[Totals], counts: dict[int, int]) -> DataFrame:
-    """block, data: for a block's words j their counts, customers and tables at the root by sample; for its pairs with dishes of several customers their own shares."""
-    given = words.sparkSession.sparkContext.broadcast((light(chain), (chain[-1].strength + chain[-1].customers).astype(np.float32), [t.shared for t in finals], counts))
+    """block, data: by the place of a word's first pair its count, and its customers and tables at the root by sample; of the pairs (m a word) that have several customers, or another block's one, the customers and the tables of all samples."""
+    given = words.sparkSession.sparkContext.broadcast((light(chain), [t.shared for t in finals], counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain, whole, shared, counts = given.value
+        chain, shared, counts = given.value
         stirling = stirlings(chain)
         for batch in together(batches):
             d = Dishes.of_batch(batch)
             got = sweeps(d, chain, len(shared), stirling)
-            own = ((d.n - chain[-1].discount * np.mean([t for t, _, _ in got], axis=0)) / whole[d.ctx]).astype(np.float32)
+            seated = np.sum([t for t, _, _ in got], axis=0).astype(np.uint64)
             count = batch.column("count").to_numpy().astype(np.uint64)
             root = np.array([x for _, c, r in got for x in (c, r)])
             for i in np.flatnonzero(d.split):
@@ -758,24 +777,25 @@ def answers(words: DataFrame, chain: list[Totals], finals: list[Totals], counts:
                 root[:, i] = [x for known in shared for x in known[w]]
             root = root.astype(np.uint64)
             block, r_cuts = flat(batch.column("r_block"), np.int64)
-            j, start, m, order, dish = (flat(batch.column(c), np.uint32)[0] for c in ("r_j", "r_start", "r_m", "r_ord", "r_dish"))
+            start, m, order, dish = (flat(batch.column(c), np.uint32)[0] for c in ("r_start", "r_m", "r_ord", "r_dish"))
             of = np.repeat(np.arange(len(d.word)), np.diff(r_cuts))
-            ask = np.repeat(np.arange(len(j)), m)
-            alone = dish == ALONE
-            pair, share = start[ask] + order, np.full(len(ask), np.nan, np.float32)
-            share[~alone] = own[d.cuts[of[ask[~alone]]] + dish[~alone]]
+            ask = np.repeat(np.arange(len(start)), m)
+            known = np.flatnonzero(dish != ALONE)
+            at = d.cuts[of[ask[known]]] + dish[known]
+            n, tables = np.ones(len(ask), np.uint64), np.full(len(ask), len(shared), np.uint64)
+            n[known], tables[known] = d.n[at], seated[at]
             by_block = np.argsort(block, kind="stable")
             place = np.empty(len(by_block), np.int64)
             place[by_block] = np.arange(len(by_block))
             sorted_pairs = np.argsort(place[ask], kind="stable")
-            pair, share, spots = pair[sorted_pairs], share[sorted_pairs], place[ask][sorted_pairs]
+            order, n, tables, spots = order[sorted_pairs], n[sorted_pairs], tables[sorted_pairs], place[ask][sorted_pairs]
             blocks = block[by_block]
             first = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])) if len(blocks) else np.zeros(0, int)
             ends, data = np.append(first[1:], len(blocks)), []
             for a, b in zip(first, ends, strict=False):
                 mine = by_block[a:b]
                 x, y = np.searchsorted(spots, [a, b])
-                data.append(packed([j[mine], count[of[mine]], *root[:, of[mine]], pair[x:y], share[x:y].view(np.uint32)]))
+                data.append(packed([start[mine], count[of[mine]], *root[:, of[mine]], m[mine], order[x:y], n[x:y], tables[x:y]]))
             yield pa.RecordBatch.from_arrays([pa.array(blocks[first]), pa.array(data, pa.binary())], names=["block", "data"])
 
     return words.mapInArrow(run, "block long, data binary")
@@ -784,28 +804,28 @@ def answers(words: DataFrame, chain: list[Totals], finals: list[Totals], counts:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_blocks(blocks: DataFrame, answered: DataFrame, finals: list[Totals], bits: int, shared: dict[int, int]) -> DataFrame:
+def score_blocks(blocks: DataFrame, answered: DataFrame, finals: list[Totals], bits: int) -> DataFrame:
     """The mean over the samples of each token's probability, own share and root's together."""
     last = finals[0]
-    single = ((1 - last.discount) / (last.strength + last.customers)).astype(np.float32)
+    whole = (last.strength + last.customers).astype(np.float32)
     bare = [replace(t, customers=np.zeros(0), tables=np.zeros(0), shared={}) for t in finals]
-    given = blocks.sparkSession.sparkContext.broadcast((bare, single, [t.passed_on().astype(np.float32) for t in finals], float(last.customers.sum()), shared))
+    given = blocks.sparkSession.sparkContext.broadcast((bare, whole, [t.passed_on().astype(np.float32) for t in finals], float(last.customers.sum())))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        finals, single, passed, tokens, shared = given.value
+        finals, whole, passed, tokens = given.value
         out = []
-        for data, words in zip(left.column("data").to_pylist(), left.column("words").to_pylist(), strict=True):
-            ids, null, held, sizes, j = unpacked(data)
-            words = np.frombuffer(words, np.uint64)
-            p = pairs_of(j, sizes, held, words, bits, shared)
-            count, root = np.zeros(len(words)), np.zeros((2 * len(finals), len(words)))
-            own = np.where(p.trained > 0, single[p.context], np.float32(0)).astype(float)
+        for data in left.column("data").to_pylist():
+            ids, null, held, sizes, j, kinds, *of_many = unpacked(data)
+            p = pairs_of(held, sizes, j, kinds, *of_many, bits)
+            count, root = np.zeros(len(kinds)), np.zeros((2 * len(finals), len(kinds)))
+            own = np.where(p.trained > 0, 1 - finals[0].discount, 0.0)
             for part in right.column("data").to_pylist():
-                of, n, *at_root, pair, share = unpacked(part)
-                count[of] = n
+                start, of_word, *at_root, m, order, n, tables = unpacked(part)
+                of = p.word[start]
+                count[of] = of_word
                 root[:, of] = at_root
-                share = share.view(np.float32)
-                own[pair] = np.where(np.isnan(share), single[p.context[pair]], share)
+                own[np.repeat(start, m) + order] = n - finals[0].discount * (tables / len(finals))
+            own /= whole[p.context]
             chance = np.zeros(len(p.word))
             for s, t in enumerate(finals):
                 chance += (own + passed[s][p.context] * t.at_root(root[2 * s], root[2 * s + 1])[p.word]) / len(finals)
@@ -826,7 +846,7 @@ def score_blocks(blocks: DataFrame, answered: DataFrame, finals: list[Totals], b
     def empty() -> pa.Table:
         return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_())} | {k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")} | {k: pa.array([], pa.float64()) for k in ("base_score", "score")})
 
-    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, SCORES)
+    return blocks.select("block", "data").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, SCORES)
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
@@ -841,9 +861,9 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     bits, shared = context_bits(docs), shared_words(docs)
-    blocks = read_blocks(docs, new_path(spark, "blocks"))
+    blocks = read_blocks(docs, new_path(spark, "blocks"), bits, shared)
     path = new_path(spark, "words")
-    merged(word_rows(blocks, bits, shared), bits).write.parquet(path)
+    merged(word_rows(blocks, bits), bits).write.parquet(path)
     words = spark.read.schema(MERGED).parquet(path)
     totals, single, counts = begun(words, bits)
     chain = [totals]
@@ -851,7 +871,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         after, parties = swept(words, chain, single, bits)
         chain.append(fitted(after[0], parties, sweep))
     finals, _ = swept(words, chain, single, bits, SAMPLES)
-    return score_blocks(blocks, answers(words, chain, finals, counts), finals, bits, shared)
+    return score_blocks(blocks, answers(words, chain, finals, counts), finals, bits)
 
 
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,8 +169,8 @@ def small_model(spark, where, bits=14, documents=60):
 
     L = language_model
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.lit(False).alias("held_out"), "text").where(f"doc_id < {documents}")
-    blocks = L.read_blocks(docs, new_path(spark, "t"))
-    words = L.merged(L.word_rows(blocks, bits, {}), bits).cache()
+    blocks = L.read_blocks(docs, new_path(spark, "t"), bits, {})
+    words = L.merged(L.word_rows(blocks, bits), bits).cache()
     totals, single, counts = L.begun(words, bits)
     chain = [totals]
     for sweep in range(L.BURN_IN):
