@@ -137,9 +137,11 @@ def learn(measured_docs: DataFrame, labels: DataFrame, alpha: float = 0.1, delta
     """
     good = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("good"))
     held = measured_docs.select("doc_id", "stratum", "bins").join(good, "doc_id")
-    if held.select("stratum").distinct().limit(MOST_STRATA + 1).count() > MOST_STRATA:
+    counted = held.select("stratum", "good", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "good", "rule", "bin").agg(F.count("*").alias("n"))
+    most = MOST_STRATA * 2 * len(RULES) * BINS
+    counts = counted.limit(most + 1).collect()
+    if len(counts) > most or len({r.stratum for r in counts}) > MOST_STRATA:
         raise ValueError(f"more than {MOST_STRATA} strata")
-    counts = held.select("stratum", "good", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "good", "rule", "bin").agg(F.count("*").alias("n")).collect()
     hist: dict[str, np.ndarray] = {}
     for r in counts:
         hist.setdefault(r.stratum, np.zeros((2, len(RULES), BINS), np.int64))[int(r.good > 0), r.rule, r.bin] += r.n
