@@ -129,21 +129,19 @@ def pairwise(points: np.ndarray) -> np.ndarray:
 
 
 def hommel(p: np.ndarray) -> np.ndarray:
-    """Hommel's adjustment of p-values: the least level at which Simes' tests of the closed family reject each."""
-    n = len(p)
+    """Hommel's adjustment by its definition: a p-value's is the largest Simes p-value of the sets that it is in.
+
+    Of all sets of m p-values with a given one, that of it and the largest others has the largest, so n sets
+    are looked at for each.
+    """
     order = np.argsort(p, kind="stable")
     s = p[order]
-    rank = np.arange(1, n + 1)
-    best = np.full(n, (n * s / rank).min() if n else 0.0)
-    adjusted = best.copy()
-    for m in range(n - 1, 1, -1):
-        upper = np.arange(n - m + 1, n)
-        c = (m * s[upper] / np.arange(2, m + 1)).min()
-        best = np.empty(n)
-        lower = np.arange(0, n - m + 1)
-        best[lower] = np.minimum(m * s[lower], c)
-        best[upper] = best[n - m]
-        adjusted = np.maximum(adjusted, best)
-    out = np.empty(n)
-    out[order] = np.minimum(1, np.maximum(adjusted, s))
-    return out
+    n, out = len(s), s.copy()
+    for m in range(1, n + 1):
+        top = m * s[n - m :] / np.arange(1, m + 1)  # Simes' terms of the m largest
+        out[n - m :] = np.maximum(out[n - m :], top.min())
+        alone = np.minimum(m * s[: n - m], top[1:].min(initial=np.inf))  # a smaller one in place of their least
+        out[: n - m] = np.maximum(out[: n - m], alone)
+    adjusted = np.empty(n)
+    adjusted[order] = np.minimum(1, out)
+    return adjusted

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.special import complete_linkage
 from ..model import Experiment
-from ..storage import written
+from ..storage import new_path, written
 from .mixture import params_from_labels
 from .normalize import normalize_data
 from .variable import get_var_genes
@@ -30,29 +31,28 @@ def standardised(vectors: DataFrame, column: str) -> DataFrame:
 def run_pca(norm: DataFrame, droplets: DataFrame, genes: list[int], n_pcs: int = 30) -> DataFrame:
     """droplet_idx, pcs: scores of the droplets on the first components of the genes, centred and scaled.
 
-    Genes without variance count for nothing. The genes' Gram matrix is on the driver: some thousand genes.
+    Genes without variance count for nothing. Droplets stay sparse: they are scaled only, the covariance and
+    the scores are centred in closed form. The genes' covariance is on the driver: some thousand genes.
     """
     place = norm.sparkSession.createDataFrame([(int(g), i) for i, g in enumerate(genes)], "gene_idx int, pos int")
     values = norm.join(F.broadcast(place), "gene_idx").groupBy("droplet_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("cells"))
     rows = droplets.select("droplet_idx").join(values, "droplet_idx", "left")
     n = len(genes)
-
-    @F.pandas_udf("array<double>")
-    def dense(cells: pd.Series) -> pd.Series:
-        out = []
-        for row in cells:
-            v = np.zeros(n)
-            if row is not None:
-                for c in row:
-                    v[c["pos"]] = c["value"]
-            out.append(v)
-        return pd.Series(out)
-
-    vectors = rows.select("droplet_idx", array_to_vector(dense("cells")).alias("raw"))
-    scaled = standardised(written(vectors, "vectors"), "raw")
+    cells = F.coalesce("cells", F.array().cast("array<struct<pos:int,value:double>>"))
+    # a sparse vector as Spark stores it
+    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(n).alias("size"), cells["pos"].alias("indices"), cells["value"].alias("values"))
+    path = new_path(norm.sparkSession, "vectors")
+    rows.select("droplet_idx", sparse.alias("raw")).write.parquet(path)
+    vectors = norm.sparkSession.read.schema(StructType([StructField("droplet_idx", LongType()), StructField("raw", VectorUDT())])).parquet(path)
+    scaler = StandardScaler(withMean=False, withStd=True, inputCol="raw", outputCol="v").fit(vectors)
+    scaled = scaler.transform(vectors).select("droplet_idx", "v")
     k = min(n_pcs, n)
     model = PCA(k=k, inputCol="v", outputCol="p").fit(scaled)
-    return model.transform(scaled).select("droplet_idx", vector_to_array("p").alias("pcs"))
+    spread = scaler.std.toArray()
+    centre = np.divide(scaler.mean.toArray(), spread, out=np.zeros(n), where=spread > 0) @ model.pc.toArray()
+    shift = F.array(*[F.lit(float(c)) for c in centre])
+    scores = model.transform(scaled).select("droplet_idx", vector_to_array("p").alias("p"))
+    return scores.select("droplet_idx", F.zip_with("p", shift, lambda a, b: a - b).alias("pcs"))
 
 
 def get_pcs(x: Experiment, droplets: DataFrame | None = None, min_genes: int = 200, n_var_genes: int = 2000, lss: float = 0.3, n_pcs: int = 30) -> Experiment:
@@ -101,7 +101,7 @@ def clusters_of(x: Experiment, k: int, use: str = "kmeans", droplets: DataFrame
     pcs = x.pcs if droplets is None else x.pcs.join(droplets.select("droplet_idx"), "droplet_idx", "left_semi")
     if n_sample is not None:
         pcs = pcs.orderBy(F.xxhash64("droplet_idx", F.lit(seed)), "droplet_idx").limit(n_sample)
-    points = standardised(pcs.select("droplet_idx", array_to_vector("pcs").alias("raw")), "raw").persist()
+    points = written(standardised(pcs.select("droplet_idx", array_to_vector("pcs").alias("raw")), "raw"), "points")
     if use == "kmeans":
         model = KMeans(k=k, featuresCol="v", predictionCol="label", seed=seed, initSteps=5, maxIter=100).fit(points)
         labels = model.transform(points).select("droplet_idx", (F.col("label") + 1).alias("label"))

@@ -459,17 +459,31 @@ WELCH = """, gm AS (SELECT e.gene_idx, s.label, s.n, coalesce(sum(v.value), 0) /
     (coalesce(sum(v.value * v.value), 0) - coalesce(sum(v.value), 0) * coalesce(sum(v.value), 0) / s.n) / (s.n - 1) AS v, coalesce(sum(v.value), 0) AS s1, coalesce(sum(v.value * v.value), 0) AS s2
   FROM (SELECT DISTINCT gene_idx FROM v) e CROSS JOIN (SELECT label, count(*) * 1.0 AS n FROM lb GROUP BY 1) s
   LEFT JOIN (SELECT v.*, label FROM v JOIN lb ON v.droplet_idx = lb.droplet_idx) v ON v.gene_idx = e.gene_idx AND v.label = s.label GROUP BY 1, 2, 3)"""
-TESTS = "round(m1 - m2, 6) + 0.0 AS diff, round(log2(m1) - log2(m2), 6) + 0.0 AS \"logFC\", round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 5) + 0.0 AS t, round(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 2) AS dof"
+#: Two-sided p of t by Simpson's rule: the density of t is that of cos(a) ** (dof - 1) with a = atan(t / sqrt(dof)).
+P = """greatest(0, 1 - 2 * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(pi()) * least(atan(abs(t) / sqrt(dof)), 40 / sqrt(dof)) / 6000
+  * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END
+    * pow(cos(least(atan(abs(t) / sqrt(dof)), 40 / sqrt(dof)) * i / 2000), dof - 1))))"""
+T_DOF = "(m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS dof"
+
+
+#: The tests' rows of each label against the rest.
+REST = """, ov AS (SELECT gene_idx, label AS cluster, n AS n1, m AS m1, v AS v1, sum(n) OVER w - n AS n2, (sum(s1) OVER w - s1) AS r1, (sum(s2) OVER w - s2) AS r2 FROM gm WINDOW w AS (PARTITION BY gene_idx)),
+rs AS (SELECT gene_idx, cluster, n1, m1, v1, n2, r1 / n2 AS m2, (r2 - r1 * r1 / n2) / (n2 - 1) AS v2 FROM ov) """
+
+
+def with_p(rows: str, keys: str) -> str:
+    """SQL of the tests' columns, p among them, of rows with m1, v1, n1, m2, v2, n2."""
+    return f"SELECT {keys}, round(m1 - m2, 6) + 0.0 AS diff, round(log2(m1) - log2(m2), 6) + 0.0 AS \"logFC\", round(t, 5) + 0.0 AS t, round(dof, 2) AS dof, round({P}, 6) + 0.0 AS p FROM (SELECT *, {T_DOF} FROM ({rows}) WHERE m1 > 0 AND m2 > 0)"
 
 
 def tested(df: DataFrame) -> DataFrame:
     keys = [c for c in ("gene_idx", "cluster") if c in df.columns]
-    return df.select(*keys, r("diff").alias("diff"), r("logFC").alias("logFC"), r("t", 5).alias("t"), r("dof", 2).alias("dof"))
+    return df.select(*keys, r("diff").alias("diff"), r("logFC").alias("logFC"), r("t", 5).alias("t"), r("dof", 2).alias("dof"), r("p").alias("p"))
 
 
 @query(
     TEST + ", v AS (SELECT gene_idx, c.droplet_idx, ln(1 + 1.0 * count / total_counts) AS value FROM c JOIN t ON c.droplet_idx = t.droplet_idx), lb AS (SELECT droplet_idx, CASE WHEN droplet_idx % 2 = 0 THEN 1 ELSE 2 END AS label FROM t)"
-    + WELCH + f" SELECT gene_idx, {TESTS} FROM (SELECT a.gene_idx, a.m AS m1, a.v AS v1, a.n AS n1, b.m AS m2, b.v AS v2, b.n AS n2 FROM gm a JOIN gm b ON a.gene_idx = b.gene_idx AND a.label = 1 AND b.label = 2) WHERE m1 > 0 AND m2 > 0"
+    + WELCH + " " + with_p("SELECT a.gene_idx, a.m AS m1, a.v AS v1, a.n AS n1, b.m AS m2, b.v AS v2, b.n AS n2 FROM gm a JOIN gm b ON a.gene_idx = b.gene_idx AND a.label = 1 AND b.label = 2", "gene_idx")
 )
 def de_welch(spark, sf):
     x = split(spark, sf)
@@ -480,9 +494,7 @@ def de_welch(spark, sf):
 
 @query(
     TEST + ", v AS (SELECT gene_idx, c.droplet_idx, ln(1 + 1.0 * count / total_counts) AS value FROM c JOIN t ON c.droplet_idx = t.droplet_idx), lb AS (SELECT droplet_idx, droplet_idx % 4 AS label FROM t)"
-    + WELCH + f""", ov AS (SELECT gene_idx, label AS cluster, n AS n1, m AS m1, v AS v1, sum(n) OVER w - n AS n2, (sum(s1) OVER w - s1) AS r1, (sum(s2) OVER w - s2) AS r2 FROM gm WINDOW w AS (PARTITION BY gene_idx)),
-rs AS (SELECT gene_idx, cluster, n1, m1, v1, n2, r1 / n2 AS m2, (r2 - r1 * r1 / n2) / (n2 - 1) AS v2 FROM ov)
-SELECT gene_idx, CAST(cluster AS INT) AS cluster, {TESTS} FROM rs WHERE m1 > 0 AND m2 > 0"""
+    + WELCH + REST + with_p("SELECT * FROM rs", "gene_idx, CAST(cluster AS INT) AS cluster")
 )
 def de_one_vs_rest(spark, sf):
     x = split(spark, sf)
@@ -490,11 +502,30 @@ def de_one_vs_rest(spark, sf):
     return tested(expression.one_vs_rest(normalize.norm_counts(x.test_counts(), 1), labels))
 
 
-@query()
+#: Clusters that have more of some brands: droplets with over two fifths of the first eight, with as much of the next eight, and others.
+SIGNAL = """, sg AS (SELECT t.droplet_idx, CASE WHEN 5 * sum(CASE WHEN gene_idx < 8 THEN count ELSE 0 END) > 2 * sum(count) THEN 1 WHEN 5 * sum(CASE WHEN gene_idx BETWEEN 8 AND 15 THEN count ELSE 0 END) > 2 * sum(count) THEN 2 ELSE 3 END AS label
+  FROM t JOIN c ON c.droplet_idx = t.droplet_idx GROUP BY 1)"""
+
+
+def signalled(spark: SparkSession, sf: str) -> Experiment:
+    x = split(spark, sf)
+    much = lambda low, high: 5 * F.sum(F.when(F.col("gene_idx").between(low, high), F.col("count")).otherwise(0)) > 2 * F.sum("count")
+    label = F.when(much(0, 7), "1").when(much(8, 15), "2").otherwise("3")
+    return x.with_(calls=written(x.test_counts().groupBy("droplet_idx").agg(label.alias("Cluster"), F.lit(1.0).alias("ClusterProb")), "calls"))
+
+
+VALUES = TEST + ", v AS (SELECT gene_idx, c.droplet_idx, ln(1 + 1.0 * count / total_counts) AS value FROM c JOIN t ON c.droplet_idx = t.droplet_idx)"
+
+
+@query(
+    VALUES + SIGNAL + ", lb AS (SELECT * FROM sg)" + WELCH + REST + f""", ps AS (SELECT *, {P} AS p FROM (SELECT *, {T_DOF} FROM rs WHERE m1 > 0 AND m2 > 0)),
+ad AS (SELECT *, least(1, p * count(p) OVER (PARTITION BY cluster)) AS p_adj, row_number() OVER (PARTITION BY cluster ORDER BY t DESC, gene_idx) AS rank FROM ps)
+SELECT CAST(cluster AS VARCHAR) AS cluster, gene_idx, round(t, 5) + 0.0 AS t, round(p_adj, 6) + 0.0 AS p_adj, CAST(rank AS INT) AS rank FROM ad WHERE p_adj < 0.05 AND log2(m1) - log2(m2) > 0"""
+)
 def de_ttest_all(spark, sf):
-    """Significant brands of each cluster by rule; p-values are beyond SQL."""
-    x = labelled(spark, sf)
-    got = expression.de_ttest_all(x.test_counts(), x.calls.select("droplet_idx", F.col("Cluster").alias("label")), p_thresh=0.5)
+    """Significant brands of each of the clusters that have more of some."""
+    x = signalled(spark, sf)
+    got = expression.de_ttest_all(x.test_counts(), x.calls.select("droplet_idx", F.col("Cluster").alias("label")))
     return got.select("cluster", "gene_idx", r("t", 5).alias("t"), r("p_adj", 6).alias("p_adj"), "rank")
 
 
@@ -527,7 +558,13 @@ for _method, _value in {
     "hochberg": "min(p * (n - k + 1)) OVER (ORDER BY k DESC)",
 }.items():
     query(adjusted_sql(_value), head=P_VALUES)(adjusted(_method))
-query()(adjusted("hommel"))
+#: The largest Simes p-value of the sets with a p-value: of each size, of it and the largest others.
+HOMMEL = """, st AS (SELECT m.m, q.k, m.m * q.p / (q.k - (n - m.m)) AS v, q.k - (n - m.m) AS j FROM (SELECT unnest(range(1, 100000)) AS m) m, n, q WHERE m.m <= n AND q.k > n - m.m),
+sm AS (SELECT m, min(v) AS whole, min(v) FILTER (WHERE j > 1) AS others FROM st GROUP BY 1),
+x AS (SELECT gene_idx, max(CASE WHEN k > n - m THEN whole ELSE least(m * p, coalesce(others, m * p)) END) AS v FROM q, n, sm GROUP BY 1)
+SELECT p.gene_idx, CASE WHEN v IS NOT NULL THEN round(least(1, v), 9) END AS p_adj FROM p LEFT JOIN x ON p.gene_idx = x.gene_idx"""
+query(HOMMEL, head=P_VALUES)(adjusted("hommel"))
+query(adjusted_sql("p"), head=P_VALUES)(adjusted("none"))
 
 
 # ---------------------------------------------------------------- markers and summaries
@@ -564,18 +601,20 @@ def cluster_summary(spark, sf):
 
 # ---------------------------------------------------------------- scores and calls
 
-#: Brands that cluster 1 has more of, whatever their p-value; the raw score is their summed log-proportion.
+#: Brands that cluster 1 has significantly more of (Benjamini and Hochberg, 0.05); the raw score is their summed log-proportion.
 SCORE = (
-    TEST + ", v AS (SELECT gene_idx, c.droplet_idx, ln(1 + 1.0 * count / total_counts) AS value FROM c JOIN t ON c.droplet_idx = t.droplet_idx), lb AS (SELECT droplet_idx, CASE WHEN droplet_idx % 3 = 0 THEN 1 ELSE 2 END AS label FROM t)"
-    + WELCH + """, dg AS (SELECT a.gene_idx FROM gm a JOIN gm b ON a.gene_idx = b.gene_idx AND a.label = 1 AND b.label = 2 WHERE a.m > 0 AND b.m > 0 AND log2(a.m) - log2(b.m) > 0),
-rw AS (SELECT t.droplet_idx, t.n_genes, t.total_counts, CAST(t.droplet_idx % 3 + 1 AS VARCHAR) AS cluster, coalesce(s.raw, 0) AS raw FROM t LEFT JOIN (SELECT droplet_idx, sum(value) AS raw FROM v WHERE gene_idx IN (SELECT gene_idx FROM dg) GROUP BY 1) s ON s.droplet_idx = t.droplet_idx),
+    VALUES + SIGNAL + ", lb AS (SELECT droplet_idx, least(label, 2) AS label FROM sg)"
+    + WELCH + f""", ps AS (SELECT *, {P} AS p FROM (SELECT *, {T_DOF} FROM (SELECT a.gene_idx, a.m AS m1, a.v AS v1, a.n AS n1, b.m AS m2, b.v AS v2, b.n AS n2 FROM gm a JOIN gm b ON a.gene_idx = b.gene_idx AND a.label = 1 AND b.label = 2) WHERE m1 > 0 AND m2 > 0)),
+bh AS (SELECT *, least(1, min(p * n / k) OVER (ORDER BY k DESC)) AS p_adj FROM (SELECT *, row_number() OVER (ORDER BY p, gene_idx) AS k, count(*) OVER () AS n FROM ps)),
+dg AS (SELECT gene_idx, p_adj FROM bh WHERE p_adj < 0.05 AND log2(m1) - log2(m2) > 0),
+rw AS (SELECT t.droplet_idx, t.n_genes, t.total_counts, CAST(sg.label AS VARCHAR) AS cluster, coalesce(s.raw, 0) AS raw FROM t JOIN sg ON sg.droplet_idx = t.droplet_idx LEFT JOIN (SELECT droplet_idx, sum(value) AS raw FROM v WHERE gene_idx IN (SELECT gene_idx FROM dg) GROUP BY 1) s ON s.droplet_idx = t.droplet_idx),
 lo AS (SELECT min(m) AS low FROM (SELECT avg(raw) AS m FROM rw GROUP BY cluster)), hi AS (SELECT avg(raw) AS top FROM rw WHERE cluster = '1'),
 sc AS (SELECT rw.*, (raw - low) / (top - low) AS score FROM rw, lo, hi), ca AS (SELECT *, CASE WHEN cluster <> '2' AND score < 1 AND n_genes >= 4 THEN 'Clean' ELSE 'Debris' END AS call FROM sc)"""
 )
 
 
 def scored(spark, sf) -> Experiment:
-    return scoring.estimate_dbr_score(labelled(spark, sf), thresh_genes=0, thresh_p=2)
+    return scoring.estimate_dbr_score(signalled(spark, sf), thresh_genes=0)
 
 
 def fully_called(spark, sf) -> Experiment:
@@ -587,9 +626,9 @@ def debris_score(spark, sf):
     return scored(spark, sf).calls.select("droplet_idx", "Cluster", r("score_debris").alias("score"))
 
 
-@query(SCORE + " SELECT gene_idx FROM dg")
+@query(SCORE + " SELECT gene_idx, round(p_adj, 6) + 0.0 AS p_adj FROM dg")
 def debris_genes(spark, sf):
-    return qc.debris_genes(scored(spark, sf), p_adj=2).where("Debris").select("gene_idx")
+    return qc.debris_genes(scored(spark, sf)).select("gene_idx", r("p_adj").alias("p_adj"))
 
 
 @query(SCORE + " SELECT droplet_idx, call AS \"Call\" FROM ca")
@@ -614,9 +653,10 @@ def export_bundle(spark, sf):
     return spark.read.parquet(f"{path}/counts")
 
 
-@query(SCORE + " SELECT cluster AS \"Cluster\", round(log10(avg(score) + 1e-300), 4) + 0.0 AS x, round(avg(n_genes), 6) AS y FROM sc GROUP BY 1 HAVING avg(score) > 1e-9")
+@query(SCORE + " SELECT cluster AS \"Cluster\", CASE WHEN avg(score) > 1e-9 THEN round(log10(avg(score)), 4) + 0.0 END AS x, round(avg(n_genes), 6) AS y FROM sc GROUP BY 1")
 def cluster_means_plot(spark, sf):
-    return plots.plot_clust(scored(spark, sf)).where("x > -9").select("Cluster", r("x", 4).alias("x"), r("y").alias("y"))
+    """The cluster at score 0 has no logarithm but what is left of rounding, so it is null."""
+    return plots.plot_clust(scored(spark, sf)).select("Cluster", F.when(F.col("x") > -9, r("x", 4)).alias("x"), r("y").alias("y"))
 
 
 @query(TEST + " SELECT t.droplet_idx, round(log10(total_counts), 6) AS x, round(log10(n_genes), 6) AS y, round(coalesce(ln(1 + (SELECT median(total_counts) FROM t) * v.count / total_counts), 0), 6) AS color FROM t LEFT JOIN (SELECT droplet_idx, count FROM c JOIN g ON c.gene_idx = g.gene_idx WHERE gene = 'Brand#11') v ON v.droplet_idx = t.droplet_idx")
@@ -643,6 +683,27 @@ def pca_scores(spark, sf):
     return exploded(components(spark, sf).pcs.withColumn("pcs", F.transform("pcs", F.abs)), "pcs", "droplet_idx", "score")
 
 
+@query(
+    TEST + """, u AS (SELECT droplet_idx FROM t WHERE n_genes >= 4), s AS (SELECT median(x) AS s FROM (SELECT sum(count) AS x FROM c WHERE droplet_idx IN (SELECT droplet_idx FROM u) GROUP BY droplet_idx)),
+v AS (SELECT u.droplet_idx, g.gene_idx, ln(1 + s.s * coalesce(c.count, 0) / d.total_counts) AS x FROM u JOIN d ON d.droplet_idx = u.droplet_idx CROSS JOIN g CROSS JOIN s LEFT JOIN c ON c.droplet_idx = u.droplet_idx AND c.gene_idx = g.gene_idx),
+m AS (SELECT gene_idx, avg(x) AS m, stddev_samp(x) AS d FROM v GROUP BY 1)
+SELECT droplet_idx, round(sqrt(sum(pow((x - m.m) / m.d, 2))), 5) AS norm FROM v JOIN m ON m.gene_idx = v.gene_idx GROUP BY 1"""
+)
+def pca_norms(spark, sf):
+    """With as many components as brands, a droplet's distance from the centre is that of its standardised values."""
+    pcs = clustering.get_pcs(split(spark, sf), min_genes=4, n_var_genes=25, lss=0.8, n_pcs=25).pcs
+    return pcs.select("droplet_idx", r(F.sqrt(F.aggregate("pcs", F.lit(0.0), lambda a, x: a + x * x)), 5).alias("norm"))
+
+
+@query(" SELECT g.gene, 'O' || c.droplet_idx AS droplet, count FROM c JOIN g ON g.gene_idx = c.gene_idx WHERE count > 0")
+def read_10x(spark, sf):
+    """The counts written as a directory of MatrixMarket and name files, and read back."""
+    x, path = orders(spark, sf), new_path(spark, "10x")
+    tenx.write_10x(x.counts, x.genes.select("gene_idx", "gene"), x.droplets.select("droplet_idx", "droplet"), path)
+    counts, genes, droplets = tenx.read_10x(spark, path)
+    return counts.join(genes, "gene_idx").join(droplets, "droplet_idx").select("gene", "droplet", "count")
+
+
 @query()
 def kmeans_init(spark, sf):
     return clustering.init(components(spark, sf), k_init=4).labels
@@ -658,7 +719,7 @@ def full_chain(spark, sf):
     """From counts to calls: variable genes, components, clusters, mixture, score, call."""
     x = clustering.init(components(spark, sf), k_init=4)
     x = mixture.assign_clusters(mixture.run_em(x, max_iter=20))
-    x = scoring.call_targets(scoring.estimate_dbr_score(x, thresh_genes=0, thresh_p=2), min_genes=3)
+    x = scoring.call_targets(scoring.estimate_dbr_score(x, thresh_genes=0), min_genes=3)
     return x.test_data().select("droplet", "Cluster", "score_debris", "Call")
 
 

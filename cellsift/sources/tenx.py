@@ -99,6 +99,37 @@ def experiment_from_10x(spark: SparkSession, path: str, clip_end: bool = True, s
     return create_experiment(*read_10x(spark, path, clip_end, sep), name=name)
 
 
+def write_10x(counts: DataFrame, genes: DataFrame, droplets: DataFrame, path: str) -> None:
+    """Writes counts (gene_idx, droplet_idx, count), genes (gene_idx, gene) and droplets (droplet_idx, droplet) as a directory of the older layout.
+
+    Numbers follow the order of gene_idx and droplet_idx. The layout asks for single files, so a task writes each.
+    """
+    spark = counts.sparkSession
+
+    def place(df: DataFrame, idx: str) -> DataFrame:
+        return df.select(idx, F.row_number().over(Window.orderBy(idx)).cast("long").alias(f"{idx}_line"))
+
+    def file(lines: DataFrame, order: list[str], name: str) -> None:
+        lines.repartition(1).sortWithinPartitions(*order).select("line").write.text(f"{path}/{name}.parts")
+        jvm = spark.sparkContext._jvm
+        parts = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.parts")
+        fs = parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.parts/part-*"))]
+        if found:
+            fs.rename(found[0], jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+        else:
+            fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")).close()
+        fs.delete(parts, True)
+
+    entries = counts.join(place(genes, "gene_idx"), "gene_idx").join(place(droplets, "droplet_idx"), "droplet_idx")
+    entries = entries.select(F.col("gene_idx_line").alias("g"), F.col("droplet_idx_line").alias("d"), F.col("count").cast("long").cast("string").alias("n"))
+    size = f"{genes.count()} {droplets.count()} {counts.count()}"
+    head = spark.createDataFrame([(0, 0, "%%MatrixMarket matrix coordinate integer general"), (0, 1, size)], "d long, g long, line string")
+    file(head.union(entries.select("d", "g", F.concat_ws(" ", F.col("g").cast("string"), F.col("d").cast("string"), "n").alias("line"))), ["d", "g"], V2[0])
+    file(genes.select("gene_idx", F.concat_ws("\t", F.concat(F.lit("ID"), F.col("gene_idx").cast("string")), "gene").alias("line")), ["gene_idx"], V2[1])
+    file(droplets.select("droplet_idx", F.col("droplet").alias("line")), ["droplet_idx"], V2[2])
+
+
 def write_bundle(x: Experiment, path: str, targets: bool = True, meta: bool = True) -> None:
     """Writes the clean (or all test) droplets for other tools: Parquet counts with names, genes, and droplets.
 
