@@ -2,8 +2,9 @@
 
 Every context is a Chinese restaurant whose parent is the root restaurant; the root's base is uniform over
 the known words and one unknown. The context of a word is the word before it. Contexts are told apart by
-the leading bits of their words' hashes, as many as the corpus asks for, 20 at most: what all restaurants
-have together is a vector that fits every task, and one word's seating depends on no other word's given it.
+the leading bits of their words' hashes, as many as the corpus asks for. One word's seating depends on no
+other word's given what all restaurants have together: up to 2^20 contexts that is a vector which every task
+gets, beyond a table by context (spread_model.py), with the same results.
 
 Texts go through in blocks. A block asks for each of its words once and gets the word's tables at the root
 and its own shares in the contexts that it uses; tokens themselves are never joined. Dishes of one customer
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from .base import SALTS, halves, new_path, remainder, salted_parts, table, texts
 from .shingles import mixed
 
-#: Bits of a context's hash: a restaurant for so many bytes of text, but no more bits than these.
-LEAST_BITS, MOST_BITS, BYTES_A_CONTEXT = 8, 20, 512
+#: Bits of a context's hash: a restaurant for so many bytes of text; contexts are 32-bit numbers.
+LEAST_BITS, MOST_BITS, BYTES_A_CONTEXT = 8, 32, 512
+#: Up to so many bits what restaurants have together is broadcast: 4 MB for each number of them.
+BROADCAST_BITS = 20
 #: Contexts whose sums are added up together.
 RANGE = 1 << 13
 BLOCK_BYTES = 12 << 20
@@ -508,13 +511,15 @@ class Dishes:
     cuts: np.ndarray
     single: np.ndarray
     split: np.ndarray
+    tables: list[np.ndarray] | None = None  # of each dish's context before each sweep; None: the totals have them
 
     @staticmethod
     def of_batch(batch: pa.RecordBatch) -> Dishes:
         ctx, cuts = flat(batch.column("ctx"), np.uint32)
         n, _ = flat(batch.column("n"), np.float64)
         count, big = (batch.column(c).to_numpy() for c in ("count", "big"))
-        return Dishes(batch.column("word").to_numpy().view(np.uint64), ctx, n, cuts, (count - big).astype(float), np.array(batch.column("split").to_pylist(), bool))
+        tables = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in batch.schema.names if c.startswith("tables_")]
+        return Dishes(batch.column("word").to_numpy().view(np.uint64), ctx, n, cuts, (count - big).astype(float), np.array(batch.column("split").to_pylist(), bool), tables or None)
 
 
 def root_seats(word: np.ndarray, customers: np.ndarray, before: Totals, sweep: int, stirling: np.ndarray) -> np.ndarray:
@@ -539,7 +544,8 @@ def sweeps(d: Dishes, chain: list[Totals], samples: int, stirling: list[tuple[np
     for p, (before, table) in enumerate(zip(chain, stirling, strict=True)):
         for i in np.flatnonzero(d.split):
             customers[i], tables[i] = before.shared[int(d.word[i])]
-        opening = before.opening()[d.ctx] * before.at_root(customers, tables)[of]
+        opened = before.opening()[d.ctx] if d.tables is None else before.strength + before.discount * d.tables[p]
+        opening = opened * before.at_root(customers, tables)[of]
         for s in range(samples if p == len(chain) - 1 else 1):
             sweep = 64 * p + s
             t = reseat(d.n, opening, before.discount, table[0], mixed(keys + np.uint64(sweep)))
@@ -619,8 +625,12 @@ def listed(got: dict[int, list[np.ndarray]], k: int) -> tuple[np.ndarray, np.nda
     return index, np.array([v.view(np.float64) for v in values])
 
 
-def begun(words: DataFrame, bits: int) -> tuple[Totals, np.ndarray, dict[int, int]]:
-    """The totals when every dish has one table; tables of dishes of one customer by context; counts of words in several parts."""
+#: Columns of MERGED that Dishes are made of.
+DISHES = ("word", "split", "count", "big", "ctx", "n")
+
+
+def begun(words: DataFrame, bits: int) -> tuple[Totals, dict[int, int], np.ndarray]:
+    """The totals when every dish has one table; counts of words in several parts; tables of dishes of one customer by context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays, rest, shared = np.zeros((3, 1 << bits)), np.zeros(6), {}
@@ -630,16 +640,26 @@ def begun(words: DataFrame, bits: int) -> tuple[Totals, np.ndarray, dict[int, in
             arrays[0] += np.bincount((d.word >> np.uint64(64 - bits)).astype(np.int64), weights=count, minlength=1 << bits)
             arrays[1] += np.bincount(d.ctx, weights=d.n, minlength=1 << bits)
             arrays[2] += np.bincount(d.ctx, minlength=1 << bits)
-            c = d.single + np.diff(d.cuts)
-            own = ~d.split
-            rest += [(c[own] > 0).sum(), c[own].sum(), d.single.sum(), (d.n == 2).sum(), (c[own] == 1).sum(), (c[own] == 2).sum()]
-            for i in np.flatnonzero(d.split):
-                w = int(d.word[i])
-                shared[w] = shared.get(w, np.zeros(2)) + [c[i], count[i]]
+            rest += first_counts(d, count, shared)
         yield sums_rows(list(arrays), rest, shared)
 
-    got = reduced(words.select("word", "split", "count", "big", "ctx", "n").mapInArrow(run, SUMS))
+    got = reduced(words.select(*DISHES).mapInArrow(run, SUMS))
     customers, large, dishes = dense(got, 3, bits)
+    single = customers - large
+    return *first_totals(got, customers, single + dishes), single
+
+
+def first_counts(d: Dishes, count: np.ndarray, shared: dict[int, np.ndarray]) -> np.ndarray:
+    """Numbers of words, of their dishes and of dishes with one and two customers; words in several parts go to shared."""
+    c = d.single + np.diff(d.cuts)
+    own = ~d.split
+    for i in np.flatnonzero(d.split):
+        w = int(d.word[i])
+        shared[w] = shared.get(w, np.zeros(2)) + [c[i], count[i]]
+    return np.array([(c[own] > 0).sum(), c[own].sum(), d.single.sum(), (d.n == 2).sum(), (c[own] == 1).sum(), (c[own] == 2).sum()], float)
+
+
+def first_totals(got: dict[int, list[np.ndarray]], customers: np.ndarray, tables: np.ndarray) -> tuple[Totals, dict[int, int]]:
     _, rest = listed(got, -1)
     rest = rest[0] if len(rest) else np.zeros(6)
     index, values = listed(got, -2)
@@ -649,8 +669,7 @@ def begun(words: DataFrame, bits: int) -> tuple[Totals, np.ndarray, dict[int, in
     kinds, guests, one, two = rest[0] + (own > 0).sum(), rest[1] + own.sum(), rest[4] + (own == 1).sum(), rest[5] + (own == 2).sum()
     # the usual estimate from how many dishes have one and two customers
     d, e = (float(np.clip(x / max(1.0, x + 2 * y), 0.1, 0.95)) for x, y in ((rest[2], rest[3]), (one, two)))
-    single = customers - large
-    return Totals(int(kinds), customers, single + dishes, float(guests), float(kinds), d, e, shared=shared), single, counts
+    return Totals(int(kinds), customers, tables, float(guests), float(kinds), d, e, shared=shared), counts
 
 
 def swept(words: DataFrame, chain: list[Totals], single: np.ndarray, bits: int, samples: int = 1) -> tuple[list[Totals], list[np.ndarray]]:
@@ -662,20 +681,34 @@ def swept(words: DataFrame, chain: list[Totals], single: np.ndarray, bits: int,
         arrays, rest, shared = np.zeros((samples, 1 << bits)), np.zeros(2 * samples + 2 * PARTY), {}
         for batch in together(batches):
             d = Dishes.of_batch(batch)
-            own = ~d.split
-            for s, (t, c, r) in enumerate(sweeps(d, given.value, samples, stirling)):
+            got = sweeps(d, given.value, samples, stirling)
+            for s, (t, _, _) in enumerate(got):
                 arrays[s] += np.bincount(d.ctx, weights=t, minlength=1 << bits)
-                rest[2 * s] += c[own].sum()
-                rest[2 * s + 1] += r[own].sum()
-                if not s:
-                    rest[2 * samples :] += np.concatenate([party_counts(d.n, t), party_counts(c[own], r[own])])
-                for i in np.flatnonzero(d.split):
-                    w = int(d.word[i])
-                    shared.setdefault(w, np.zeros(samples))[s] += c[i]
+            rest += sweep_counts(d, got, shared)
         yield sums_rows(list(arrays), rest, shared)
 
-    got = reduced(words.select("word", "split", "count", "big", "ctx", "n").mapInArrow(run, SUMS))
-    tables = dense(got, samples, bits)
+    got = reduced(words.select(*DISHES).mapInArrow(run, SUMS))
+    out, parties = swept_totals(got, chain, samples)
+    parties[0][EXACT + 2] += single.sum()  # one customer, one table
+    return [replace(t, tables=single + x) for t, x in zip(out, dense(got, samples, bits), strict=True)], parties
+
+
+def sweep_counts(d: Dishes, got: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shared: dict[int, np.ndarray]) -> np.ndarray:
+    """Customers and tables at the root by sample, and the first one's parties; words in several parts go to shared."""
+    own, samples = ~d.split, len(got)
+    rest = np.zeros(2 * samples + 2 * PARTY)
+    for s, (t, c, r) in enumerate(got):
+        rest[2 * s : 2 * s + 2] = c[own].sum(), r[own].sum()
+        if not s:
+            rest[2 * samples :] = np.concatenate([party_counts(d.n, t), party_counts(c[own], r[own])])
+        for i in np.flatnonzero(d.split):
+            w = int(d.word[i])
+            shared.setdefault(w, np.zeros(samples))[s] += c[i]
+    return rest
+
+
+def swept_totals(got: dict[int, list[np.ndarray]], chain: list[Totals], samples: int) -> tuple[list[Totals], list[np.ndarray]]:
+    """swept(), but for the contexts' tables and the parties of one customer."""
     _, rest = listed(got, -1)
     rest = rest[0] if len(rest) else np.zeros(2 * samples + 2 * PARTY)
     index, values = listed(got, -2)
@@ -687,8 +720,7 @@ def swept(words: DataFrame, chain: list[Totals], single: np.ndarray, bits: int,
         if not s:
             parties[1] += party_counts(c, r)
         shared = {int(w): (float(x), float(y)) for w, x, y in zip(index, c, r, strict=True)}
-        out.append(replace(before, tables=single + tables[s], root_customers=float(rest[2 * s] + c.sum()), root_tables=float(rest[2 * s + 1] + r.sum()), shared=shared))
-    parties[0][EXACT + 2] += single.sum()  # one customer, one table
+        out.append(replace(before, root_customers=float(rest[2 * s] + c.sum()), root_tables=float(rest[2 * s + 1] + r.sum()), shared=shared))
     return out, parties
 
 
@@ -704,27 +736,31 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def likelihoods(customers: np.ndarray, tables: np.ndarray, parties: np.ndarray) -> np.ndarray:
-    """For each of DISCOUNTS and STRENGTHS the log probability of the seating of some restaurants.
+    """For each of DISCOUNTS and STRENGTHS the log probability of the seating of some restaurants."""
+    return restaurants(customers, tables) + dishes_seated(parties)[:, None]
 
-    (strength | discount) over tables by (strength | 1) over customers, and for each dish the Stirling number
-    of its customers and tables; beyond EXACT customers that number's limit for many customers.
-    """
+
+def restaurants(customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """The part of (strength | discount) over tables by (strength | 1) over customers."""
     t, nt = np.unique(tables[customers > 0], return_counts=True)
     c, nc = np.unique(customers[customers > 0], return_counts=True)
-    small, (number, logs, beyond) = parties[:-3].reshape(EXACT + 1, EXACT + 1).copy(), parties[-3:]
-    small[0] = 0
     out = np.zeros((len(DISCOUNTS), len(STRENGTHS)))
     for i, d in enumerate(DISCOUNTS):
-        stirling = log_stirling(d)
-        seen = small > 0
-        dishes = (small[seen] * stirling[seen]).sum() - number * math.lgamma(1 - d) - d * logs - beyond * math.log(d)
         for k, strength in enumerate(STRENGTHS):
             opened = (t - 1) * math.log(d) + log_gamma(strength / d + t) - math.lgamma(strength / d + 1)
             came = log_gamma(strength + c) - math.lgamma(strength + 1)
-            out[i, k] = dishes + (nt * opened).sum() - (nc * came).sum()
+            out[i, k] = (nt * opened).sum() - (nc * came).sum()
     return out
 
 
+def dishes_seated(parties: np.ndarray) -> np.ndarray:
+    """The dishes' part by discount: Stirling numbers of customers and tables; beyond EXACT customers their limit for many customers."""
+    small, (number, logs, beyond) = parties[:-3].reshape(EXACT + 1, EXACT + 1).copy(), parties[-3:]
+    small[0] = 0
+    seen = small > 0
+    return np.array([(small[seen] * log_stirling(d)[seen]).sum() - number * math.lgamma(1 - d) - d * logs - beyond * math.log(d) for d in DISCOUNTS])
+
+
 def drawn(logs: np.ndarray, sweep: int) -> tuple[float, float]:
     """A discount and strength with these log probabilities."""
     share = np.cumsum(np.exp(logs - logs.max()))
@@ -732,11 +768,12 @@ def drawn(logs: np.ndarray, sweep: int) -> tuple[float, float]:
     return DISCOUNTS[i // len(STRENGTHS)], STRENGTHS[i % len(STRENGTHS)]
 
 
-def fitted(after: Totals, parties: list[np.ndarray], sweep: int) -> Totals:
-    """The totals with strengths and discounts drawn given the seating."""
+def fitted(after: Totals, parties: list[np.ndarray], sweep: int, seated: np.ndarray | None = None) -> Totals:
+    """The totals with strengths and discounts drawn given the seating; seated: restaurants() of all contexts, if they are at hand."""
     if not after.kinds:
         return after
-    d, strength = drawn(likelihoods(after.customers, after.tables, parties[0]), 2 * sweep)
+    seated = restaurants(after.customers, after.tables) if seated is None else seated
+    d, strength = drawn(seated + dishes_seated(parties[0])[:, None], 2 * sweep)
     e, root = drawn(likelihoods(np.array([after.root_customers]), np.array([after.root_tables]), parties[1]), 2 * sweep + 1)
     return replace(after, discount=d, strength=strength, root_discount=e, root_strength=root)
 
@@ -804,19 +841,40 @@ def answers(words: DataFrame, chain: list[Totals], finals: list[Totals], counts:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_blocks(blocks: DataFrame, answered: DataFrame, finals: list[Totals], bits: int) -> DataFrame:
-    """The mean over the samples of each token's probability, own share and root's together."""
-    last = finals[0]
-    whole = (last.strength + last.customers).astype(np.float32)
+def shares_of(t: Totals, customers: np.ndarray) -> np.ndarray:
+    """By context, what a customer's share is a part of."""
+    return (t.strength + customers).astype(np.float32)
+
+
+def own_contexts(blocks: pa.Table, i: int, finals: list[Totals]) -> tuple[list[np.ndarray], np.ndarray]:
+    """What score_blocks() needs of the contexts that block i brings, and these."""
+    contexts, customers, *tables = (blocks.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("contexts", "customers", *[f"tables_{s}" for s in range(len(finals))]))
+    passed = [replace(t, customers=customers, tables=x).passed_on().astype(np.float32) for t, x in zip(finals, tables, strict=True)]
+    return [shares_of(finals[0], customers), *passed], contexts
+
+
+def score_blocks(blocks: DataFrame, answered: DataFrame, finals: list[Totals], bits: int, tokens: float) -> DataFrame:
+    """The mean over the samples of each token's probability, own share and root's together.
+
+    tokens: of the training texts. Where the finals don't have the contexts' customers and tables, blocks bring
+    those of their own: contexts, customers, tables_0, ...
+    """
+    brought = "contexts" in blocks.columns
+    vectors = [] if brought else [shares_of(finals[0], finals[0].customers), *[t.passed_on().astype(np.float32) for t in finals]]
     bare = [replace(t, customers=np.zeros(0), tables=np.zeros(0), shared={}) for t in finals]
-    given = blocks.sparkSession.sparkContext.broadcast((bare, whole, [t.passed_on().astype(np.float32) for t in finals], float(last.customers.sum())))
+    given = blocks.sparkSession.sparkContext.broadcast((bare, vectors))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        finals, whole, passed, tokens = given.value
+        finals, vectors = given.value
         out = []
-        for data in left.column("data").to_pylist():
+        for i, data in enumerate(left.column("data").to_pylist()):
             ids, null, held, sizes, j, kinds, *of_many = unpacked(data)
             p = pairs_of(held, sizes, j, kinds, *of_many, bits)
+            at = p.context
+            if brought:
+                vectors, contexts = own_contexts(left, i, finals)
+                at = np.searchsorted(contexts, at)
+            whole, *passed = vectors
             count, root = np.zeros(len(kinds)), np.zeros((2 * len(finals), len(kinds)))
             own = np.where(p.trained > 0, 1 - finals[0].discount, 0.0)
             for part in right.column("data").to_pylist():
@@ -825,10 +883,10 @@ def score_blocks(blocks: DataFrame, answered: DataFrame, finals: list[Totals], b
                 count[of] = of_word
                 root[:, of] = at_root
                 own[np.repeat(start, m) + order] = n - finals[0].discount * (tables / len(finals))
-            own /= whole[p.context]
+            own /= whole[at]
             chance = np.zeros(len(p.word))
             for s, t in enumerate(finals):
-                chance += (own + passed[s][p.context] * t.at_root(root[2 * s], root[2 * s + 1])[p.word]) / len(finals)
+                chance += (own + passed[s][at] * t.at_root(root[2 * s], root[2 * s + 1])[p.word]) / len(finals)
             base = np.log10((count + 0.1) / (tokens + 0.1 * (finals[0].kinds + 1)))
             of = np.repeat(np.arange(len(sizes)), sizes)
             sums = [np.bincount(of, weights=x, minlength=len(sizes)) for x in ((count > 0)[j], base[j], np.log10(chance)[p.of])]
@@ -846,7 +904,7 @@ def score_blocks(blocks: DataFrame, answered: DataFrame, finals: list[Totals], b
     def empty() -> pa.Table:
         return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_())} | {k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")} | {k: pa.array([], pa.float64()) for k in ("base_score", "score")})
 
-    return blocks.select("block", "data").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, SCORES)
+    return blocks.drop("words").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, SCORES)
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
@@ -862,16 +920,20 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     bits, shared = context_bits(docs), shared_words(docs)
     blocks = read_blocks(docs, new_path(spark, "blocks"), bits, shared)
+    if bits > BROADCAST_BITS:
+        from .spread_model import scores
+
+        return scores(blocks, bits)
     path = new_path(spark, "words")
     merged(word_rows(blocks, bits), bits).write.parquet(path)
     words = spark.read.schema(MERGED).parquet(path)
-    totals, single, counts = begun(words, bits)
+    totals, counts, single = begun(words, bits)
     chain = [totals]
     for sweep in range(BURN_IN):
         after, parties = swept(words, chain, single, bits)
         chain.append(fitted(after[0], parties, sweep))
     finals, _ = swept(words, chain, single, bits, SAMPLES)
-    return score_blocks(blocks, answers(words, chain, finals, counts), finals, bits)
+    return score_blocks(blocks, answers(words, chain, finals, counts), finals, bits, float(totals.customers.sum()))
 
 
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,7 +171,7 @@ def small_model(spark, where, bits=14, documents=60):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.lit(False).alias("held_out"), "text").where(f"doc_id < {documents}")
     blocks = L.read_blocks(docs, new_path(spark, "t"), bits, {})
     words = L.merged(L.word_rows(blocks, bits), bits).cache()
-    totals, single, counts = L.begun(words, bits)
+    totals, _, single = L.begun(words, bits)
     chain = [totals]
     for sweep in range(L.BURN_IN):
         after, parties = L.swept(words, chain, single, bits)
@@ -340,6 +340,37 @@ def test_results_do_not_depend_on_how_words_are_dealt(spark, texts, monkeypatch)
         assert np.allclose(whole[c].astype(float), parts[c].astype(float), rtol=1e-9, atol=0), c
 
 
+def test_contexts_in_a_table_give_the_same_scores(spark, texts, monkeypatch):
+    """Contexts' totals joined instead of broadcast, shared words, many contexts, no rows, and nothing to learn."""
+    L = language_model
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(L, "shared_words", lambda docs: {L.hash_of(w): k for w, k in ((b"", 7), (b"the", 5), (texts[3].encode().lower().split()[0], 3))})
+    monkeypatch.setattr(L, "BLOCK_BYTES", 200_000)
+
+    def scored(df, held):
+        return L.score(df, held).toPandas().sort_values("doc_id").reset_index(drop=True)
+
+    from pyspark.sql.functions import lit
+
+    from cellsift.llm.base import remainder
+
+    held = remainder("doc_id", 10) == 0
+    vector = scored(docs, held)
+    monkeypatch.setattr(L, "BROADCAST_BITS", 0)
+    table = scored(docs, held)
+    assert len(vector) == len(table) == docs.count()
+    for c in vector.columns:
+        assert np.allclose(vector[c].astype(float), table[c].astype(float), rtol=1e-9, atol=0), c
+    assert not len(scored(docs.limit(0), held))
+    few = docs.where("doc_id < 6")
+    monkeypatch.setattr(L, "BROADCAST_BITS", 20)
+    vector = scored(few, lit(True))
+    monkeypatch.setattr(L, "BROADCAST_BITS", 0)
+    assert np.allclose(vector.score, scored(few, lit(True)).score, rtol=1e-9, atol=0)
+    monkeypatch.setattr(L, "LEAST_BITS", 32)  # more contexts than any vector here
+    assert np.isfinite(scored(few, held).score).all()
+
+
 # ---- mixing
 
 
