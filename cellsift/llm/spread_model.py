@@ -12,15 +12,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_model as model
-from .base import new_path, part_of, spread_join, written
+from .base import drop_path, new_path, part_of, spread_join, written
 
 
-def sums(words: DataFrame, names: list[str], start: Callable[[], tuple[Callable, Callable]]) -> tuple[DataFrame, dict[int, list[np.ndarray]]]:
-    """Sums by context of what step gives for each batch, and what end gives, added up over the tasks as reduced() does.
+def settled(spark: SparkSession, *done: DataFrame) -> None:
+    """Removes tables that nothing reads any more, and lets Spark remove the files of exchanges that are through."""
+    for path in {f.rsplit("/", 1)[0] for df in done for f in df.inputFiles()}:
+        drop_path(spark, path)
+    spark.sparkContext._jvm.System.gc()
+
+
+def sums(words: DataFrame, names: list[str], start: Callable[[], tuple[Callable, Callable]]) -> tuple[DataFrame, dict[int, list[np.ndarray]], DataFrame]:
+    """Sums by context of what step gives for each batch, and what end gives, added up over the tasks as reduced() does; and the written rows.
 
     start gives a task's step (contexts and arrays for a batch) and end (the rest, and values of words in several parts).
     """
@@ -41,7 +48,7 @@ def sums(words: DataFrame, names: list[str], start: Callable[[], tuple[Callable,
     words.mapInArrow(run, shape).write.parquet(path)
     rows = words.sparkSession.read.schema(shape).parquet(path)
     got = model.reduced(rows.where("context < 0").select(F.col("context").alias("k"), "data"))
-    return rows.where("context >= 0").groupBy("context").agg(*[F.sum(n).alias(n) for n in names]), got
+    return rows.where("context >= 0").groupBy("context").agg(*[F.sum(n).alias(n) for n in names]), got, rows
 
 
 def begun(words: DataFrame, bits: int) -> tuple[model.Totals, dict[int, int], DataFrame]:
@@ -60,10 +67,12 @@ def begun(words: DataFrame, bits: int) -> tuple[model.Totals, dict[int, int], Da
 
         return step, lambda: (rest, shared)
 
-    found, got = sums(words, ["customers", "large", "dishes"], start)
+    found, got, rows = sums(words, ["customers", "large", "dishes"], start)
     single = F.col("customers") - F.col("large")
     table = found.select("context", "customers", single.alias("single"), (single + F.col("dishes")).cast("float").alias("tables_0"))
-    return *model.first_totals(got, np.zeros(0), np.zeros(0)), written(table, "contexts")
+    table = written(table, "contexts")
+    settled(words.sparkSession, rows)
+    return *model.first_totals(got, np.zeros(0), np.zeros(0)), table
 
 
 def asked(words: DataFrame, table: DataFrame, name: str) -> DataFrame:
@@ -100,10 +109,11 @@ def swept(words: DataFrame, chain: list[model.Totals], table: DataFrame, samples
         return step, lambda: (rest, shared)
 
     names = [f"tables_{s}" for s in range(samples)]
-    found, got = sums(words.drop(*[c for c in words.columns if c.startswith("r_")]), names, start)
+    found, got, rows = sums(words.drop(*[c for c in words.columns if c.startswith("r_")]), names, start)
     after, parties = model.swept_totals(got, chain, samples)
     seated = [(F.col("single") + F.coalesce(found[n], F.lit(0.0))).cast("float" if samples == 1 else "double").alias(n) for n in names]
     now = written(table.select("context", "customers", "single").join(found, "context", "left").select("context", "customers", "single", *seated), "contexts")
+    settled(words.sparkSession, rows, table)
     parties[0][model.EXACT + 2] += now.agg(F.sum("single")).first()[0] or 0
     return after, parties, now
 
@@ -148,6 +158,7 @@ def scores(blocks: DataFrame, bits: int) -> DataFrame:
     """What language_model.score() gives, from its blocks."""
     words = model.merged(model.word_rows(blocks, bits), bits).withColumn("row", F.monotonically_increasing_id())
     words = written(words, "words")
+    settled(blocks.sparkSession)
     first, counts, table = begun(words, bits)
     chain, seen = [first], words
     for sweep in range(model.BURN_IN):
