@@ -43,10 +43,12 @@ def p_adjust(df: DataFrame, method: str = "BH", p: str = "p", out: str = "p_adj"
     if method in ("BH", "fdr"):
         got = F.min(value * size / rank).over(down)
     elif method == "BY":
-        harmonic = F.aggregate(F.sequence(F.lit(1), F.greatest(size.cast("int"), F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / i)
-        got = F.min(harmonic * value * size / rank).over(down)
+        # 1 + 1/2 + ... + 1/n, added up along the ranks; the last sum is the largest
+        sums = ranked.withColumn("_sum", F.sum(F.lit(1.0) / rank).over(up.rowsBetween(Window.unboundedPreceding, 0)))
+        ranked = sums.withColumn("_harmonic", F.max("_sum").over(Window.partitionBy(*keys)))
+        got = F.min(F.col("_harmonic") * value * size / rank).over(down)
     elif method == "hochberg":
         got = F.min(value * (size - rank + 1)).over(down)
     else:
         got = F.max(value * (size - rank + 1)).over(up.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(out, F.when(value.isNotNull(), F.least(F.lit(1.0), got))).drop("_rank", "_n")
+    return ranked.withColumn(out, F.when(value.isNotNull(), F.least(F.lit(1.0), got))).drop("_rank", "_n", "_sum", "_harmonic")
