@@ -131,17 +131,65 @@ def pairwise(points: np.ndarray) -> np.ndarray:
 def hommel(p: np.ndarray) -> np.ndarray:
     """Hommel's adjustment by its definition: a p-value's is the largest Simes p-value of the sets that it is in.
 
-    Of all sets of m p-values with a given one, that of it and the largest others has the largest, so n sets
-    are looked at for each.
+    Of all sets of m p-values with a given one, that of it and the largest others has the largest. Simes p-values
+    of the m largest, with their least or without it, fall as m grows: of the sets that have a p-value among
+    their largest the smallest one counts, and of those where it stands for the least one, those where
+    m times it meets the others' Simes p-value. Takes n log(n) steps.
     """
     order = np.argsort(p, kind="stable")
     s = p[order]
-    n, out = len(s), s.copy()
-    for m in range(1, n + 1):
-        top = m * s[n - m :] / np.arange(1, m + 1)  # Simes' terms of the m largest
-        out[n - m :] = np.maximum(out[n - m :], top.min())
-        alone = np.minimum(m * s[: n - m], top[1:].min(initial=np.inf))  # a smaller one in place of their least
-        out[: n - m] = np.maximum(out[: n - m], alone)
+    n = len(s)
+    if not n:
+        return s
+    sizes = np.arange(1, n + 1)
+    others = np.append(np.inf, simes_of_others(s)[::-1])  # by m, without the least
+    whole = np.minimum(sizes * s[::-1], others)
+    out = np.maximum(s, np.maximum.accumulate(whole[::-1]))
+    # by p-value, the largest m of sets where it stands for the least and m times it is no more than the others'
+    most = np.arange(n - 1, -1, -1)
+    low, high = np.zeros(n, np.int64), most.copy()
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        holds = (mid > 0) & (mid * s <= others[np.maximum(mid, 1) - 1])
+        low, high = np.where(holds, mid, low), np.where(holds, high, np.maximum(mid - 1, low))
+    out = np.maximum(out, low * s)
+    more = low < most
+    out[more] = np.maximum(out[more], others[low[more]])
     adjusted = np.empty(n)
     adjusted[order] = np.minimum(1, out)
     return adjusted
+
+
+def simes_of_others(s: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """For each a from 0 to n - 2 the least of (n - a) * s[k] / (k - a + 1), k from a + 1 on; s ascends.
+
+    The k of the least one doesn't fall as a grows, so that of every second a, of every fourth, ... bounds
+    where those between are looked for.
+    """
+    n = len(s)
+    out, best = np.full(n - 1, np.inf), np.zeros(n - 1, np.int64)
+    step = 1 << max(0, (n - 1).bit_length() - 1)
+    while step and n > 1:
+        rows = np.arange(step - 1, n - 1, 2 * step)  # between those of the steps before
+        before, after = rows - step, rows + step
+        first = np.maximum(rows + 1, np.where(before >= 0, best[np.maximum(before, 0)], 0))
+        last = np.where(after < n - 1, best[np.minimum(after, n - 2)], n - 1)
+        last = np.maximum(last, first)
+        ends = np.cumsum(last - first + 1)
+        at = 0
+        while at < len(rows):  # some rows at a time
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+            size = (last - first + 1)[at:to]
+            starts = np.cumsum(size) - size
+            k = np.repeat(first[at:to] - starts, size) + np.arange(size.sum())
+            a = np.repeat(rows[at:to], size)
+            value = (n - a) * s[k] / (k - a + 1)
+            least = np.minimum.reduceat(value, starts)
+            hits = np.flatnonzero(value == np.repeat(least, size))
+            of = np.searchsorted(starts, hits, side="right") - 1
+            best[rows[at:to][of[::-1]]] = k[hits[::-1]]  # the first hit of each
+            out[rows[at:to]] = least
+            at = to
+        step //= 2
+    return out

@@ -136,6 +136,40 @@ def test_by_of_groups(spark):
     assert got["p_adj"][40:].isna().all()
 
 
+def test_hommel_with_ties_and_zeros():
+    rng = np.random.default_rng(6)
+    for t in range(400):
+        p = rng.uniform(0, 1, int(rng.integers(0, 10)))
+        p = [p, p**6, np.round(p, 1), np.where(p < 0.3, 0, np.round(p**3, 2)), np.repeat(p[: len(p) // 3], 3) ** 2][t % 5]
+        assert np.allclose(special.hommel(p.copy()), brute_hommel(p), rtol=1e-14, atol=0)
+
+
+def plain_hommel(p):
+    """The definition, set size by set size."""
+    order = np.argsort(p, kind="stable")
+    s, n = p[order], len(p)
+    out = s.copy()
+    for m in range(1, n + 1):
+        top = m * s[n - m :] / np.arange(1, m + 1)
+        out[n - m :] = np.maximum(out[n - m :], top.min())
+        out[: n - m] = np.maximum(out[: n - m], np.minimum(m * s[: n - m], top[1:].min(initial=np.inf)))
+    got = np.empty(n)
+    got[order] = np.minimum(1, out)
+    return got
+
+
+def test_hommel_of_many_p_values():
+    rng = np.random.default_rng(7)
+    for p in (rng.uniform(0, 1, 3000) ** 4, np.round(rng.uniform(0, 1, 3000), 2) ** 2 + 1e-8, np.sort(rng.uniform(0, 1, 2999))):
+        assert np.allclose(special.hommel(p), plain_hommel(p), rtol=1e-14, atol=0)
+    began = time.monotonic()
+    p = rng.uniform(0, 1, 200_000) ** 2
+    got = special.hommel(p)
+    assert time.monotonic() - began < 20  # size by size it takes minutes
+    order = np.argsort(p)
+    assert (np.diff(got[order]) >= -1e-15).all() and (got >= p).all() and (got <= np.minimum(1, p * len(p))).all()
+
+
 def test_softmax_at_the_edges(spark):
     rows = [([1000.0, 1001.0],), ([float("-inf"), 0.0],), ([float("inf"), 1.0, float("inf")],), ([float("-inf")] * 2,)]
     df = spark.createDataFrame(rows, "v array<double>")
