@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import SALTS, halves, new_path, remainder, salted_parts, table, texts
+from .base import SALTS, halves, new_path, remainder, salted_parts, table, texts, written
 from .shingles import mixed
 
 #: Bits of a context's hash: a restaurant for so many bytes of text; contexts are 32-bit numbers.
@@ -45,7 +45,6 @@ BLOCK_BYTES = 12 << 20
 BURN_IN, SAMPLES = 2, 4
 #: Up to so many customers a dish's seating is drawn from the table of Stirling numbers.
 EXACT = 64
-ALONE = np.iinfo(np.uint32).max
 #: Documents, about, from which the words that many tasks have to share are told; results don't depend on them.
 SHARED_DOCS = 2000
 #: Values that strengths and discounts are drawn from.
@@ -92,22 +91,6 @@ def shared_words(docs: DataFrame) -> dict[int, int]:
     return {hash_of(bytes(r.word)): math.ceil(r.n / least) for r in counts.where(F.col("n") > least).collect()}
 
 
-def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """values[cuts[i]:cuts[i + 1]] as bytes, for each i."""
-    data = np.ascontiguousarray(values)
-    offsets = (np.asarray(cuts) * data.itemsize).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
-
-
-def flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a column of such bytes, and where each row's begin."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    size = np.dtype(kind).itemsize
-    data = column.buffers()[2]
-    got = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
-    return got.view(kind), (offsets - offsets[0]).astype(np.int64) // size
-
-
 def packed(arrays: list[np.ndarray]) -> bytes:
     """Arrays as one compressed string; bytes of equal weight stand together."""
     head = np.array([len(arrays), *[x for a in arrays for x in (len(a), a.itemsize)]], np.int64)
@@ -195,42 +178,51 @@ def pairs_of(held: np.ndarray, sizes: np.ndarray, j: np.ndarray, kinds: np.ndarr
     return Pairs(word[order], part[order], context[order], trained[order], place[of])
 
 
-WORDS = "word long, part int, block long, data binary"
-ALL_ONCE = 1 << 31
+WORDS = "dest int, data binary"
+
+
+def deltas(values: np.ndarray) -> np.ndarray:
+    """Differences, which np.cumsum(..., dtype=np.uint32) undoes."""
+    return np.diff(values.astype(np.uint32), prepend=np.uint32(0))
+
+
+def slices(cuts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places from cuts[i] to cuts[i + 1] for each i of rows."""
+    m = np.diff(cuts)[rows]
+    return np.repeat(cuts[:-1][rows] - (np.cumsum(m) - m), m) + np.arange(m.sum())
 
 
 def word_rows(blocks: DataFrame, bits: int) -> DataFrame:
-    """A row for each block's word and part (-1 if it has but one).
+    """What each block has of the words of each of some groups (dest): one row, so rows don't grow with the words.
 
-    data: the place of its first pair, the contexts it has there, and how often in training texts, which is
-    left out (and ALL_ONCE added to the first) where it is once each.
+    data: the block; the words' hashes, parts (0: the only one), places of their first pairs and numbers of
+    pairs; the pairs' contexts, and how often in training texts. A group has about 16 MB of text.
     """
+    groups = max(2 * salted_parts(blocks.sparkSession), 1 << max(0, bits - 15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data, words in zip(*(batch.column(c).to_pylist() for c in ("block", "data", "words")), strict=True):
                 _, _, *rest = unpacked(data)
-                p = pairs_of(*rest, bits)
-                yield from one(block, p, np.frombuffer(words, np.int64), rest[4])
+                yield from one(block, pairs_of(*rest, bits), np.frombuffer(words, np.uint64), rest[4])
 
     def one(block: int, p: Pairs, words: np.ndarray, of_many: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.concatenate([[True], (p.word[1:] != p.word[:-1]) | (p.part[1:] != p.part[:-1])])
-        first = np.flatnonzero(new)
-        row, m = np.cumsum(new) - 1, np.diff(np.append(first, len(p.word)))
-        once = np.bincount(row, weights=p.trained != 1) == 0
-        size = 1 + m * np.where(once, 1, 2)
-        cuts = np.concatenate([[0], np.cumsum(size)])
-        out = np.zeros(cuts[-1], np.uint32)
-        out[cuts[:-1]] = first + np.where(once, ALL_ONCE, 0)
-        place = cuts[row] + 1 + np.arange(len(row)) - first[row]
-        out[place] = p.context
-        several = ~once[row]
-        out[(place + m[row])[several]] = p.trained[several]
-        part = np.where(np.isin(p.word[first], of_many), p.part[first], -1).astype(np.int32)
-        for a in range(0, len(first), 50_000):
-            b = min(len(first), a + 50_000)
-            c = cuts[a : b + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(words[p.word[first[a:b]]]), pa.array(part[a:b]), pa.array(np.full(b - a, block)), binaries(out[c[0] : c[-1]], c - c[0])], names=["word", "part", "block", "data"])
+        first = np.flatnonzero(np.concatenate([[True], (p.word[1:] != p.word[:-1]) | (p.part[1:] != p.part[:-1])]))
+        cuts = np.append(first, len(p.word))
+        word, part = words[p.word[first]], np.where(np.isin(p.word[first], of_many), p.part[first] + 1, 0).astype(np.uint32)
+        dest = (mixed(word + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(dest, kind="stable")
+        at = slices(cuts, order)
+        word, part, start, m = word[order], part[order], first[order], np.diff(cuts)[order]
+        context, trained = p.context[at].astype(np.uint32), p.trained[at]
+        ends = np.concatenate([[0], np.cumsum(m)])
+        found, begin = np.unique(dest[order], return_index=True)
+        out = []
+        for x, y in zip(begin, np.append(begin[1:], len(order)), strict=True):
+            some = slice(ends[x], ends[y])
+            out.append(packed([np.array([block], np.uint64), word[x:y], part[x:y], deltas(start[x:y]), m[x:y].astype(np.uint32), context[some], trained[some]]))
+        for a in range(0, len(out), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(found[a : a + 256].astype(np.int32)), pa.array(out[a : a + 256], pa.binary())], names=["dest", "data"])
 
     return blocks.mapInArrow(run, WORDS)
 
@@ -238,86 +230,49 @@ def word_rows(blocks: DataFrame, bits: int) -> DataFrame:
 # ---------------------------------------------------------------- words of all blocks
 
 
-MERGED = "word long, split boolean, count long, big long, ctx binary, n binary, r_block binary, r_start binary, r_m binary, r_ord binary, r_dish binary"
+MERGED = "row long, word binary, split binary, count binary, big binary, ctx binary, n binary, asks binary"
 
 
-def merge_words(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by word and part, one row for each.
+def summed(dest: int, data: list[bytes], bits: int) -> pa.Table:
+    """One row for a group of words; each column has what packed() makes of its arrays.
 
-    count: the word's training tokens; its dishes (ctx, n) of two customers or more, and those dishes'
-    customers (big); for each block that asks, the place of its first pair, and the pairs (r_ord,
-    from there) of those dishes (r_dish, from the word's first), or of dishes whose only customer is another
-    block's (ALONE).
+    By word: its hash; whether it has several parts; count: its training tokens; big: the customers of its
+    dishes of two customers or more. ctx, n: how many such dishes each word has, their contexts and customers.
+    asks: the blocks, how many words each asks for and which, the places of their first pairs, how many pairs of
+    such dishes or of dishes whose only customer is another block's, those pairs (from the first one on),
+    and their dishes (from the word's first, 1 on; 0: another block's).
     """
-    held: list[pa.RecordBatch] = []
-
-    def key(batch: pa.RecordBatch, i: int) -> tuple:
-        return batch.column("word")[i].as_py(), batch.column("part")[i].as_py()
-
-    def whole() -> pa.RecordBatch:
-        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        word, part = batch.column("word").to_numpy(), batch.column("part").to_numpy()
-        last = int(np.flatnonzero((word != word[-1]) | (part != part[-1])).max(initial=-1)) + 1
-        if held and (last or key(held[0], 0) != key(batch, 0)):
-            held.append(batch.slice(0, last))
-            yield summed(whole(), bits)
-            held = []
-        elif last:
-            yield summed(batch.slice(0, last), bits)
-        held.append(batch.slice(last))
-    if held:
-        yield summed(whole(), bits)
-
-
-def summed(batch: pa.RecordBatch, bits: int) -> pa.RecordBatch:
-    word, part = batch.column("word").to_numpy(), batch.column("part").to_numpy()
-    new = np.concatenate([[True], (word[1:] != word[:-1]) | (part[1:] != part[:-1])])
-    first, group = np.flatnonzero(new), np.cumsum(new) - 1
-    data, ends = flat(batch.column("data"), np.uint32)
-    start = data[ends[:-1]]
-    once = start >= ALL_ONCE
-    start = np.where(once, start - np.uint32(ALL_ONCE), start)
-    m = (np.diff(ends) - 1) // np.where(once, 1, 2)
-    cuts = np.concatenate([[0], np.cumsum(m)])
+    given = [unpacked(d) for d in data]
+    word, part, m, ctx, n = (np.concatenate([g[i] for g in given]) for i in (1, 2, 4, 5, 6))
+    order = np.lexsort((part, word))
+    new = np.concatenate([[True], (np.diff(word[order]) != 0) | (np.diff(part[order]) != 0)])
+    first, group = order[new], np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    cuts = np.concatenate([[0], np.cumsum(m.astype(np.int64))])
     row = np.repeat(np.arange(len(word)), m)
-    place = ends[row] + 1 + np.arange(len(row)) - cuts[row]
-    ctx, n = data[place], np.ones(len(row), np.uint32)
-    several = ~once[row]
-    n[several] = data[(place + m[row])[several]]
-    key, dish = np.unique(group[row] << bits | ctx, return_inverse=True)
+    key, dish = np.unique(group[row] << bits | ctx.astype(np.int64), return_inverse=True)
     total = np.bincount(dish, weights=n, minlength=len(key))
-    count = np.bincount(group[row], weights=n, minlength=len(first)).astype(np.int64)
+    count = np.bincount(group[row], weights=n, minlength=len(first))
     large = total > 1
     number = np.cumsum(large) - 1  # of the large dishes
     key, sums = key[large], total[large]
     at = np.searchsorted(key >> bits, np.arange(len(first) + 1))
-    big = np.bincount(key >> bits, weights=sums, minlength=len(first)).astype(np.int64)
+    big = np.bincount(key >> bits, weights=sums, minlength=len(first))
     asked = large[dish] | (total == 1)[dish] & (n == 0)  # the latter's customer is another block's
-    order = (np.arange(len(row)) - cuts[row])[asked]
-    place = np.where(large[dish[asked]], number[dish[asked]] - at[group[row[asked]]], ALONE)
-    m = np.bincount(row[asked], minlength=len(word))
-    r_cuts = np.append(first, len(word))
-    a_cuts = np.concatenate([[0], np.cumsum(m)])[r_cuts]
-    block = batch.column("block").to_numpy()
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(word[first]), pa.array(part[first] >= 0), pa.array(count), pa.array(big),
-            binaries((key & ((1 << bits) - 1)).astype(np.uint32), at), binaries(sums, at),
-            binaries(block, r_cuts), binaries(start.astype(np.uint32), r_cuts), binaries(m.astype(np.uint32), r_cuts),
-            binaries(order.astype(np.uint32), a_cuts), binaries(place.astype(np.uint32), a_cuts),
-        ],
-        names=["word", "split", "count", "big", "ctx", "n", "r_block", "r_start", "r_m", "r_ord", "r_dish"],
-    )
+    pair = (np.arange(len(row)) - cuts[row])[asked]
+    place = np.where(large[dish[asked]], number[dish[asked]] - at[group[row[asked]]] + 1, 0)
+    asks = [np.concatenate([g[0] for g in given]), np.array([len(g[1]) for g in given], np.uint64), deltas(group), np.concatenate([g[3] for g in given])]
+    asks += [x.astype(np.uint32) for x in (np.bincount(row[asked], minlength=len(word)), pair, place)]
+    columns = [[word[first]], [(part[first] > 0).astype(np.uint8)], [count.astype(np.uint64)], [big.astype(np.uint64)], [np.diff(at).astype(np.uint32), (key & ((1 << bits) - 1)).astype(np.uint32)], [sums.astype(np.uint64)], asks]
+    names = ["row", "word", "split", "count", "big", "ctx", "n", "asks"]
+    return pa.table([pa.array([dest], pa.int64()), *[pa.array([packed(c)], pa.binary()) for c in columns]], names=names)
 
 
 def merged(words: DataFrame, bits: int) -> DataFrame:
-    parts = salted_parts(words.sparkSession)
-    dealt = words.repartition(parts, "word", "part").sortWithinPartitions("word", "part")
-    return dealt.mapInArrow(lambda batches: merge_words(batches, bits), MERGED)
+    def merge(group: pa.Table) -> pa.Table:
+        return summed(group.column("dest")[0].as_py(), group.column("data").to_pylist(), bits)
+
+    return words.groupBy("dest").applyInArrow(merge, MERGED)
 
 
 # ---------------------------------------------------------------- seating
@@ -509,17 +464,30 @@ class Dishes:
     ctx: np.ndarray
     n: np.ndarray
     cuts: np.ndarray
+    count: np.ndarray  # of each word's training tokens
     single: np.ndarray
     split: np.ndarray
     tables: list[np.ndarray] | None = None  # of each dish's context before each sweep; None: the totals have them
 
     @staticmethod
     def of_batch(batch: pa.RecordBatch) -> Dishes:
-        ctx, cuts = flat(batch.column("ctx"), np.uint32)
-        n, _ = flat(batch.column("n"), np.float64)
-        count, big = (batch.column(c).to_numpy() for c in ("count", "big"))
-        tables = [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in batch.schema.names if c.startswith("tables_")]
-        return Dishes(batch.column("word").to_numpy().view(np.uint64), ctx, n, cuts, (count - big).astype(float), np.array(batch.column("split").to_pylist(), bool), tables or None)
+        word, split, count, big, n = (joined([unpacked(x)[0] for x in batch.column(c).to_pylist()]) for c in ("word", "split", "count", "big", "n"))
+        given = [unpacked(x) for x in batch.column("ctx").to_pylist()]
+        cuts = np.concatenate([[0], np.cumsum(joined([m for m, _ in given]).astype(np.int64))])
+        tables = [joined([told(ctx, x) for (_, ctx), x in zip(given, batch.column(c).to_pylist(), strict=True)]) for c in batch.schema.names if c.startswith("tables_")]
+        return Dishes(word.astype(np.uint64), joined([c for _, c in given]).astype(np.uint32), n.astype(float), cuts, count.astype(float), (count - big).astype(float), split.astype(bool), tables or None)
+
+
+def joined(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
+
+
+def told(contexts: np.ndarray, answer: bytes | None) -> np.ndarray:
+    """The tables of each of the contexts; answer has the different ones, in order, and their tables."""
+    if answer is None:
+        return np.zeros(len(contexts), np.float32)
+    known, tables = unpacked(answer)
+    return tables.astype(np.float32)[np.searchsorted(known, contexts)]
 
 
 def root_seats(word: np.ndarray, customers: np.ndarray, before: Totals, sweep: int, stirling: np.ndarray) -> np.ndarray:
@@ -636,11 +604,10 @@ def begun(words: DataFrame, bits: int) -> tuple[Totals, dict[int, int], np.ndarr
         arrays, rest, shared = np.zeros((3, 1 << bits)), np.zeros(6), {}
         for batch in together(batches):
             d = Dishes.of_batch(batch)
-            count = batch.column("count").to_numpy().astype(float)
-            arrays[0] += np.bincount((d.word >> np.uint64(64 - bits)).astype(np.int64), weights=count, minlength=1 << bits)
+            arrays[0] += np.bincount((d.word >> np.uint64(64 - bits)).astype(np.int64), weights=d.count, minlength=1 << bits)
             arrays[1] += np.bincount(d.ctx, weights=d.n, minlength=1 << bits)
             arrays[2] += np.bincount(d.ctx, minlength=1 << bits)
-            rest += first_counts(d, count, shared)
+            rest += first_counts(d, shared)
         yield sums_rows(list(arrays), rest, shared)
 
     got = reduced(words.select(*DISHES).mapInArrow(run, SUMS))
@@ -649,13 +616,13 @@ def begun(words: DataFrame, bits: int) -> tuple[Totals, dict[int, int], np.ndarr
     return *first_totals(got, customers, single + dishes), single
 
 
-def first_counts(d: Dishes, count: np.ndarray, shared: dict[int, np.ndarray]) -> np.ndarray:
+def first_counts(d: Dishes, shared: dict[int, np.ndarray]) -> np.ndarray:
     """Numbers of words, of their dishes and of dishes with one and two customers; words in several parts go to shared."""
     c = d.single + np.diff(d.cuts)
     own = ~d.split
     for i in np.flatnonzero(d.split):
         w = int(d.word[i])
-        shared[w] = shared.get(w, np.zeros(2)) + [c[i], count[i]]
+        shared[w] = shared.get(w, np.zeros(2)) + [c[i], d.count[i]]
     return np.array([(c[own] > 0).sum(), c[own].sum(), d.single.sum(), (d.n == 2).sum(), (c[own] == 1).sum(), (c[own] == 2).sum()], float)
 
 
@@ -778,14 +745,12 @@ def fitted(after: Totals, parties: list[np.ndarray], sweep: int, seated: np.ndar
     return replace(after, discount=d, strength=strength, root_discount=e, root_strength=root)
 
 
-def together(batches: Iterator[pa.RecordBatch], rows: int = 40_000, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches joined up to about so many rows or bytes."""
+def together(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows joined up to about so many bytes, which are packed."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (part for whole in batches for part in halves(whole, most)):
         held.append(batch)
-        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= most:
+        if sum(b.nbytes for b in held) >= most:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held = []
     if held:
@@ -795,8 +760,16 @@ def together(batches: Iterator[pa.RecordBatch], rows: int = 40_000, most: int =
 # ---------------------------------------------------------------- scores
 
 
+ANSWERS = "block long, kind int, data binary"
+
+
+def starts_of(asks: list[np.ndarray]) -> list[np.ndarray]:
+    """The places of words' first pairs, by block."""
+    return [np.cumsum(part, dtype=np.uint32) for part in np.split(asks[3], np.cumsum(asks[1].astype(np.int64))[:-1])]
+
+
 def answers(words: DataFrame, chain: list[Totals], finals: list[Totals], counts: dict[int, int]) -> DataFrame:
-    """block, data: by the place of a word's first pair its count, and its customers and tables at the root by sample; of the pairs (m a word) that have several customers, or another block's one, the customers and the tables of all samples."""
+    """block, kind 0, data: by the place of a word's first pair its count, and its customers and tables at the root by sample; of the pairs (m a word) that have several customers, or another block's one, the customers and the tables of all samples."""
     given = words.sparkSession.sparkContext.broadcast((light(chain), [t.shared for t in finals], counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -806,36 +779,36 @@ def answers(words: DataFrame, chain: list[Totals], finals: list[Totals], counts:
             d = Dishes.of_batch(batch)
             got = sweeps(d, chain, len(shared), stirling)
             seated = np.sum([t for t, _, _ in got], axis=0).astype(np.uint64)
-            count = batch.column("count").to_numpy().astype(np.uint64)
+            count = d.count.astype(np.uint64)
             root = np.array([x for _, c, r in got for x in (c, r)])
             for i in np.flatnonzero(d.split):
                 w = int(d.word[i])
                 count[i] = counts[w]
                 root[:, i] = [x for known in shared for x in known[w]]
             root = root.astype(np.uint64)
-            block, r_cuts = flat(batch.column("r_block"), np.int64)
-            start, m, order, dish = (flat(batch.column(c), np.uint32)[0] for c in ("r_start", "r_m", "r_ord", "r_dish"))
-            of = np.repeat(np.arange(len(d.word)), np.diff(r_cuts))
+            asks = [unpacked(x) for x in batch.column("asks").to_pylist()]
+            of_row = np.cumsum([0, *[len(unpacked(x)[0]) for x in batch.column("word").to_pylist()]])
+            block = np.concatenate([np.repeat(a[0], a[1].astype(np.int64)) for a in asks]).astype(np.int64)
+            of = np.concatenate([np.cumsum(a[2], dtype=np.uint32).astype(np.int64) + w for a, w in zip(asks, of_row, strict=False)])
+            start = np.concatenate([part for a in asks for part in starts_of(a)])
+            m, order, dish = (np.concatenate([a[i] for a in asks]).astype(np.int64) for i in (4, 5, 6))
             ask = np.repeat(np.arange(len(start)), m)
-            known = np.flatnonzero(dish != ALONE)
-            at = d.cuts[of[ask[known]]] + dish[known]
+            known = np.flatnonzero(dish)
+            at = d.cuts[of[ask[known]]] + dish[known] - 1
             n, tables = np.ones(len(ask), np.uint64), np.full(len(ask), len(shared), np.uint64)
             n[known], tables[known] = d.n[at], seated[at]
             by_block = np.argsort(block, kind="stable")
-            place = np.empty(len(by_block), np.int64)
-            place[by_block] = np.arange(len(by_block))
-            sorted_pairs = np.argsort(place[ask], kind="stable")
-            order, n, tables, spots = order[sorted_pairs], n[sorted_pairs], tables[sorted_pairs], place[ask][sorted_pairs]
-            blocks = block[by_block]
-            first = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]])) if len(blocks) else np.zeros(0, int)
-            ends, data = np.append(first[1:], len(blocks)), []
-            for a, b in zip(first, ends, strict=False):
-                mine = by_block[a:b]
-                x, y = np.searchsorted(spots, [a, b])
-                data.append(packed([start[mine], count[of[mine]], *root[:, of[mine]], m[mine], order[x:y], n[x:y], tables[x:y]]))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks[first]), pa.array(data, pa.binary())], names=["block", "data"])
-
-    return words.mapInArrow(run, "block long, data binary")
+            ends = np.concatenate([[0], np.cumsum(m)])
+            sorted_pairs = slices(ends, by_block)
+            order, n, tables, ends = order[sorted_pairs].astype(np.uint32), n[sorted_pairs], tables[sorted_pairs], np.concatenate([[0], np.cumsum(m[by_block])])
+            found, first = np.unique(block[by_block], return_index=True)
+            data = []
+            for a, b in zip(first, np.append(first[1:], len(block)), strict=True):
+                mine, some = by_block[a:b], slice(ends[a], ends[b])
+                data.append(packed([deltas(start[mine]), count[of[mine]], *root[:, of[mine]], m[mine].astype(np.uint32), order[some], n[some], tables[some]]))
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.zeros(len(found), np.int32)), pa.array(data, pa.binary())], names=["block", "kind", "data"])
+
+    return words.mapInArrow(run, ANSWERS)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -846,20 +819,21 @@ def shares_of(t: Totals, customers: np.ndarray) -> np.ndarray:
     return (t.strength + customers).astype(np.float32)
 
 
-def own_contexts(blocks: pa.Table, i: int, finals: list[Totals]) -> tuple[list[np.ndarray], np.ndarray]:
-    """What score_blocks() needs of the contexts that block i brings, and these."""
-    contexts, customers, *tables = (blocks.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("contexts", "customers", *[f"tables_{s}" for s in range(len(finals))]))
+def own_contexts(given: list[bytes], finals: list[Totals]) -> tuple[list[np.ndarray], np.ndarray]:
+    """What score_blocks() needs of the contexts that a block brings, and these."""
+    contexts, customers, *tables = (np.concatenate(x) for x in zip(*(unpacked(data) for data in given), strict=True))
+    order = np.argsort(contexts)
+    customers, *tables = (x[order].astype(float) for x in (customers, *tables))
     passed = [replace(t, customers=customers, tables=x).passed_on().astype(np.float32) for t, x in zip(finals, tables, strict=True)]
-    return [shares_of(finals[0], customers), *passed], contexts
+    return [shares_of(finals[0], customers), *passed], contexts[order]
 
 
-def score_blocks(blocks: DataFrame, answered: DataFrame, finals: list[Totals], bits: int, tokens: float) -> DataFrame:
+def score_blocks(blocks: DataFrame, answered: DataFrame, finals: list[Totals], bits: int, tokens: float, brought: bool = False) -> DataFrame:
     """The mean over the samples of each token's probability, own share and root's together.
 
-    tokens: of the training texts. Where the finals don't have the contexts' customers and tables, blocks bring
-    those of their own: contexts, customers, tables_0, ...
+    tokens: of the training texts. brought: the finals don't have the contexts' customers and tables; rows of
+    kind 1 bring those of the block's own: contexts, customers, tables by sample.
     """
-    brought = "contexts" in blocks.columns
     vectors = [] if brought else [shares_of(finals[0], finals[0].customers), *[t.passed_on().astype(np.float32) for t in finals]]
     bare = [replace(t, customers=np.zeros(0), tables=np.zeros(0), shared={}) for t in finals]
     given = blocks.sparkSession.sparkContext.broadcast((bare, vectors))
@@ -867,18 +841,19 @@ def score_blocks(blocks: DataFrame, answered: DataFrame, finals: list[Totals], b
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         finals, vectors = given.value
         out = []
-        for i, data in enumerate(left.column("data").to_pylist()):
+        for data in left.column("data").to_pylist():
             ids, null, held, sizes, j, kinds, *of_many = unpacked(data)
             p = pairs_of(held, sizes, j, kinds, *of_many, bits)
             at = p.context
             if brought:
-                vectors, contexts = own_contexts(left, i, finals)
+                vectors, contexts = own_contexts(of_kind(right, 1), finals)
                 at = np.searchsorted(contexts, at)
             whole, *passed = vectors
             count, root = np.zeros(len(kinds)), np.zeros((2 * len(finals), len(kinds)))
             own = np.where(p.trained > 0, 1 - finals[0].discount, 0.0)
-            for part in right.column("data").to_pylist():
+            for part in of_kind(right, 0):
                 start, of_word, *at_root, m, order, n, tables = unpacked(part)
+                start = np.cumsum(start, dtype=np.uint32)
                 of = p.word[start]
                 count[of] = of_word
                 root[:, of] = at_root
@@ -901,6 +876,9 @@ def score_blocks(blocks: DataFrame, answered: DataFrame, finals: list[Totals], b
             )
         return pa.concat_tables(out) if out else empty()
 
+    def of_kind(right: pa.Table, kind: int) -> list[bytes]:
+        return [data for k, data in zip(right.column("kind").to_pylist(), right.column("data").to_pylist(), strict=True) if k == kind]
+
     def empty() -> pa.Table:
         return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_())} | {k: pa.array([], pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")} | {k: pa.array([], pa.float64()) for k in ("base_score", "score")})
 
@@ -924,9 +902,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         from .spread_model import scores
 
         return scores(blocks, bits)
-    path = new_path(spark, "words")
-    merged(word_rows(blocks, bits), bits).write.parquet(path)
-    words = spark.read.schema(MERGED).parquet(path)
+    words = written(merged(word_rows(blocks, bits), bits), "words")
     totals, counts, single = begun(words, bits)
     chain = [totals]
     for sweep in range(BURN_IN):
