@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import SALTS, halves, new_path, remainder, salted_parts, table, texts, written
+from .base import SALTS, file_bytes, halves, new_path, remainder, salted_parts, table, texts, written
 from .shingles import mixed
 
 #: Bits of a context's hash: a restaurant for so many bytes of text; contexts are 32-bit numbers.
@@ -192,13 +192,18 @@ def slices(cuts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.repeat(cuts[:-1][rows] - (np.cumsum(m) - m), m) + np.arange(m.sum())
 
 
+def groups_of(blocks: DataFrame) -> int:
+    """Into how many groups words are dealt: two a task, or of about 16 MB of text, which are 8 MB of blocks."""
+    return max(2 * salted_parts(blocks.sparkSession), file_bytes(blocks) >> 23)
+
+
 def word_rows(blocks: DataFrame, bits: int) -> DataFrame:
     """What each block has of the words of each of some groups (dest): one row, so rows don't grow with the words.
 
     data: the block; the words' hashes, parts (0: the only one), places of their first pairs and numbers of
-    pairs; the pairs' contexts, and how often in training texts. A group has about 16 MB of text.
+    pairs; the pairs' contexts, and how often in training texts.
     """
-    groups = max(2 * salted_parts(blocks.sparkSession), 1 << max(0, bits - 15))
+    groups = groups_of(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

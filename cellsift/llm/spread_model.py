@@ -20,10 +20,6 @@ from pyspark.sql import functions as F
 from . import language_model as model
 from .base import drop_path, new_path, written
 
-#: Contexts whose totals are in one row: 2 to the power of this.
-RANGE_BITS = 16
-
-
 def settled(spark: SparkSession, *done: DataFrame) -> None:
     """Removes tables that nothing reads any more, and lets Spark remove the files of exchanges that are through."""
     for path in {f.rsplit("/", 1)[0] for df in done for f in df.inputFiles()}:
@@ -32,9 +28,14 @@ def settled(spark: SparkSession, *done: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def by_range(contexts: np.ndarray) -> Iterator[tuple[int, slice]]:
+def range_shift(blocks: DataFrame, bits: int) -> int:
+    """The bits of a context within its range: a range for two to four groups of words."""
+    return max(0, bits - max(1, model.groups_of(blocks).bit_length() - 2))
+
+
+def by_range(contexts: np.ndarray, shift: int) -> Iterator[tuple[int, slice]]:
     """The ranges that ascending contexts have, and where."""
-    found, first = np.unique(contexts >> np.uint64(RANGE_BITS), return_index=True)
+    found, first = np.unique(contexts >> np.uint64(shift), return_index=True)
     for k, a, b in zip(found.tolist(), first, [*first[1:], len(contexts)], strict=False):
         yield k, slice(a, b)
 
@@ -54,7 +55,7 @@ def nothing() -> pa.Table:
     return pa.table({"k": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
 
 
-def sums(words: DataFrame, number: int, start: Callable[[], tuple[Callable, Callable]]) -> tuple[DataFrame, dict[int, list[np.ndarray]]]:
+def sums(words: DataFrame, number: int, shift: int, start: Callable[[], tuple[Callable, Callable]]) -> tuple[DataFrame, dict[int, list[np.ndarray]]]:
     """Written rows (k, data) of sums by context, not added up over the batches yet, and what end gives, added up over the tasks as reduced() does.
 
     start gives a task's step (contexts and number arrays of whole numbers for a batch) and end (the rest, and values of words in several parts).
@@ -65,7 +66,7 @@ def sums(words: DataFrame, number: int, start: Callable[[], tuple[Callable, Call
         for batch in model.together(batches):
             contexts, arrays = step(batch)
             contexts, sums = added([[contexts.astype(np.uint64), *arrays]], number)
-            for k, some in by_range(contexts):
+            for k, some in by_range(contexts, shift):
                 yield from row_of(k, contexts[some], sums[:, some]).to_batches()
         yield model.sums_rows([np.zeros(0)], *end())
 
@@ -73,7 +74,7 @@ def sums(words: DataFrame, number: int, start: Callable[[], tuple[Callable, Call
     return rows, model.reduced(rows.where("k < 0"))
 
 
-def begun(words: DataFrame, bits: int) -> tuple[model.Totals, dict[int, int], DataFrame]:
+def begun(words: DataFrame, bits: int, shift: int) -> tuple[model.Totals, dict[int, int], DataFrame]:
     """As there, with a table (k, data) of contexts, customers, dishes of one customer, and tables, by range."""
 
     def start() -> tuple[Callable, Callable]:
@@ -92,7 +93,7 @@ def begun(words: DataFrame, bits: int) -> tuple[model.Totals, dict[int, int], Da
         contexts, (customers, large, dishes) = added([model.unpacked(x) for x in group.column("data").to_pylist()], 3)
         return row_of(group.column("k")[0].as_py(), contexts, np.array([customers, customers - large, customers - large + dishes]))
 
-    rows, got = sums(words.select(*model.DISHES), 3, start)
+    rows, got = sums(words.select(*model.DISHES), 3, shift, start)
     table = written(rows.where("k >= 0").groupBy("k").applyInArrow(total, model.SUMS), "contexts")
     settled(words.sparkSession, rows)
     return *model.first_totals(got, np.zeros(0), np.zeros(0)), table
@@ -119,8 +120,8 @@ def asked(requests: DataFrame, table: DataFrame, columns: list[int]) -> DataFram
     return requests.groupBy("k").cogroup(table.groupBy("k")).applyInArrow(answer, "id long, data binary")
 
 
-def request(batch_id: int, contexts: np.ndarray) -> pa.RecordBatch:
-    rows = [(k, batch_id, model.packed([model.deltas(contexts[some])])) for k, some in by_range(contexts)]
+def request(asker: int, contexts: np.ndarray, shift: int) -> pa.RecordBatch:
+    rows = [(k, asker, model.packed([model.deltas(contexts[some])])) for k, some in by_range(contexts, shift)]
     k, ids, data = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["k", "id", "data"])
 
@@ -128,13 +129,13 @@ def request(batch_id: int, contexts: np.ndarray) -> pa.RecordBatch:
 REQUESTS = "k long, id long, data binary"
 
 
-def before_sweep(words: DataFrame, table: DataFrame, name: str) -> DataFrame:
+def before_sweep(words: DataFrame, table: DataFrame, name: str, shift: int) -> DataFrame:
     """row, name: the contexts of the dishes of each row of words, and their tables."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data in zip(batch.column("row").to_pylist(), batch.column("ctx").to_pylist(), strict=True):
-                yield request(row, np.unique(model.unpacked(data)[1]).astype(np.uint64))
+                yield request(row, np.unique(model.unpacked(data)[1]).astype(np.uint64), shift)
 
     def one(group: pa.Table) -> pa.Table:
         contexts, tables = added([model.unpacked(x) for x in group.column("data").to_pylist()], 1)
@@ -144,7 +145,7 @@ def before_sweep(words: DataFrame, table: DataFrame, name: str) -> DataFrame:
     return written(got.groupBy("id").applyInArrow(one, f"row long, {name} binary"), name)
 
 
-def swept(words: DataFrame, chain: list[model.Totals], table: DataFrame, alone: float, samples: int = 1) -> tuple[list[model.Totals], list[np.ndarray], DataFrame]:
+def swept(words: DataFrame, chain: list[model.Totals], table: DataFrame, alone: float, shift: int, samples: int = 1) -> tuple[list[model.Totals], list[np.ndarray], DataFrame]:
     """As there, with a table of contexts, customers, dishes of one customer (alone: of all contexts), and tables by sample."""
     given = words.sparkSession.sparkContext.broadcast(chain)
 
@@ -169,7 +170,7 @@ def swept(words: DataFrame, chain: list[model.Totals], table: DataFrame, alone:
         now[:, np.searchsorted(contexts, found)] += tables
         return row_of(left.column("k")[0].as_py(), contexts, np.vstack([customers, single, now]))
 
-    rows, got = sums(words.drop("asks"), samples, start)
+    rows, got = sums(words.drop("asks"), samples, shift, start)
     after, parties = model.swept_totals(got, chain, samples)
     now = written(table.groupBy("k").cogroup(rows.where("k >= 0").groupBy("k")).applyInArrow(seated, model.SUMS), "contexts")
     settled(words.sparkSession, rows, table)
@@ -195,13 +196,13 @@ def restaurants(table: DataFrame) -> tuple[np.ndarray, float, float]:
     return total[:-2].reshape(shape), float(total[-2]), float(total[-1])
 
 
-def of_blocks(blocks: DataFrame, table: DataFrame, bits: int) -> DataFrame:
+def of_blocks(blocks: DataFrame, table: DataFrame, bits: int, shift: int) -> DataFrame:
     """Rows of kind 1 for score_blocks(): the contexts that a block has, and those contexts' customers and tables."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words in zip(*(batch.column(c).to_pylist() for c in ("block", "words")), strict=True):
-                yield request(block, np.unique(np.frombuffer(words, np.uint64) >> np.uint64(64 - bits)))
+                yield request(block, np.unique(np.frombuffer(words, np.uint64) >> np.uint64(64 - bits)), shift)
 
     got = asked(blocks.select("block", "words").mapInArrow(ask, REQUESTS), table, [0, *range(2, 2 + model.SAMPLES)])
     return got.select(F.col("id").alias("block"), F.lit(1).alias("kind"), "data")
@@ -211,14 +212,15 @@ def scores(blocks: DataFrame, bits: int) -> DataFrame:
     """What language_model.score() gives, from its blocks."""
     words = written(model.merged(model.word_rows(blocks, bits), bits), "words")
     settled(blocks.sparkSession)
-    first, counts, table = begun(words, bits)
+    shift = range_shift(blocks, bits)
+    first, counts, table = begun(words, bits, shift)
     _, tokens, alone = restaurants(table)
     chain, seen = [first], words
     for sweep in range(model.BURN_IN):
-        seen = seen.join(before_sweep(words, table, f"tables_{sweep}"), "row", "left")
-        after, parties, table = swept(seen, chain, table, alone)
+        seen = seen.join(before_sweep(words, table, f"tables_{sweep}", shift), "row", "left")
+        after, parties, table = swept(seen, chain, table, alone, shift)
         chain.append(model.fitted(after[0], parties, sweep, restaurants(table)[0]))
-    seen = seen.join(before_sweep(words, table, f"tables_{model.BURN_IN}"), "row", "left")
-    finals, _, table = swept(seen, chain, table, alone, model.SAMPLES)
-    told = model.answers(seen, chain, finals, counts).unionByName(of_blocks(blocks, table, bits))
+    seen = seen.join(before_sweep(words, table, f"tables_{model.BURN_IN}", shift), "row", "left")
+    finals, _, table = swept(seen, chain, table, alone, shift, model.SAMPLES)
+    told = model.answers(seen, chain, finals, counts).unionByName(of_blocks(blocks, table, bits, shift))
     return model.score_blocks(blocks, told, finals, bits, tokens, brought=True)

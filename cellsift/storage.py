@@ -48,3 +48,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def file_bytes(df: DataFrame) -> int:
+    """Of the files that df is read from, by their folders."""
+    found = [place(df.sparkSession, path) for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}]
+    return sum(fs.getContentSummary(hadoop).getLength() for hadoop, fs in found)

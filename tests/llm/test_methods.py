@@ -371,6 +371,33 @@ def test_contexts_in_a_table_give_the_same_scores(spark, texts, monkeypatch):
     assert np.isfinite(scored(few, held).score).all()
 
 
+def test_rows_of_the_language_model_grow_with_groups_not_with_words(spark, monkeypatch):
+    """Words, requests and totals are packed: a row a dish filled the disk at 0.5 GB."""
+    from pyspark.sql import functions as F
+
+    from cellsift.llm import spread_model
+    from cellsift.llm.base import new_path
+
+    L, bits = language_model, 14
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.lit(False).alias("held_out"), "text")
+    blocks = L.read_blocks(docs, new_path(spark, "t"), bits, {})
+    groups, ranges = 2 * 4, 1 << (bits - (bits - 2))
+    rows = L.word_rows(blocks, bits)
+    assert rows.count() <= groups * blocks.count()
+    words = L.merged(rows, bits).cache()
+    assert words.count() <= groups
+    shift = bits - 2
+    totals, _, table = spread_model.begun(words, bits, shift)
+    assert table.count() <= ranges and spread_model.before_sweep(words, table, "tables_0", shift).count() <= groups
+    vector, _, single = L.begun(words, bits)
+    assert (totals.kinds, totals.root_customers, totals.discount) == (vector.kinds, vector.root_customers, vector.discount)
+    for k, data in table.collect():
+        contexts, customers, alone, tables = L.unpacked(bytes(data))
+        assert (contexts >> np.uint64(shift) == k).all()
+        assert (vector.customers[contexts] == customers).all() and (vector.tables[contexts] == tables).all() and (single[contexts] == alone).all()
+    assert spread_model.restaurants(table)[1:] == (vector.customers.sum(), single.sum())
+
+
 # ---- mixing
 
 
