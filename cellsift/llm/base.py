@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import drop_path, file_bytes, new_path, scratch, written
+from ..storage import drop_path, file_bytes, new_path, scratch, written, written_by
 
-__all__ = ["SALTS", "drop_path", "file_bytes", "halves", "map_rows", "map_same", "new_path", "part_of", "remainder", "salted_parts", "scratch", "spread_join", "table", "texts", "written"]
+__all__ = ["SALTS", "drop_path", "file_bytes", "halves", "map_rows", "map_same", "new_path", "part_of", "remainder", "salted_parts", "scratch", "spread_join", "table", "texts", "written", "written_by"]
 
 #: Parts that the rows of one key are dealt to.
 SALTS = 64

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import SALTS, file_bytes, halves, new_path, remainder, salted_parts, table, texts, written
+from .base import SALTS, file_bytes, halves, new_path, remainder, salted_parts, table, texts, written, written_by
 from .shingles import mixed
 
 #: Bits of a context's hash: a restaurant for so many bytes of text; contexts are 32-bit numbers.
@@ -110,8 +110,8 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def read_blocks(docs: DataFrame, path: str, bits: int, shared: dict[int, int]) -> DataFrame:
-    """Writes and gives blocks (block, data, words).
+def read_blocks(docs: DataFrame, path: str, bits: int, shared: dict[int, int], buckets: int = 0) -> DataFrame:
+    """Writes and gives blocks (block, data, words), in buckets by block where a number of them is given.
 
     A block's data are its documents' ids, whether they are null and held out, their numbers of tokens, the
     tokens as numbers of the block's words, the words' contexts, and which words are shared by how many parts;
@@ -146,7 +146,10 @@ def read_blocks(docs: DataFrame, path: str, bits: int, shared: dict[int, int]) -
         return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([data], pa.binary()), pa.array([words.tobytes()], pa.binary())], names=["block", "data", "words"])
 
     shape = "block long, data binary, words binary"
-    docs.select("doc_id", "held_out", "text").mapInArrow(run, shape).write.parquet(path)
+    blocks = docs.select("doc_id", "held_out", "text").mapInArrow(run, shape)
+    if buckets:
+        return written_by(blocks, "blocks", "block", buckets, path)
+    blocks.write.parquet(path)
     return docs.sparkSession.read.schema(shape).parquet(path)
 
 
@@ -902,11 +905,11 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     bits, shared = context_bits(docs), shared_words(docs)
-    blocks = read_blocks(docs, new_path(spark, "blocks"), bits, shared)
     if bits > BROADCAST_BITS:
         from .spread_model import scores
 
-        return scores(blocks, bits)
+        return scores(read_blocks(docs, new_path(spark, "blocks"), bits, shared, salted_parts(spark)), bits)
+    blocks = read_blocks(docs, new_path(spark, "blocks"), bits, shared)
     words = written(merged(word_rows(blocks, bits), bits), "words")
     totals, counts, single = begun(words, bits)
     chain = [totals]

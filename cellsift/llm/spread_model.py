@@ -5,6 +5,9 @@ group of words asks each range for its contexts' tables, once each, in a packed
 its sums in rows of the same kind, which are added up by range. Blocks get their own contexts' totals for the
 scores likewise. So rows grow with groups and ranges, not with dishes. Seating and scores are those of
 language_model.py, with the same random numbers, so results are the same.
+
+Words, the tables that they are told before each sweep, and blocks are written in buckets of their groups and
+blocks, so that sweeps, answers and scores find them where they are: only sums, requests and answers move.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_model as model
-from .base import drop_path, new_path, written
+from .base import drop_path, salted_parts, written, written_by
+
 
 def settled(spark: SparkSession, *done: DataFrame) -> None:
     """Removes tables that nothing reads any more, and lets Spark remove the files of exchanges that are through."""
@@ -129,8 +133,8 @@ def request(asker: int, contexts: np.ndarray, shift: int) -> pa.RecordBatch:
 REQUESTS = "k long, id long, data binary"
 
 
-def before_sweep(words: DataFrame, table: DataFrame, name: str, shift: int) -> DataFrame:
-    """row, name: the contexts of the dishes of each row of words, and their tables."""
+def before_sweep(words: DataFrame, table: DataFrame, name: str, shift: int, buckets: int = 1) -> DataFrame:
+    """row, name: the contexts of the dishes of each row of words, and their tables; in buckets by row."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +146,7 @@ def before_sweep(words: DataFrame, table: DataFrame, name: str, shift: int) -> D
         return pa.table({"row": pa.array([group.column("id")[0].as_py()], pa.int64()), name: pa.array([model.packed([contexts, *tables.astype(np.uint64)])], pa.binary())})
 
     got = asked(words.select("row", "ctx").mapInArrow(ask, REQUESTS), table, [2])
-    return written(got.groupBy("id").applyInArrow(one, f"row long, {name} binary"), name)
+    return written_by(got.groupBy("id").applyInArrow(one, f"row long, {name} binary"), name, "row", buckets)
 
 
 def swept(words: DataFrame, chain: list[model.Totals], table: DataFrame, alone: float, shift: int, samples: int = 1) -> tuple[list[model.Totals], list[np.ndarray], DataFrame]:
@@ -210,17 +214,17 @@ def of_blocks(blocks: DataFrame, table: DataFrame, bits: int, shift: int) -> Dat
 
 def scores(blocks: DataFrame, bits: int) -> DataFrame:
     """What language_model.score() gives, from its blocks."""
-    words = written(model.merged(model.word_rows(blocks, bits), bits), "words")
+    shift, buckets = range_shift(blocks, bits), salted_parts(blocks.sparkSession)
+    words = written_by(model.merged(model.word_rows(blocks, bits), bits), "words", "row", buckets)
     settled(blocks.sparkSession)
-    shift = range_shift(blocks, bits)
     first, counts, table = begun(words, bits, shift)
     _, tokens, alone = restaurants(table)
     chain, seen = [first], words
     for sweep in range(model.BURN_IN):
-        seen = seen.join(before_sweep(words, table, f"tables_{sweep}", shift), "row", "left")
+        seen = seen.join(before_sweep(words, table, f"tables_{sweep}", shift, buckets), "row", "left")
         after, parties, table = swept(seen, chain, table, alone, shift)
         chain.append(model.fitted(after[0], parties, sweep, restaurants(table)[0]))
-    seen = seen.join(before_sweep(words, table, f"tables_{model.BURN_IN}", shift), "row", "left")
+    seen = seen.join(before_sweep(words, table, f"tables_{model.BURN_IN}", shift, buckets), "row", "left")
     finals, _, table = swept(seen, chain, table, alone, shift, model.SAMPLES)
     told = model.answers(seen, chain, finals, counts).unionByName(of_blocks(blocks, table, bits, shift))
     return model.score_blocks(blocks, told, finals, bits, tokens, brought=True)

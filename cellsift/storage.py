@@ -50,6 +50,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, label: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """As written(), in buckets by key: joins and groups by key move none of its rows, other tables go to its buckets.
+
+    The catalog has the table only until it is read; the folder holds it.
+    """
+    spark = df.sparkSession
+    path = path or new_path(spark, label)
+    name = f"{label}_{uuid.uuid4().hex}"
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    df.write.format("parquet").bucketBy(min(buckets, most), key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of an external table, so the files stay
+    return out
+
+
 def file_bytes(df: DataFrame) -> int:
     """Of the files that df is read from, by their folders."""
     found = [place(df.sparkSession, path) for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}]

@@ -371,6 +371,24 @@ def test_contexts_in_a_table_give_the_same_scores(spark, texts, monkeypatch):
     assert np.isfinite(scored(few, held).score).all()
 
 
+def test_words_and_blocks_stay_where_they_are_when_contexts_are_a_table(spark, monkeypatch):
+    """Only requests, totals and answers move; words that went to tasks again for each sweep, and blocks, filled the disk."""
+    from cellsift.llm.base import remainder
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(language_model, "BROADCAST_BITS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        scored = language_model.score(docs, remainder("doc_id", 10) == 0)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert plan.count("SortMergeJoin") == 3 and sorted(moved) == ["block", "k", "k"]
+    assert scored.count() == docs.count() and not spark.catalog.listTables()
+
+
 def test_rows_of_the_language_model_grow_with_groups_not_with_words(spark, monkeypatch):
     """Words, requests and totals are packed: a row a dish filled the disk at 0.5 GB."""
     from pyspark.sql import functions as F
